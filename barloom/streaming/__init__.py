@@ -1,0 +1,5 @@
+"""Intentionally empty: the workload is batch only.
+
+Incremental refresh is a keyed upsert (`barloom.sources.writers.upsert`) plus the gap table
+(`barloom.operators.quality.backfill_gaps`); neither needs a streaming query.
+"""
