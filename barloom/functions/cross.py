@@ -112,6 +112,48 @@ def group_quantiles(
     return wide
 
 
+def with_aggregates(
+    df: DataFrame, keys: list[str], aggs: dict[str, Column], *, spread: bool = False
+) -> DataFrame:
+    """Attach aggregates of the row's group.
+
+    One task per group: unordered windows, so a chain of steps on the same keys shares one shuffle.
+    Spread: partial aggregation and a join, broadcast when the key is the date alone.
+    """
+    if not spread:
+        group = Window.partitionBy(*keys)
+        return df.withColumns({name: agg.over(group) for name, agg in aggs.items()})
+    stats = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()])
+    return _attach(df, stats, keys)
+
+
+def with_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    columns: list[str],
+    probs: list[float],
+    *,
+    spread: bool = False,
+) -> DataFrame:
+    """Attach `<name>__q<i>`, the quantile probs[i] of each column within the row's group."""
+    if not spread:
+        levels = F.array(*[F.lit(float(p)) for p in probs])
+        group = Window.partitionBy(*keys)
+        packed = df.withColumns(
+            {f"{c}__q": F.percentile(F.col(c).cast("double"), levels).over(group) for c in columns}
+        )
+        return packed.withColumns(
+            {f"{c}__q{i}": F.col(f"{c}__q")[i] for c in columns for i in range(len(probs))}
+        ).drop(*[f"{c}__q" for c in columns])
+    return _attach(df, group_quantiles(df, keys, columns, probs, spread=True), keys)
+
+
+def _attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    # One row per date is bounded by sizing.MAX_DATES; other keys grow with the data and get no hint.
+    side = F.broadcast(stats) if keys == ["date"] else stats
+    return df.join(side, keys, "left")
+
+
 def average_rank(
     df: DataFrame, keys: list[str], value: str, out: str, *, spread: bool = False
 ) -> DataFrame:

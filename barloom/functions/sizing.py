@@ -14,7 +14,7 @@ MAX_DATES = 3_652_059
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's upper estimate of the table size; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def needs_spread(source: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
