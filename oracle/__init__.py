@@ -28,6 +28,6 @@ def statement(sql: str, plain: list[str], rounded: list[str], digits: int) -> st
     views: dict[str, str] = {}
     _collect(sql, views)
     head = ",\n".join(f"{n} AS MATERIALIZED ({b})" for n, b in views.items())
-    columns = [*plain, *[f"round({c}, {digits}) + 0.0 AS {c}" for c in rounded]]
+    columns = [*[f"\"{c}\"" for c in plain], *[f"round({c}, {digits}) + 0.0 AS {c}" for c in rounded]]
     prefix = f"WITH {head}\n" if head else ""
     return f"{prefix}SELECT {', '.join(columns)} FROM ({sql}) AS result"
