@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import cross
 from barloom.operators import factors, labels
-from barloom.plans import report_queries, research_queries  # noqa: F401
+from barloom.plans import data_queries, report_queries, research_queries  # noqa: F401
 from barloom.plans.market import market
 from barloom.registry import QUERIES  # noqa: F401
 

@@ -233,3 +233,78 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(region), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select(code.alias("代码"), name.alias("名称"), F.col("c_custkey").alias("_seq"))
     )
+
+
+def vendor_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars as a vendor would land them: native headers, text, turnover in percent."""
+    return trades(spark, sf_dir).groupBy("code", "date").agg(
+        F.min_by("price", "seq").alias("开盘"), F.max_by("price", "seq").alias("收盘"),
+        F.max("price").alias("最高"), F.min("price").alias("最低"),
+        F.sum("l_quantity").alias("成交量"),
+        F.round(F.sum("l_extendedprice"), 2).alias("成交额"),
+        F.round(F.avg("l_discount") * 100, 6).alias("换手率"),
+    ).select(
+        "code", F.date_format("date", "yyyy-MM-dd").alias("日期"),
+        *[F.col(c).cast("string").alias(c) for c in ("开盘", "收盘", "最高", "最低", "成交量")],
+        F.when(F.col("成交量") > 60, F.lit("-")).otherwise(F.col("成交额").cast("string"))
+        .alias("成交额"),
+        "换手率",
+    )
+
+
+def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unadjusted bars with turnover as a fraction."""
+    lines = trades(spark, sf_dir)
+    turnover = lines.groupBy("code", "date").agg(
+        F.round(F.avg("l_discount"), 8).alias("turnover")
+    )
+    return to_bars(lines).join(turnover, ["code", "date"])
+
+
+def adjusted_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices adjusted by a tenth before 1998; the busiest days are missing."""
+    factor = F.when(F.col("date") < F.lit("1998-01-01").cast("date"), 0.9).otherwise(1.0)
+    return bars(spark, sf_dir).where(F.col("volume") < 128).withColumns(
+        {c: F.col(c) * factor for c in ("open", "high", "low", "close")}
+    )
+
+
+def status_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily status of solvent suppliers, on days with an open line."""
+    solvent = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") >= 1000).select(
+        pad_code("s_suppkey").alias("code")
+    )
+    daily = trades(spark, sf_dir).groupBy("code", "date").agg(
+        F.min_by("price", "seq").alias("open"), F.max("l_linestatus").alias("state"),
+        F.max("l_tax").alias("tax"), F.min("l_returnflag").alias("flag"),
+    )
+    return daily.where(F.col("state") == "O").join(solvent, "code", "left_semi").select(
+        "code", F.date_format("date", "yyyy-MM-dd").alias("date"),
+        F.when(F.col("tax") >= 0.02, F.col("open") * 0.98).cast("string").alias("preclose"),
+        F.when(F.col("tax") < 0.07, F.lit("1")).otherwise(F.lit("0")).alias("tradestatus"),
+        F.when((F.col("flag") == "R") & (F.col("tax") == 0.03), F.lit("1")).otherwise(F.lit("0"))
+        .alias("isST"),
+    )
+
+
+def rival_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Three feeds of bars per security and month, each built from one return flag."""
+    lines = trades(spark, sf_dir)
+    out = {}
+    for name, flag in (("eastmoney", "R"), ("sina", "A"), ("tencent", "N")):
+        feed = to_bars(lines.where(F.col("l_returnflag") == flag))
+        out[name] = feed.withColumn("month", F.trunc("date", "month"))
+    return out
+
+
+def industry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change log of industries: one entry per trade's part brand and type."""
+    kind = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"
+    )
+    lines = trades(spark, sf_dir).where(F.col("l_linestatus") == "F")
+    return lines.join(kind, "l_partkey").select(
+        "code", F.col("date").alias("change_date"), F.col("p_brand").alias("industry_code"),
+        F.concat(F.lit(" "), "p_type").alias("industry_name"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("_seq"),
+    )
