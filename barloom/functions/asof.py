@@ -58,6 +58,6 @@ def interval_join(
         .select(
             *left.columns,
             F.col("_from").isNotNull().alias("_matched"),
-            *[F.col(f"_v_{v}") for v in values],
+            *[F.col(f"_v_{v}").alias(v) for v in values],
         )
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,18 +66,26 @@ def _by_prefix(code: Column, table: list[tuple[str, list[str]]], default: Column
     return default
 
 
-def exchange_of(code: Column | str) -> Column:
-    return _by_prefix(normalize_symbol(code), EXCHANGE_PREFIXES, F.lit("UNKNOWN"))
+def exchange_of(code: str) -> Column:
+    """Exchange of a canonical code column."""
+    return _by_prefix(F.col(code), EXCHANGE_PREFIXES, F.lit("UNKNOWN"))
 
 
-def board_of(code: Column | str) -> Column:
-    exchange = exchange_of(code)
+def board_of(code: str, exchange: str) -> Column:
+    """Board of a canonical code column, given its exchange column."""
     main = (
-        F.when(exchange == "BSE", F.lit("BSE"))
-        .when(exchange.isin("SSE", "SZSE"), F.lit("MAIN"))
+        F.when(F.col(exchange) == "BSE", F.lit("BSE"))
+        .when(F.col(exchange).isin("SSE", "SZSE"), F.lit("MAIN"))
         .otherwise(F.lit("UNKNOWN"))
     )
-    return _by_prefix(normalize_symbol(code), BOARD_PREFIXES, main)
+    return _by_prefix(F.col(code), BOARD_PREFIXES, main)
+
+
+def with_venue(df: DataFrame) -> DataFrame:
+    """Add exchange and board to a table with canonical codes."""
+    return df.withColumn("exchange", exchange_of("code")).withColumn(
+        "board", board_of("code", "exchange")
+    )
 
 
 def st_name(name: Column | str) -> Column:

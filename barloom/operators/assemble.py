@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import rolling
-from barloom.functions.scalars import cents, exchange_of, board_of, normalize_symbol, st_name
+from barloom.functions.scalars import cents, normalize_symbol, st_name, with_venue
 from barloom.operators.clean import keep_last, number
 from barloom.schemas import ACTION, require_columns
 
@@ -18,13 +18,14 @@ def security_master(raw: DataFrame, *, source: str, order: str = "_seq") -> Data
         {"code": normalize_symbol("code"), "security_name": F.trim("security_name")}
     )
     # The code alone decides exchange and kind, so filtering before removing copies is the same.
-    df = df.where(F.col("code").rlike(r"^\d{6}$")).where(exchange_of("code") != "UNKNOWN")
+    df = with_venue(df.where(F.col("code").rlike(r"^\d{6}$")))
+    df = df.where(F.col("exchange") != "UNKNOWN")
     # Without an ingest order the greatest name is kept, so the result does not depend on the run.
     last = order if order in df.columns else "security_name"
-    df = keep_last(df.select(*dict.fromkeys(["code", "security_name", last])), ["code"], [last])
+    kept = dict.fromkeys(["code", "security_name", "exchange", "board", last])
+    df = keep_last(df.select(*kept), ["code"], [last])
     return df.select(
-        "code", "security_name", exchange_of("code").alias("exchange"),
-        board_of("code").alias("board"), F.lit("STOCK").alias("instrument_type"),
+        "code", "security_name", "exchange", "board", F.lit("STOCK").alias("instrument_type"),
         F.coalesce(st_name("security_name"), F.lit(False)).alias("is_st_current"),
         F.lit(source).alias("source"),
     )

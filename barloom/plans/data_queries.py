@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import board_of, exchange_of, normalize_symbol
+from barloom.functions.scalars import normalize_symbol, with_venue
 from barloom.operators import assemble, clean, pit, quality, splits
 from barloom.plans.market import Market
 from barloom.plans.research_queries import test_rows
@@ -29,10 +29,9 @@ def industry(m: Market):
 
 def security_master(m: Market):
     """Suppliers as a listing with exchange and board."""
-    listed = m.view("master").withColumnRenamed("is_st", "is_st_current")
+    listed = with_venue(m.view("master").withColumnRenamed("is_st", "is_st_current"))
     return listed.select(
-        "code", "security_name", exchange_of("code").alias("exchange"),
-        board_of("code").alias("board"), F.lit("STOCK").alias("instrument_type"),
+        "code", "security_name", "exchange", "board", F.lit("STOCK").alias("instrument_type"),
         "is_st_current",
     )
 
@@ -69,7 +68,7 @@ def load_bars(m: Market):
 
 @query(
     "load_actions", "code ex_date source",
-    "cash_dividend_per_share bonus_share_ratio rights_share_ratio rights_price",
+    "cash_dividend_per_share bonus_share_ratio rights_share_ratio rights_price", 8,
 )
 def load_actions(m: Market):
     root = f"{shared_folder(m.spark)}/barloom/market-{uuid.uuid4().hex}"
@@ -79,7 +78,7 @@ def load_actions(m: Market):
 
 @query(
     "corporate_actions", "code ex_date source",
-    "cash_dividend_per_share bonus_share_ratio rights_share_ratio rights_price",
+    "cash_dividend_per_share bonus_share_ratio rights_share_ratio rights_price", 8,
 )
 def corporate_actions(m: Market):
     window = F.col("ex_date").between(F.lit(START).cast("date"), F.lit(END).cast("date"))
@@ -88,9 +87,10 @@ def corporate_actions(m: Market):
 
 @query("normalize_symbol", "raw code exchange board")
 def normalize(m: Market):
-    return m.view("listings").select(
-        F.col("代码").alias("raw"), normalize_symbol("代码").alias("code"),
-        exchange_of("代码").alias("exchange"), board_of("代码").alias("board"),
+    return with_venue(
+        m.view("listings").select(
+            F.col("代码").alias("raw"), normalize_symbol("代码").alias("code")
+        )
     )
 
 
@@ -151,7 +151,7 @@ def assemble_backfill(current):
     return pit.backfilled_industry(current, START)
 
 
-@query("benchmark_series", "date benchmark_key expected_start expected_end", "close")
+@query("benchmark_series", "date benchmark_key expected_start expected_end", "close", 9)
 def benchmark_series(m: Market):
     table = m.view("benchmarks")
     tagged = {
@@ -205,7 +205,7 @@ def pit_industry(m: Market):
 
 @query(
     "status_enrich", "code date is_st is_trading status_is_point_in_time status_source",
-    "preclose", 6,
+    "preclose", 9,
 )
 def status_enrich(m: Market):
     raw = m.view("raw_feed").withColumn("raw_close", F.col("close"))

@@ -6,7 +6,7 @@ Every view covers the whole of its source tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import pad_code
@@ -120,23 +120,30 @@ def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _traded_price() -> Column:
+    """Money over quantity; both sums are exact at cents, so the order of rows cannot matter."""
+    return F.round(F.sum("l_extendedprice"), 2) / F.sum("l_quantity")
+
+
 def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean trade price per region and date."""
-    sold = trades(spark, sf_dir).select("code", "date", "price")
+    """Average traded price per region and date."""
     where = master(spark, sf_dir).select("code", F.col("industry").alias("benchmark_key"))
-    return sold.join(where, "code").groupBy("date", "benchmark_key").agg(
-        F.round(F.avg("price"), 9).alias("close")
+    return trades(spark, sf_dir).join(where, "code").groupBy("date", "benchmark_key").agg(
+        _traded_price().alias("close")
     )
 
 
 def navs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One portfolio per nation: mean trade price per date, scaled to money, with a cash share."""
-    sold = trades(spark, sf_dir).select("code", "date", "price", "l_discount")
-    where = master(spark, sf_dir).select("code", F.col("nation").alias("portfolio_id"))
-    return sold.join(where, "code").groupBy("portfolio_id", "date").agg(
-        F.round(F.avg("price") * 400.0, 6).alias("nav"),
-        F.round(F.avg("price") * 400.0 * F.avg("l_discount"), 6).alias("cash"),
+    """One portfolio per nation: traded price scaled to money, with a cash share."""
+    where = master(spark, sf_dir).select(
+        "code", F.col("nation").alias("portfolio_id"), F.col("industry").alias("profile")
     )
+    return trades(spark, sf_dir).join(where, "code").groupBy(
+        "portfolio_id", "profile", "date"
+    ).agg(
+        (_traded_price() * 400.0).alias("nav"),
+        F.round(F.avg("l_discount"), 8).alias("share"),
+    ).withColumn("cash", F.col("nav") * F.col("share")).drop("share")
 
 
 def membership_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +197,7 @@ def raw_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") > 1, F.date_format("date", "yyyy-MM-dd"))
         .otherwise(F.lit("pending")).alias("除权日"),
         F.round(F.col("l_discount") * 10, 4).alias("配股方案"),
-        F.round(F.col("price"), 4).alias("配股价格"),
+        F.col("price").alias("配股价格"),
     )
 
 
@@ -308,3 +315,32 @@ def industry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), "p_type").alias("industry_name"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("_seq"),
     )
+
+
+def desk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one desk per customer nation, one row per day, security and side."""
+    desk = (
+        table(spark, sf_dir, "customer")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("c_custkey", F.col("n_name").alias("desk"))
+    )
+    rows = fills(spark, sf_dir).join(desk, F.col("portfolio_id") == F.col("c_custkey"))
+    return rows.groupBy(F.col("desk").alias("portfolio_id"), "date", "code", "side").agg(
+        F.sum("quantity").alias("quantity"), F.max("price").alias("score"),
+    ).withColumn("is_full_exit", (F.col("side") == "SELL") & (F.col("quantity") >= 45))
+
+
+def desk_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Securities a desk bought net in a month, dated to the month's last trading date."""
+    rows = desk_requests(spark, sf_dir)
+    ends = labels.month_ends(bars(spark, sf_dir).select("date")).select(
+        F.trunc("date", "month").alias("month"), F.col("date").alias("rebalance")
+    )
+    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    net = rows.groupBy("portfolio_id", "code", F.trunc("date", "month").alias("month")).agg(
+        F.sum(signed).alias("quantity")
+    ).where(F.col("quantity") > 0)
+    total = F.sum("quantity").over(Window.partitionBy("portfolio_id", "month"))
+    return net.withColumn("weight", F.col("quantity") / total).join(
+        F.broadcast(ends), "month"
+    ).select("portfolio_id", F.col("rebalance").alias("date"), "code", "quantity", "weight")

@@ -71,11 +71,14 @@ VIEWS = {
     "v_panel": """SELECT b.*, security_name, industry, size_bucket, is_st,
         volume > 0 AND amount > 0 AS is_trading, shares * close AS market_cap, 100 AS lot_size
       FROM v_bars b LEFT JOIN v_master m ON b.code = m.code""",
-    "v_bench": """SELECT date, industry AS benchmark_key, round(avg(price), 9) AS close
-      FROM v_trades t JOIN v_master m ON t.code = m.code GROUP BY ALL""",
-    "v_nav": """SELECT nation AS portfolio_id, date, round(avg(price) * 400, 6) AS nav,
-        round(avg(price) * 400 * avg(l_discount), 6) AS cash
+    "v_bench": """SELECT date, industry AS benchmark_key,
+        round(sum(l_extendedprice), 2) / sum(l_quantity) AS close
       FROM v_trades t JOIN v_master m ON t.code = m.code GROUP BY ALL""",
+    "v_nav": """SELECT *, nav * share AS cash FROM (
+        SELECT nation AS portfolio_id, industry AS profile, date,
+          round(sum(l_extendedprice), 2) / sum(l_quantity) * 400 AS nav,
+          round(avg(l_discount), 8) AS share
+        FROM v_trades t JOIN v_master m ON t.code = m.code GROUP BY ALL) AS x""",
     "v_dirty": f"""SELECT date, code, open, high,
         CASE WHEN batch = 1 AND volume < 4 THEN high * 2 ELSE low END AS low, close,
         CASE WHEN batch = 1 AND volume > 45 THEN -volume ELSE volume END AS volume,
@@ -180,7 +183,7 @@ VIEWS = {
                 AS bonus, 0.0::DOUBLE AS rights, NULL::DOUBLE AS price, 'dividend_feed' AS src
             FROM v_trades WHERE l_returnflag = 'A'
             UNION ALL
-            SELECT code, date, 0, 0, round(l_discount * 10, 4) / 10, round(price, 4), 'rights_feed'
+            SELECT code, date, 0, 0, round(l_discount * 10, 4) / 10, price, 'rights_feed'
             FROM v_trades WHERE l_returnflag = 'R' AND l_quantity > 1) AS x
       GROUP BY code, ex_date""",
     "v_listings": f"""SELECT raw, name, c_custkey, {symbol("raw")} AS code FROM (
