@@ -231,14 +231,18 @@ def normalize_rights(raw: DataFrame) -> DataFrame:
 
 
 def merge_actions(*frames: DataFrame) -> DataFrame:
-    """One row per security and ex-date; the few source names are joined in order."""
+    """One row per security and ex-date; the few source names are joined in order.
+
+    Sums are cut to ten decimals: the order of rows in a distributed sum is not fixed, and share
+    counts are later rounded down from these ratios.
+    """
     rows = frames[0]
     for frame in frames[1:]:
         rows = rows.unionByName(frame, allowMissingColumns=True)
     merged = rows.groupBy("code", "ex_date").agg(
-        F.sum("cash_dividend_per_share").alias("cash_dividend_per_share"),
-        F.sum("bonus_share_ratio").alias("bonus_share_ratio"),
-        F.sum("rights_share_ratio").alias("rights_share_ratio"),
+        F.round(F.sum("cash_dividend_per_share"), 10).alias("cash_dividend_per_share"),
+        F.round(F.sum("bonus_share_ratio"), 10).alias("bonus_share_ratio"),
+        F.round(F.sum("rights_share_ratio"), 10).alias("rights_share_ratio"),
         F.max("rights_price").alias("rights_price"),
         F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"),
     )

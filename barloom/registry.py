@@ -20,10 +20,11 @@ class Query:
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(market(spark, sf_dir))
+        scale = F.lit(float(10**self.digits))
         return df.select(
             *self.plain,
             *[
-                (F.round(F.col(c).cast("double"), self.digits) + F.lit(0.0)).alias(c)
+                (F.rint(F.col(c).cast("double") * scale) / scale + F.lit(0.0)).alias(c)
                 for c in self.rounded
             ],
         )

@@ -134,14 +134,14 @@ def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def navs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One portfolio per nation: traded price scaled to money, with a cash share."""
+    """One portfolio per nation: a value moving with its traded price, with a cash share."""
     where = master(spark, sf_dir).select(
         "code", F.col("nation").alias("portfolio_id"), F.col("industry").alias("profile")
     )
     return trades(spark, sf_dir).join(where, "code").groupBy(
         "portfolio_id", "profile", "date"
     ).agg(
-        (_traded_price() * 400.0).alias("nav"),
+        (900000.0 + 1000.0 * F.sqrt(_traded_price())).alias("nav"),
         F.round(F.avg("l_discount"), 8).alias("share"),
     ).withColumn("cash", F.col("nav") * F.col("share")).drop("share")
 

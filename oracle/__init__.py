@@ -26,8 +26,10 @@ def _collect(sql: str, done: dict[str, str]) -> None:
 def statement(sql: str, plain: list[str], rounded: list[str], digits: int) -> str:
     """The query with the views it needs, its measures rounded."""
     views: dict[str, str] = {}
+    scale = f"{10**digits}::DOUBLE"
     _collect(sql, views)
     head = ",\n".join(f"{n} AS MATERIALIZED ({b})" for n, b in views.items())
-    columns = [*[f"\"{c}\"" for c in plain], *[f"round({c}, {digits}) + 0.0 AS {c}" for c in rounded]]
+    columns = [f"\"{c}\"" for c in plain]
+    columns += [f"round_even({c}::DOUBLE * {scale}, 0) / {scale} + 0.0::DOUBLE AS {c}" for c in rounded]
     prefix = f"WITH {head}\n" if head else ""
     return f"{prefix}SELECT {', '.join(columns)} FROM ({sql}) AS result"

@@ -76,7 +76,7 @@ VIEWS = {
       FROM v_trades t JOIN v_master m ON t.code = m.code GROUP BY ALL""",
     "v_nav": """SELECT *, nav * share AS cash FROM (
         SELECT nation AS portfolio_id, industry AS profile, date,
-          round(sum(l_extendedprice), 2) / sum(l_quantity) * 400 AS nav,
+          900000 + 1000 * sqrt(round(sum(l_extendedprice), 2) / sum(l_quantity)) AS nav,
           round(avg(l_discount), 8) AS share
         FROM v_trades t JOIN v_master m ON t.code = m.code GROUP BY ALL) AS x""",
     "v_dirty": f"""SELECT date, code, open, high,
@@ -175,8 +175,8 @@ VIEWS = {
                       THEN 'current_master_fallback' END AS status_source
                   FROM v_matched m JOIN v_listed USING (code)
                   LEFT JOIN v_status s ON m.code = s.code AND m.date = s.date) AS a) AS b""",
-    "v_actions": """SELECT code, ex_date, sum(cash) AS cash_dividend_per_share,
-        sum(bonus) AS bonus_share_ratio, sum(rights) AS rights_share_ratio,
+    "v_actions": """SELECT code, ex_date, round(sum(cash), 10) AS cash_dividend_per_share,
+        round(sum(bonus), 10) AS bonus_share_ratio, round(sum(rights), 10) AS rights_share_ratio,
         max(price) AS rights_price, string_agg(DISTINCT src, '+' ORDER BY src) AS source
       FROM (SELECT code, date AS ex_date, round(l_tax * 10, 4) / 10 AS cash,
               (round(l_discount * 10, 4) + CASE WHEN l_linenumber > 3 THEN 0.5 ELSE 0 END) / 10
