@@ -35,29 +35,46 @@ def active_on(date: Column, start: Column, end: Column) -> Column:
     return (date >= start) & (end.isNull() | (date <= end))
 
 
-def interval_join(
-    left: DataFrame, intervals: DataFrame, values: list[str], row_key: list[str]
-) -> DataFrame:
-    """Left join on code and date-in-interval; of several active intervals the latest start wins.
+def step_function(intervals: DataFrame, values: list[str]) -> DataFrame:
+    """(code, date, _in): the interval in force from each date on which that can change.
 
-    `left` must be unique on `row_key`, which contains code. Join and window share the partitioning
-    by code, so the window adds no shuffle.
+    `_in.on` is false where none is active; of several active intervals the latest start wins.
+    Starts and days after ends are the only dates compared with intervals, so the work per code
+    grows with its intervals, not with its bars.
     """
-    right = intervals.select(
-        F.col("code").alias("_code"), F.col("effective_from").alias("_from"),
-        F.col("effective_to").alias("_to"), *[F.col(v).alias(f"_v_{v}") for v in values],
+    spans = intervals.select(
+        "code", "effective_from", "effective_to",
+        F.struct(F.lit(True).alias("on"), *[F.col(v).alias(v) for v in values]).alias("_in"),
     )
+    turns = spans.select("code", F.col("effective_from").alias("date")).union(
+        spans.where(F.col("effective_to").isNotNull()).select(
+            "code", F.date_add("effective_to", 1)
+        )
+    ).distinct()
+    s = spans.withColumnRenamed("code", "_code")
     on = (F.col("code") == F.col("_code")) & active_on(
-        F.col("date"), F.col("_from"), F.col("_to")
+        F.col("date"), F.col("effective_from"), F.col("effective_to")
     )
-    latest = Window.partitionBy(*row_key).orderBy(F.col("_from").desc_nulls_last())
-    return (
-        left.join(right, on, "left")
-        .withColumn("_pick", F.row_number().over(latest))
-        .where(F.col("_pick") == 1)
-        .select(
-            *left.columns,
-            F.col("_from").isNotNull().alias("_matched"),
-            *[F.col(f"_v_{v}").alias(v) for v in values],
-        )
+    best = turns.join(s, on, "left").groupBy("code", "date").agg(
+        F.max_by("_in", "effective_from").alias("_in")
+    )
+    nothing = F.struct(
+        F.lit(False).alias("on"),
+        *[F.lit(None).cast(intervals.schema[v].dataType).alias(v) for v in values],
+    )
+    return best.withColumn("_in", F.coalesce("_in", nothing))
+
+
+def interval_join(left: DataFrame, intervals: DataFrame, values: list[str]) -> DataFrame:
+    """Left join on code and date-in-interval, with `_matched`.
+
+    The intervals become a step function, which is then carried forward over the dates of each
+    code: one pass, without comparing every bar to every interval.
+    """
+    steps = step_function(intervals, values)
+    out = asof_backward(left, steps, ["code"], ["_in"])
+    return out.select(
+        *left.columns,
+        F.coalesce(F.col("_in.on"), F.lit(False)).alias("_matched"),
+        *[F.col("_in")[v].alias(v) for v in values],
     )

@@ -7,7 +7,9 @@ the rows still partitioned and sorted. Per-date ranks come last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import RAW_FEATURES, Research
@@ -33,104 +35,168 @@ def daily_returns(bars: DataFrame, *, spread: bool | None = None) -> DataFrame:
     )
 
 
-def add_momentum(df: DataFrame) -> DataFrame:
-    """Price change from 20 (60) rows back to 5 rows back."""
-    return df.withColumns(
+class Step(NamedTuple):
+    """One factor family: row inputs, trailing-window aggregates of them, and the result."""
+
+    inputs: dict[str, Column]
+    frames: dict[str, Column]
+    result: dict[str, Column]
+
+
+def apply(df: DataFrame, steps: list[Step]) -> DataFrame:
+    """Add the results of several families with a single window pass for all their frames."""
+    for layer in zip(*steps):
+        merged = {name: value for part in layer for name, value in part.items()}
+        if merged:
+            df = df.withColumns(merged)
+    helpers = {n for s in steps for n in (*s.inputs, *s.frames)}
+    return df.drop(*helpers)
+
+
+def _momentum() -> Step:
+    return Step(
+        {},
+        {},
         {
             "momentum_20_5": rolling.change("close", 5, 20),
             "momentum_60_5": rolling.change("close", 5, 60),
-        }
+        },
     )
 
 
-def add_trend_quality(df: DataFrame, rows: int = 60) -> DataFrame:
-    """t-statistic of the slope of log price over the last `rows` rows, 0 for a perfect fit.
+def _trend_quality(rows: int = 60) -> Step:
+    """t-statistic of the slope of log price, 0 for a perfect fit.
 
     The regressor is the row number, so its centred sum of squares is a constant.
     """
     frame = rolling.trailing(rows)
-    y = F.when(F.col("close") > 0, F.ln("close"))
-    numbered = df.withColumns({"_x": F.row_number().over(rolling.by_code()), "_y": y})
     sxx = rows * (rows * rows - 1) / 12.0
-    sxy = F.regr_sxy(F.col("_y"), F.col("_x").cast("double")).over(frame)
-    syy = F.regr_syy(F.col("_y"), F.col("_x").cast("double")).over(frame)
-    out = numbered.withColumns(
-        {"_sxy": sxy, "_syy": syy, "_full": F.count("_y").over(frame) == rows}
-    )
     rss = F.greatest(F.col("_syy") - F.col("_sxy") * F.col("_sxy") / sxx, F.lit(0.0))
     error = F.sqrt(rss / (rows - 2) / sxx)
     t = F.when(error == 0, F.lit(0.0)).otherwise(F.col("_sxy") / sxx / F.nullif(error, F.lit(0.0)))
-    return out.withColumn(f"trend_quality_{rows}", F.when(F.col("_full"), t)).drop(
-        "_x", "_y", "_sxy", "_syy", "_full"
+    return Step(
+        {
+            "_x": F.row_number().over(rolling.by_code()).cast("double"),
+            "_y": F.when(F.col("close") > 0, F.ln("close")),
+        },
+        {
+            "_sxy": F.regr_sxy(F.col("_y"), F.col("_x")).over(frame),
+            "_syy": F.regr_syy(F.col("_y"), F.col("_x")).over(frame),
+            "_points": F.count("_y").over(frame),
+        },
+        {f"trend_quality_{rows}": F.when(F.col("_points") == rows, t)},
     )
 
 
-def add_high_position(df: DataFrame, rows: int = 120) -> DataFrame:
+def _high_position(rows: int = 120) -> Step:
     """Distance of the close from its highest close."""
-    peak = rolling.gated(F.max, "close", rows, rows)
-    return df.withColumn(f"high_position_{rows}", F.col("close") / peak - 1.0)
+    return Step(
+        {},
+        {"_peak": rolling.gated(F.max, "close", rows, rows)},
+        {f"high_position_{rows}": F.col("close") / F.col("_peak") - 1.0},
+    )
 
 
-def add_reversal(df: DataFrame) -> DataFrame:
-    return df.withColumn("reversal_5", -rolling.gated(F.sum, "residual_return", 5, 5))
+def _reversal() -> Step:
+    return Step(
+        {},
+        {"_drift": rolling.gated(F.sum, "residual_return", 5, 5)},
+        {"reversal_5": -F.col("_drift")},
+    )
 
 
-def add_risk(df: DataFrame) -> DataFrame:
+def _risk() -> Step:
     """Volatility of the residual return, and of its negative part around zero."""
     loss = F.when(F.col("residual_return").isNotNull(), F.least("residual_return", F.lit(0.0)))
-    return df.withColumns(
+    return Step(
+        {"_loss2": loss * loss},
         {
-            "idio_vol_60": rolling.gated(F.stddev_samp, "residual_return", 60, 40),
-            "downside_vol_60": F.sqrt(rolling.gated(F.avg, loss * loss, 60, 40)),
-        }
+            "_vol": rolling.gated(F.stddev_samp, "residual_return", 60, 40),
+            "_down": rolling.gated(F.avg, "_loss2", 60, 40),
+        },
+        {"idio_vol_60": F.col("_vol"), "downside_vol_60": F.sqrt("_down")},
     )
 
 
-def add_activity(df: DataFrame) -> DataFrame:
-    """Abnormal log activity (turnover, else volume) and its agreement with the residual return."""
-    source = "turnover" if "turnover" in df.columns else "volume"
+def _activity(source: str) -> Step:
+    """Abnormal log activity."""
     floor = F.when(F.col(source).isNotNull(), F.greatest(F.col(source), F.lit(0.0)))
-    df = df.withColumn("_act", F.log1p(floor))
-    df = df.withColumn(
-        "volume_z20",
-        ratio(
-            F.col("_act") - rolling.gated(F.avg, "_act", 20, 15),
-            rolling.gated(F.stddev_samp, "_act", 20, 15),
-        ),
+    return Step(
+        {"_act": F.log1p(floor)},
+        {
+            "_act_mean": rolling.gated(F.avg, "_act", 20, 15),
+            "_act_std": rolling.gated(F.stddev_samp, "_act", 20, 15),
+        },
+        {"volume_z20": ratio(F.col("_act") - F.col("_act_mean"), "_act_std")},
     )
-    df = df.withColumn("_signed", F.signum("residual_return") * F.col("volume_z20"))
-    return df.withColumn(
-        "price_volume_confirmation_5", rolling.gated(F.avg, "_signed", 5, 3)
-    ).drop("_act", "_signed")
 
 
-def add_clv(df: DataFrame) -> DataFrame:
+def _confirmation() -> Step:
+    """Agreement of abnormal activity with the direction of the residual return."""
+    return Step(
+        {"_signed": F.signum("residual_return") * F.col("volume_z20")},
+        {"_agree": rolling.gated(F.avg, "_signed", 5, 3)},
+        {"price_volume_confirmation_5": F.col("_agree")},
+    )
+
+
+def _clv() -> Step:
     """Mean position of the close inside the daily range, from -1 to 1."""
     place = ratio(2.0 * F.col("close") - F.col("high") - F.col("low"), F.col("high") - F.col("low"))
-    return (
-        df.withColumn("_clv", place)
-        .withColumn("clv_5", rolling.gated(F.avg, "_clv", 5, 3))
-        .drop("_clv")
+    return Step(
+        {"_clv": place},
+        {"_clv_mean": rolling.gated(F.avg, "_clv", 5, 3)},
+        {"clv_5": F.col("_clv_mean")},
     )
 
 
-def add_liquidity(df: DataFrame) -> DataFrame:
+def _liquidity() -> Step:
     """Median traded amount and mean price impact of the last 20 rows."""
-    impact = ratio(F.abs("return_1"), "amount") * 1_000_000.0
-    return (
-        df.withColumn("_impact", impact)
-        .withColumns(
-            {
-                "median_amount_20": rolling.gated(
-                    lambda x: F.percentile(x, F.lit(0.5)), "amount", 20, 15
-                ),
-                "amihud_20": rolling.gated(F.avg, "_impact", 20, 15),
-            }
-        )
-        .drop("_impact")
+    return Step(
+        {"_impact": ratio(F.abs("return_1"), "amount") * 1_000_000.0},
+        {
+            "_amount": rolling.gated(lambda x: F.percentile(x, F.lit(0.5)), "amount", 20, 15),
+            "_amihud": rolling.gated(F.avg, "_impact", 20, 15),
+        },
+        {"median_amount_20": F.col("_amount"), "amihud_20": F.col("_amihud")},
     )
 
 
+def add_momentum(df: DataFrame) -> DataFrame:
+    """Price change from 20 (60) rows back to 5 rows back."""
+    return apply(df, [_momentum()])
+
+
+def add_trend_quality(df: DataFrame) -> DataFrame:
+    return apply(df, [_trend_quality()])
+
+
+def add_high_position(df: DataFrame) -> DataFrame:
+    return apply(df, [_high_position()])
+
+
+def add_reversal(df: DataFrame) -> DataFrame:
+    return apply(df, [_reversal()])
+
+
+def add_risk(df: DataFrame) -> DataFrame:
+    return apply(df, [_risk()])
+
+
+def add_activity(df: DataFrame) -> DataFrame:
+    """Abnormal activity of turnover, else of volume, and its confirmation of the price."""
+    source = "turnover" if "turnover" in df.columns else "volume"
+    return apply(apply(df, [_activity(source)]), [_confirmation()])
+
+
+def add_clv(df: DataFrame) -> DataFrame:
+    return apply(df, [_clv()])
+
+
+def add_liquidity(df: DataFrame) -> DataFrame:
+    return apply(df, [_liquidity()])
+
+
 def add_listing_days(df: DataFrame) -> DataFrame:
     return df.withColumn("listing_days", F.row_number().over(rolling.by_code()))
 
@@ -138,12 +204,13 @@ def add_listing_days(df: DataFrame) -> DataFrame:
 def time_series_factors(bars: DataFrame, *, spread: bool | None = None) -> DataFrame:
     """All look-back factors; the input rows with the factor columns added."""
     require_columns(bars, BAR_REQUIRED, "Bar table")
-    df = daily_returns(bars, spread=spread)
-    for step in (
-        add_momentum, add_trend_quality, add_high_position, add_reversal, add_risk,
-        add_activity, add_clv, add_liquidity, add_listing_days,
-    ):
-        df = step(df)
+    df = add_listing_days(daily_returns(bars, spread=spread))
+    source = "turnover" if "turnover" in df.columns else "volume"
+    families = [
+        _trend_quality(), _high_position(), _reversal(), _risk(), _activity(source), _clv(),
+        _liquidity(),
+    ]
+    df = apply(apply(add_momentum(df), families), [_confirmation()])
     return df.withColumns({name: finite(name) for name in RAW_FEATURES})
 
 

@@ -81,16 +81,12 @@ def point_in_time_membership(bars: DataFrame, membership: DataFrame) -> DataFram
         members = members.withColumn(
             "size_bucket", F.upper(F.coalesce("size_bucket", F.lit("UNKNOWN")))
         )
-    out = asof.interval_join(rows, members, values, _row_key(rows))
+    out = asof.interval_join(rows, members, values)
     if values:
         out = out.withColumn("size_bucket", F.coalesce("size_bucket", F.lit("UNKNOWN")))
     return out.withColumnRenamed("_matched", "is_universe_member")
 
 
-def _row_key(rows: DataFrame) -> list[str]:
-    return ["code", "date", *(["_seq"] if "_seq" in rows.columns else [])]
-
-
 def latest_bucket(membership: DataFrame, order: str = "effective_from") -> DataFrame:
     """(code, size_bucket) of the membership that started last."""
     bucket = F.upper(F.coalesce("size_bucket", F.lit("UNKNOWN")))
@@ -164,7 +160,7 @@ def apply_industry(bars: DataFrame, history: DataFrame) -> DataFrame:
     )
     out = asof.interval_join(
         rows, history.withColumn("code", normalize_symbol("code")),
-        ["industry_name", "industry_code", "is_point_in_time"], _row_key(rows),
+        ["industry_name", "industry_code", "is_point_in_time"],
     )
     return out.withColumns(
         {

@@ -236,10 +236,15 @@ def assemble_bars(m: Market):
 
 def stored(m: Market):
     """Assembled bars with some repeated rows, as an audit may meet them."""
-    bars = assembled(m)
+    bars = kept_bars(m)
     return bars.unionByName(bars.where(F.col("volume") > 124))
 
 
+def kept_bars(m: Market):
+    """Assembled bars as storage holds them; the audit reads stored tables."""
+    return m.keep("assembled", lambda: assembled(m))
+
+
 @query(
     "audit_symbols", "code status error rows start_date end_date",
     "point_in_time_status_coverage market_cap_coverage",
@@ -251,13 +256,13 @@ def audit_symbols(m: Market):
 @query("audit_coverage", "code problem")
 def audit_coverage(m: Market):
     listed = assemble.security_master(feeds.resolve_listing(m.view("listings")), source="listing")
-    return quality.audit_coverage(listed, assembled(m))
+    return quality.audit_coverage(listed, kept_bars(m))
 
 
 def audit(m: Market):
     listed = security_master(m)
     return quality.audit_summary(
-        quality.audit_symbols(stored(m)), quality.audit_coverage(listed, assembled(m)),
+        quality.audit_symbols(stored(m)), quality.audit_coverage(listed, kept_bars(m)),
         listed, m.view("benchmarks"), industry(m), actions(m), benchmark_keys=REGIONS,
     )
 

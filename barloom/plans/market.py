@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,11 @@ SCORES = ["baseline_score", "momentum_score"]
 
 
 class Market:
-    """Derived tables of one data folder; the two that many queries read are written once."""
+    """Derived tables of one data folder; those that many queries read are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return fixtures.table(self.spark, self.sf_dir, name)
@@ -38,20 +40,31 @@ class Market:
     def panel(self) -> DataFrame:
         return self.view("panel")
 
-    @cached_property
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several queries read, written to the shared folder on first use."""
+        if name not in self._kept:
+            self._kept[name] = durable(build())
+        return self._kept[name]
+
+    def forget(self) -> None:
+        """Build the written tables anew on next use."""
+        self._kept.clear()
+
+    @property
     def month_end(self) -> DataFrame:
-        return durable(research.month_end_frame(self.panel, spread=self.spread))
+        return self.keep(
+            "month_end", lambda: research.month_end_frame(self.panel, spread=self.spread)
+        )
 
-    @cached_property
+    @property
     def predictions(self) -> DataFrame:
-        dataset = research.research_dataset(self.month_end, spread=self.spread)
-        scored = scoring.add_score(dataset)
-        return durable(scoring.add_score(scored, "momentum_score", MOMENTUM_WEIGHTS))
+        def build() -> DataFrame:
+            scored = scoring.add_score(
+                research.research_dataset(self.month_end, spread=self.spread)
+            )
+            return scoring.add_score(scored, "momentum_score", MOMENTUM_WEIGHTS)
 
-    def forget(self) -> None:
-        """Build the written tables anew on next use."""
-        for name in ("month_end", "predictions"):
-            self.__dict__.pop(name, None)
+        return self.keep("predictions", build)
 
 
 _OPEN: dict[tuple[str, str], Market] = {}

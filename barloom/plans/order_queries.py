@@ -122,7 +122,7 @@ def signal_schedule(m: Market):
 @query(
     "rebalance_summary", "portfolio_id execution_date filled_orders rejected_orders "
     "large_selected_count mid_selected_count entered_count exited_count",
-    "traded_notional fees turnover large_target_weight mid_target_weight", 4,
+    "traded_notional:1 fees:1 turnover large_target_weight mid_target_weight",
 )
 def rebalance_summary(m: Market):
     return rebalances(m)
@@ -256,8 +256,11 @@ PLAN = Portfolio(default_lot_size=10, min_trade_value=20_000.0, rebalance_weight
 
 
 def plan(m: Market):
-    last = scoring.latest_scores(
-        research.latest_cross_section(m.month_end, spread=m.spread), spread=m.spread
+    last = m.keep(
+        "latest_scores",
+        lambda: scoring.latest_scores(
+            research.latest_cross_section(m.month_end, spread=m.spread), spread=m.spread
+        ),
     )
     signal = last.agg(F.max("date")).scalar()
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))

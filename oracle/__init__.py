@@ -23,13 +23,16 @@ def _collect(sql: str, done: dict[str, str]) -> None:
             done[name] = VIEWS[name]
 
 
-def statement(sql: str, plain: list[str], rounded: list[str], digits: int) -> str:
-    """The query with the views it needs, its measures rounded."""
-    views: dict[str, str] = {}
+def _rounded(name: str, digits: int) -> str:
     scale = f"{10**digits}::DOUBLE"
+    return f"round_even({name}::DOUBLE * {scale}, 0) / {scale} + 0.0::DOUBLE AS {name}"
+
+
+def statement(sql: str, plain: list[str], measures: dict[str, int]) -> str:
+    """The query with the views it needs, its measures rounded like the registered query's."""
+    views: dict[str, str] = {}
     _collect(sql, views)
     head = ",\n".join(f"{n} AS MATERIALIZED ({b})" for n, b in views.items())
-    columns = [f"\"{c}\"" for c in plain]
-    columns += [f"round_even({c}::DOUBLE * {scale}, 0) / {scale} + 0.0::DOUBLE AS {c}" for c in rounded]
+    columns = [f'"{c}"' for c in plain] + [_rounded(c, d) for c, d in measures.items()]
     prefix = f"WITH {head}\n" if head else ""
     return f"{prefix}SELECT {', '.join(columns)} FROM ({sql}) AS result"
