@@ -17,7 +17,7 @@ from barloom.registry import QUERIES  # noqa: F401
 def flagship(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The `k` strongest momentum names among the securities of each month end."""
     m = market(spark, sf_dir)
-    ranked = labels.sample_month_ends(factors.add_momentum(m.view("bars")), m.view("bars"))
+    ranked = labels.sample_month_ends(factors.add_momentum(m.bars), m.bars)
     return cross.top_k(
         ranked.where(F.col("momentum_60_5").isNotNull()), ["date"],
         [F.col("momentum_60_5").desc(), F.col("code")], k,

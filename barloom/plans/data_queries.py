@@ -19,14 +19,24 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 MEMBERSHIP_SOURCE = "month_end_history"
 
 
-def membership(m: Market):
+def build_membership(m: Market):
     return pit.compress_snapshots(m.view("membership_snapshots"))
 
 
-def industry(m: Market):
+def membership(m: Market):
+    """Membership intervals as landed in storage."""
+    return m.keep("membership", lambda: build_membership(m))
+
+
+def build_industry(m: Market):
     return pit.normalize_industry_history(m.view("raw_industry"))
 
 
+def industry(m: Market):
+    """Industry intervals as landed in storage."""
+    return m.keep("industry", lambda: build_industry(m))
+
+
 def security_master(m: Market):
     """Suppliers as a listing with exchange and board."""
     listed = with_venue(m.view("master").withColumnRenamed("is_st", "is_st_current"))
@@ -47,20 +57,25 @@ def assembled(m: Market):
     )
 
 
-def actions(m: Market):
+def build_actions(m: Market):
     return assemble.merge_actions(
         assemble.normalize_dividends(m.view("raw_dividends")),
         assemble.normalize_rights(m.view("raw_rights")),
     )
 
 
+def actions(m: Market):
+    """Corporate actions as landed in storage."""
+    return m.keep("actions", lambda: build_actions(m))
+
+
 @query(
     "load_bars", "date code is_universe_member size_bucket industry industry_is_point_in_time "
     "is_trading lot_size", "open high low close volume amount", 8,
 )
 def load_bars(m: Market):
     root = f"{shared_folder(m.spark)}/barloom/market-{uuid.uuid4().hex}"
-    writers.write_table(m.view("bars"), f"{root}/bars/part.parquet")
+    writers.write_table(m.bars, f"{root}/bars/part.parquet")
     writers.write_table(membership(m), f"{root}/universe_membership.parquet")
     writers.write_table(industry(m), f"{root}/industry_history.parquet")
     return readers.load_bars(m.spark, root)
@@ -82,7 +97,7 @@ def load_actions(m: Market):
 )
 def corporate_actions(m: Market):
     window = F.col("ex_date").between(F.lit(START).cast("date"), F.lit(END).cast("date"))
-    return actions(m).where(window)
+    return build_actions(m).where(window)
 
 
 @query("normalize_symbol", "raw code exchange board")
@@ -117,7 +132,7 @@ def data_quality(m: Market):
 
 @query("upsert_bars", "code date", "open high low close volume amount", 8)
 def upsert_bars(m: Market):
-    stored = m.view("bars")
+    stored = m.bars
     fresh = m.view("adjusted_feed").where(F.col("date") >= F.lit(START).cast("date"))
     return writers.upsert(stored, fresh, ["code", "date"])
 
@@ -177,17 +192,17 @@ def membership_rules(m: Market):
     "membership_intervals", "code effective_from effective_to size_bucket security_name",
 )
 def membership_intervals(m: Market):
-    return membership(m)
+    return build_membership(m)
 
 
 @query("pit_membership", "code date is_universe_member size_bucket")
 def pit_membership(m: Market):
-    return pit.point_in_time_membership(m.view("bars"), membership(m))
+    return pit.point_in_time_membership(m.bars, membership(m))
 
 
 @query("snapshot_membership", "code date size_bucket")
 def snapshot_membership(m: Market):
-    return pit.snapshot_membership(m.view("bars"), membership(m))
+    return pit.snapshot_membership(m.bars, membership(m))
 
 
 @query(
@@ -195,12 +210,12 @@ def snapshot_membership(m: Market):
     "industry_standard is_point_in_time",
 )
 def industry_history(m: Market):
-    return industry(m).join(m.view("master").select("code"), "code", "left_semi")
+    return build_industry(m).join(m.view("master").select("code"), "code", "left_semi")
 
 
 @query("pit_industry", "code date industry industry_code industry_is_point_in_time")
 def pit_industry(m: Market):
-    return pit.apply_industry(m.view("bars"), industry(m))
+    return pit.apply_industry(m.bars, industry(m))
 
 
 @query(
@@ -321,7 +336,7 @@ def universe_segments(m: Market):
 
 @query("sample_universe", "code date", "close", 8)
 def sample_universe(m: Market):
-    return quality.sample_universe(m.view("bars"), 7)
+    return quality.sample_universe(m.bars, 7)
 
 
 @query("backfill_gaps", "code request_start request_end complete missing_head_to missing_tail_from")

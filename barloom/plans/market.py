@@ -16,6 +16,8 @@ from barloom.sources import fixtures
 # The second ranker of the reports.
 MOMENTUM_WEIGHTS = {"momentum_20_5_z": 0.5, "momentum_60_5_z": 0.5}
 SCORES = ["baseline_score", "momentum_score"]
+# Fixture views built on the bar table.
+FROM_BARS = {"panel", "dirty_bars", "membership_snapshots", "adjusted_feed", "desk_holdings"}
 
 
 class Market:
@@ -29,6 +31,8 @@ class Market:
         return fixtures.table(self.spark, self.sf_dir, name)
 
     def view(self, name: str) -> DataFrame:
+        if name in FROM_BARS:
+            return getattr(fixtures, name)(self.spark, self.sf_dir, self.bars)
         return getattr(fixtures, name)(self.spark, self.sf_dir)
 
     @cached_property
@@ -36,9 +40,15 @@ class Market:
         """Whether a date may exceed one task, judged by the size of the trade table."""
         return sizing.needs_spread(self.table("lineitem"))
 
-    @cached_property
+    @property
+    def bars(self) -> DataFrame:
+        """Daily bars as landed in storage."""
+        return self.keep("bars", lambda: fixtures.bars(self.spark, self.sf_dir))
+
+    @property
     def panel(self) -> DataFrame:
-        return self.view("panel")
+        """Landed bars with the attributes of their securities."""
+        return self.keep("panel", lambda: self.view("panel"))
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that several queries read, written to the shared folder on first use."""
@@ -46,9 +56,9 @@ class Market:
             self._kept[name] = durable(build())
         return self._kept[name]
 
-    def forget(self) -> None:
-        """Build the written tables anew on next use."""
-        self._kept.clear()
+    def forget(self, landed: tuple[str, ...] = ()) -> None:
+        """Build the written tables anew on next use, all but the landed ones named."""
+        self._kept = {k: v for k, v in self._kept.items() if k in landed}
 
     @property
     def month_end(self) -> DataFrame:

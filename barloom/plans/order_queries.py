@@ -67,7 +67,7 @@ def customer_flows(m: Market):
 def customer_positions(m: Market):
     flows = customer_flows(m)
     valuation = flows.select("portfolio_id", "date").distinct()
-    return orders.positions(orders.position_spans(flows), valuation, m.view("bars"), buckets(m))
+    return orders.positions(orders.position_spans(flows), valuation, m.bars, buckets(m))
 
 
 def customer_nav(m: Market, holdings):
@@ -116,7 +116,7 @@ def order_priority(m: Market):
 
 @query("signal_schedule", "signal_date execution_date code", "score", 5)
 def signal_schedule(m: Market):
-    return orders.schedule_signals(candidates(m), m.view("bars"))
+    return orders.schedule_signals(candidates(m), m.bars)
 
 
 @query(
@@ -236,7 +236,7 @@ def target_quantities(m: Market):
     wanted = held.select("portfolio_id", "date").distinct().join(
         picked.select("date", "code", F.lit(share).alias("target_weight")), "date"
     )
-    prices = m.view("bars").select(
+    prices = m.bars.select(
         "date", "code", F.col("close").alias("price"), F.lit(1).alias("lot_size")
     )
     worth = held.join(prices, ["date", "code"]).groupBy("portfolio_id", "date").agg(

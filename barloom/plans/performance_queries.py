@@ -110,7 +110,7 @@ def regime_attribution(m: Market):
 @query("equal_weight_nav", "date", "benchmark_return universe_equal_weight_nav", 4)
 def equal_weight_nav(m: Market):
     # The test prices jump by orders of magnitude; roots keep years of compounding finite.
-    bars = m.view("bars").withColumn("close", 1000.0 + F.sqrt("close"))
+    bars = m.bars.withColumn("close", 1000.0 + F.sqrt("close"))
     return performance.equal_weight_nav(
         pit.point_in_time_membership(bars, membership(m)), INITIAL
     )

@@ -18,47 +18,47 @@ Z = " ".join(MODEL_FEATURES)
 
 @query("daily_returns", "date code", "return_1 market_return residual_return")
 def daily_returns(m: Market):
-    return factors.daily_returns(m.view("bars"), spread=m.spread)
+    return factors.daily_returns(m.bars, spread=m.spread)
 
 
 @query("momentum_factors", "date code", "momentum_20_5 momentum_60_5")
 def momentum_factors(m: Market):
-    return factors.add_momentum(m.view("bars"))
+    return factors.add_momentum(m.bars)
 
 
 @query("trend_quality", "date code", "trend_quality_60", 5)
 def trend_quality(m: Market):
-    return factors.add_trend_quality(m.view("bars"))
+    return factors.add_trend_quality(m.bars)
 
 
 @query("reversal_factor", "date code", "reversal_5")
 def reversal_factor(m: Market):
-    return factors.add_reversal(factors.daily_returns(m.view("bars"), spread=m.spread))
+    return factors.add_reversal(factors.daily_returns(m.bars, spread=m.spread))
 
 
 @query("high_position", "date code", "high_position_120")
 def high_position(m: Market):
-    return factors.add_high_position(m.view("bars"))
+    return factors.add_high_position(m.bars)
 
 
 @query("risk_factors", "date code", "idio_vol_60 downside_vol_60")
 def risk_factors(m: Market):
-    return factors.add_risk(factors.daily_returns(m.view("bars"), spread=m.spread))
+    return factors.add_risk(factors.daily_returns(m.bars, spread=m.spread))
 
 
 @query("activity_factors", "date code", "volume_z20 price_volume_confirmation_5")
 def activity_factors(m: Market):
-    return factors.add_activity(factors.daily_returns(m.view("bars"), spread=m.spread))
+    return factors.add_activity(factors.daily_returns(m.bars, spread=m.spread))
 
 
 @query("clv_factor", "date code", "clv_5")
 def clv_factor(m: Market):
-    return factors.add_clv(m.view("bars"))
+    return factors.add_clv(m.bars)
 
 
 @query("liquidity_factors", "date code", "median_amount_20 liquidity_percentile amihud_20", 4)
 def liquidity_factors(m: Market):
-    returns = m.view("bars").withColumn("return_1", factors.rolling.change("close"))
+    returns = m.bars.withColumn("return_1", factors.rolling.change("close"))
     return cross.percent_rank_average(
         factors.add_liquidity(returns), ["date"], "median_amount_20", "liquidity_percentile",
         spread=m.spread,
@@ -82,12 +82,12 @@ def raw_factors(m: Market):
     "forward_return benchmark_forward_return target_excess_return target_rank",
 )
 def forward_labels(m: Market):
-    return labels.forward_labels(m.view("bars"), 20, spread=m.spread)
+    return labels.forward_labels(m.bars, 20, spread=m.spread)
 
 
 @query("month_end_sample", "date code", "open high low close volume amount", 8)
 def month_end_sample(m: Market):
-    return labels.sample_month_ends(m.view("bars"))
+    return labels.sample_month_ends(m.bars)
 
 
 def _z_columns(m: Market):

@@ -1,7 +1,7 @@
 """Market tables derived from the star-schema test tables.
 
 One supplier is one security, one order line one trade, one customer (or nation) one portfolio.
-Every view covers the whole of its source tables.
+Every view covers the whole of its source tables. `daily` is the bar table.
 """
 
 from __future__ import annotations
@@ -74,11 +74,10 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
     """Bars with the attributes the research operators read."""
     return (
-        bars(spark, sf_dir)
-        .join(master(spark, sf_dir).drop("nation"), "code", "left")
+        daily.join(master(spark, sf_dir).drop("nation"), "code", "left")
         .withColumns(
             {
                 "is_trading": (F.col("volume") > 0) & (F.col("amount") > 0),
@@ -90,12 +89,12 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_bars(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
     """Bars as text with a second batch: repeats of returned lines, some of them broken.
 
     `_seq` is the ingest order; the second batch is later.
     """
-    first = bars(spark, sf_dir)
+    first = daily
     lines = trades(spark, sf_dir).where(F.col("l_returnflag") == "R")
     again = to_bars(lines).withColumns(
         {
@@ -146,9 +145,9 @@ def navs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("cash", F.col("nav") * F.col("share")).drop("share")
 
 
-def membership_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def membership_snapshots(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
     """Securities with enough volume in a month, stamped with the month's last trading date."""
-    daily = bars(spark, sf_dir).select("code", "date", "volume")
+    daily = daily.select("code", "date", "volume")
     ends = labels.month_ends(daily).select(
         F.trunc("date", "month").alias("month"), F.col("date").alias("snapshot_date")
     )
@@ -268,10 +267,10 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_bars(lines).join(turnover, ["code", "date"])
 
 
-def adjusted_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def adjusted_feed(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
     """Prices adjusted by a tenth before 1998; the busiest days are missing."""
     factor = F.when(F.col("date") < F.lit("1998-01-01").cast("date"), 0.9).otherwise(1.0)
-    return bars(spark, sf_dir).where(F.col("volume") < 128).withColumns(
+    return daily.where(F.col("volume") < 128).withColumns(
         {c: F.col(c) * factor for c in ("open", "high", "low", "close")}
     )
 
@@ -330,10 +329,10 @@ def desk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("is_full_exit", (F.col("side") == "SELL") & (F.col("quantity") >= 45))
 
 
-def desk_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def desk_holdings(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
     """Securities a desk bought net in a month, dated to the month's last trading date."""
     rows = desk_requests(spark, sf_dir)
-    ends = labels.month_ends(bars(spark, sf_dir).select("date")).select(
+    ends = labels.month_ends(daily.select("date")).select(
         F.trunc("date", "month").alias("month"), F.col("date").alias("rebalance")
     )
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))

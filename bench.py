@@ -1,6 +1,7 @@
 """Time the headline queries and print one JSON line.
 
-Every query starts cold: tables written for an earlier query are forgotten.
+Bars are landed first, as their own entry; every query then starts from the landed bars and the
+source tables, and nothing written for an earlier query is reused.
 """
 
 from __future__ import annotations
@@ -28,15 +29,20 @@ def main() -> None:
     # One untimed query starts the JVM's code paths and the file system cache.
     catalog.flagship(spark, sf_dir).count()
     times = {}
+    m = market(spark, sf_dir)
+    m.forget()
+    start = time.perf_counter()
+    m.panel  # noqa: B018 - writes bars and panel
+    times["land_bars"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
-        market(spark, sf_dir).forget()
+        m.forget(("bars", "panel"))
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(
             {
-                "metric": "total wall time of headline queries, each from source tables",
+                "metric": "total wall time of landing the bars and of the headline queries",
                 "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                 "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
             }
