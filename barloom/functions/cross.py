@@ -240,23 +240,24 @@ def top_k(
 
 
 def flag_top_k(
-    df: DataFrame, score: str, k: int, out: str = "selected", date: str = "date"
+    df: DataFrame, score: str, k: int, out: str = "selected", keys: tuple[str, ...] = ("date",)
 ) -> DataFrame:
-    """Add `out`: whether the row is among the `k` best scores of its date, ties by code.
+    """Add `out`: whether the row is among the `k` best scores of its group, ties by code.
 
-    The last admitted (score, code) of each date is found by a group-limited window; the flag is
-    then a comparison with that one row per date, so the full cross-section is never sorted.
+    The last admitted (score, code) of each group is found by a group-limited window; the flag is
+    then a comparison with that one row, so the full cross-section is never sorted. `keys` are the
+    date and at most a column with a few values, such as the model.
     """
     slim = df.where(F.col(score).isNotNull()).select(
-        F.col(date), F.col(score).alias("_s"), F.col("code").alias("_c")
+        *keys, F.col(score).alias("_s"), F.col("code").alias("_c")
     )
-    best = top_k(slim, [date], [F.col("_s").desc(), F.col("_c")], k, "_k")
-    cut = best.groupBy(date).agg(F.max_by(F.struct("_s", "_c"), "_k").alias("_cut"))
+    best = top_k(slim, list(keys), [F.col("_s").desc(), F.col("_c")], k, "_k")
+    cut = best.groupBy(*keys).agg(F.max_by(F.struct("_s", "_c"), "_k").alias("_cut"))
     s, c = F.col(score), F.col("code")
     inside = (s > F.col("_cut._s")) | ((s == F.col("_cut._s")) & (c <= F.col("_cut._c")))
-    # One row per date: bounded by sizing.MAX_DATES.
+    # One row per date (and model): bounded by sizing.MAX_DATES.
     return (
-        df.join(F.broadcast(cut), date, "left")
+        df.join(F.broadcast(cut), list(keys), "left")
         .withColumn(out, F.coalesce(inside, F.lit(False)))
         .drop("_cut")
     )

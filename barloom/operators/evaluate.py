@@ -139,17 +139,8 @@ def select_top(
     predictions: DataFrame, scores: list[str], k: int, keep: list[str]
 ) -> DataFrame:
     """Stacked rows with `selected` for the top `k` of each model and date."""
-    flagged = predictions.select("date", "code", *keep, *scores)
-    for s in scores:
-        flagged = cross.flag_top_k(flagged, s, k, f"_top_{s}")
-    pairs = [
-        F.struct(
-            F.lit(s.removesuffix("_score")).alias("model"), F.col(s).alias("score"),
-            F.col(f"_top_{s}").alias("selected"),
-        )
-        for s in scores
-    ]
-    return flagged.select("date", "code", *keep, F.inline(F.array(*pairs)))
+    stacked = by_model(predictions, scores, ["date", "code", *keep])
+    return cross.flag_top_k(stacked, "score", k, keys=("model", "date"))
 
 
 def selection_report(predictions: DataFrame, scores: list[str], *, top_k: int) -> DataFrame:

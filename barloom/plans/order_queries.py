@@ -38,10 +38,15 @@ def limited_bars(m: Market):
     return assemble.add_price_limits(bars)
 
 
-def executed(m: Market):
+def execute(m: Market):
     return orders.order_feasibility(m.view("desk_requests"), limited_bars(m), EXECUTION, COSTS)
 
 
+def executed(m: Market):
+    """The order ledger as landed in storage."""
+    return m.keep("executed", lambda: execute(m))
+
+
 def desk_fills(m: Market):
     return executed(m).where(F.col("filled_quantity") > 0).select(
         "portfolio_id", "date", "code", "side", F.col("filled_quantity").alias("quantity"), "price"
@@ -61,13 +66,18 @@ def rebalances(m: Market):
 
 
 def customer_flows(m: Market):
-    return orders.daily_flows(m.view("fills"), COSTS)
+    return m.keep("flows", lambda: orders.daily_flows(m.view("fills"), COSTS))
 
 
 def customer_positions(m: Market):
-    flows = customer_flows(m)
-    valuation = flows.select("portfolio_id", "date").distinct()
-    return orders.positions(orders.position_spans(flows), valuation, m.bars, buckets(m))
+    """The position ledger as landed in storage."""
+
+    def build():
+        flows = customer_flows(m)
+        valuation = flows.select("portfolio_id", "date").distinct()
+        return orders.positions(orders.position_spans(flows), valuation, m.bars, buckets(m))
+
+    return m.keep("positions", build)
 
 
 def customer_nav(m: Market, holdings):
@@ -106,7 +116,7 @@ def order_fees(m: Market):
     "price notional fees", 5,
 )
 def order_feasibility(m: Market):
-    return executed(m)
+    return execute(m)
 
 
 @query("order_priority", "portfolio_id date code side priority")
