@@ -159,9 +159,16 @@ def positions(
 
     Closes come from a filled calendar; a security never priced is worth 0.
     """
-    held = spans.where(F.col("quantity") != 0).join(valuation, "portfolio_id").where(
-        (F.col("date") >= F.col("held_from"))
-        & (F.col("changed_on").isNull() | (F.col("date") < F.col("changed_on")))
+    # One row per portfolio with its valuation dates, at most the calendar: the spans of a portfolio
+    # holding very much can then be split over tasks, and only dates inside a span become rows.
+    dates = valuation.groupBy("portfolio_id").agg(F.collect_set("date").alias("_dates"))
+    inside = F.filter(
+        "_dates",
+        lambda d: (d >= F.col("held_from"))
+        & (F.col("changed_on").isNull() | (d < F.col("changed_on"))),
+    )
+    held = spans.where(F.col("quantity") != 0).join(dates, "portfolio_id").select(
+        "portfolio_id", "code", "quantity", F.explode(inside).alias("date")
     )
     last = valuation.agg(F.max("date")).scalar()
     price = either(bars, "raw_close", "close").alias("price")
@@ -243,12 +250,26 @@ def rebalance_summary(
 
 
 def action_bookings(actions: DataFrame, spans: DataFrame) -> DataFrame:
-    """Dividends, bonus shares and unsubscribed rights of securities held into the ex-date."""
-    rows = actions.withColumn("code", pad_code("code")).join(
-        spans.where(F.col("quantity") > 0), "code"
-    ).where(
-        (F.col("held_from") < F.col("ex_date"))
-        & (F.col("changed_on").isNull() | (F.col("changed_on") >= F.col("ex_date")))
+    """Dividends, bonus shares and unsubscribed rights of securities held into the ex-date.
+
+    Actions are merged to one per code and ex-date first, so a code's list is bounded by the
+    calendar; the holders of a widely held security can then be split over tasks.
+    """
+    fields = [
+        "ex_date", "cash_dividend_per_share", "bonus_share_ratio", "rights_share_ratio",
+        "rights_price",
+    ]
+    merged = actions.groupBy(pad_code("code").alias("code"), "ex_date").agg(
+        *[F.sum(c).alias(c) for c in fields[1:4]], F.max("rights_price").alias("rights_price")
+    )
+    lists = merged.groupBy("code").agg(F.collect_list(F.struct(*fields)).alias("_actions"))
+    due = F.filter(
+        "_actions",
+        lambda a: (F.col("held_from") < a["ex_date"])
+        & (F.col("changed_on").isNull() | (F.col("changed_on") >= a["ex_date"])),
+    )
+    rows = spans.where(F.col("quantity") > 0).join(lists, "code").select(
+        "portfolio_id", "code", "quantity", F.inline(due)
     )
     q = F.col("quantity")
     bonus = F.floor(q * F.col("bonus_share_ratio"))
