@@ -10,6 +10,7 @@ from barloom.operators import factors, labels, preprocess, scoring, splits
 from barloom.plans import research
 from barloom.plans.market import Market
 from barloom.registry import query
+from barloom.session import durable
 
 FOLDS = {"train_months": 24, "validation_months": 6, "test_months": 6}
 TOP_K = 5
@@ -116,7 +117,7 @@ def robust_zscore(m: Market):
 
 @query("standardized_factors", "date code", Z, 5)
 def standardized_factors(m: Market):
-    return preprocess.standardize(m.month_end.where("tradable"), spread=m.spread)
+    return preprocess.standardize(m.month_end.where("tradable"), spread=m.spread, cut=durable)
 
 
 @query(
