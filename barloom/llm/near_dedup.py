@@ -7,19 +7,19 @@ members is split by one more value, and again, so crowded parts of an order are
 neighbours of a longer common prefix. Inside a part, classes are candidates if their whole signatures
 agree in at least LIKELY of all values.
 
-Pairs are confirmed on the full sets and linked classes joined to components, in these rounds:
+Links are confirmed on the full sets and linked classes joined to components, in three rounds:
 
 1. star: in each part, the class with the most likely partners is paired with them, then the next of
    those left, so a part gives fewer pairs than it has members, and a crowd falls into few components.
 2. centres: where a region has several parts, their centres are paired with the one that has most.
-3. best: of the members of a region that are in different components, each with its likeliest partner
-   of each other component.
-4. all: every likely pair of a region still in different components.
+3. across: every likely pair of a region whose classes are still in different components is compared
+   by its full sets where the region's rows meet; only links leave the task.
 
-Rounds 3 and 4 look at whole regions again, whatever their size, but only across components: members
-outside the largest component of a region are compared with all, in blocks. So no likely pair of one
-region stays untried unless its classes are already in one component, and a pair of similarity 0.75
-shares a region with probability 1 - (1 - 0.75^START)^TREES, 0.99998.
+Round 3 looks at whole regions again, whatever their size, but only across components: members outside
+the largest component of a region are compared with all, in blocks, each pair in the first tree whose
+region holds both. So no likely pair of one region stays untried unless its classes are already in one
+component, and a pair of similarity 0.75 shares a region with probability
+1 - (1 - 0.75^START)^TREES, 0.99998.
 
 Edge cases: a document with fewer than five words has its whole sequence as one shingle; null, empty
 and blank texts have none and are linked with nothing; repeated rows are one class; component_id is
@@ -204,40 +204,62 @@ def _PAIR_KINDS():
     return pa.binary(), pa.binary(), pa.int64(), pa.int64()
 
 
-def _across(every: bool):
-    """Rounds 3 and 4: likely pairs of different components in a block of a region."""
+def _cross_likely(table):
+    """Yields (i, others): likely partners of i, one of the few, in other components of a block."""
+    few = table["few"].to_numpy(zero_copy_only=False)
+    if not few.any():
+        return
+    turn = table["turn"].to_numpy(zero_copy_only=False)
+    _, comp = np.unique(np.array(table["comp"].to_pylist(), dtype=object), return_inverse=True)
+    sig, tree = _signatures(table), table["tree"][0].as_py()
+    starts = np.add.outer(np.arange(tree) * DEPTH, np.arange(START))
+    for i in np.flatnonzero(few):
+        # Two of the few meet in several blocks and are compared in one.
+        other = np.flatnonzero((comp != comp[i]) & (~few | (turn & turn[i])))
+        other = other[(sig[other] == sig[i]).sum(axis=1) >= LIKELY]
+        if tree and len(other):  # an earlier tree has compared those that share a region there
+            met = (sig[other][:, starts] == sig[i][starts]).all(axis=2).any(axis=1)
+            other = other[~met]
+        if len(other):
+            yield i, other, comp
 
-    def run(batches):
-        import pyarrow as pa
 
+BLOCK_COLUMNS = ["rkey", "block", "tree", "few", "turn", "comp", "key", "sig"]
+
+
+def _asked(batches):
+    """The rows of a block that have a likely partner in another component."""
+    import pyarrow as pa
+
+    for table in _grouped(batches, BLOCK_COLUMNS):
+        keep = np.zeros(table.num_rows, bool)
+        for i, other, _ in _cross_likely(table):
+            keep[i] = keep[other] = True
+        if keep.any():
+            yield from table.filter(pa.array(keep)).to_batches()
+
+
+def _across(batches):
+    """Round 3: (a, b): for each class, one confirmed link to each other component it has links to."""
+    import pyarrow as pa
+
+    for table in _grouped(batches, [*BLOCK_COLUMNS, "shingles"]):
         out: set[tuple] = set()
-        for table in _grouped(batches, ["rkey", "block", "few", "turn", "comp", "key", "sig"]):
-            few = table["few"].to_numpy(zero_copy_only=False)
-            if not few.any():
+        keys, sets = table["key"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        for i, other, comp in _cross_likely(table):
+            other = other[OF * np.minimum(size[other], size[i]) >= ABOVE * np.maximum(size[other], size[i])]
+            if not len(other):
                 continue
-            turn = table["turn"].to_numpy(zero_copy_only=False)
-            keys = table["key"].to_pylist()
-            _, comp = np.unique(np.array(table["comp"].to_pylist(), dtype=object), return_inverse=True)
-            sig = _signatures(table)
-            for i in np.flatnonzero(few):
-                # Two of the few meet in several blocks and are compared in one.
-                other = np.flatnonzero((comp != comp[i]) & (~few | (turn & turn[i])))
-                if not len(other):
-                    continue
-                same = (sig[other] == sig[i]).sum(axis=1)
-                other, same = other[same >= LIKELY], same[same >= LIKELY]
-                if not every and len(other):
-                    order = np.lexsort((-same, comp[other]))
-                    other = other[order][np.r_[True, np.diff(comp[other][order]) != 0]]
-                out.update((min(keys[i], keys[j]), max(keys[i], keys[j])) for j in other)
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
-                out = set()
+            whole = np.concatenate([sets[j] for j in other])
+            at = np.minimum(np.searchsorted(sets[i], whole), size[i] - 1)
+            both = np.add.reduceat(sets[i][at] == whole, np.cumsum(size[other]) - size[other], dtype=np.int64)
+            linked = other[OF * both >= ABOVE * (size[other] + size[i] - both)]
+            _, first = np.unique(comp[linked], return_index=True)
+            out.update((min(keys[i], keys[j]), max(keys[i], keys[j])) for j in linked[first])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
 
-    return run
-
 
 def _confirmed(batches):
     import pyarrow as pa
@@ -288,7 +310,7 @@ def components(links: DataFrame) -> DataFrame:
 def _mixed_blocks(members: DataFrame, roots: DataFrame, region: int) -> DataFrame:
     """Members of regions that hold several components, in blocks. The members outside a region's
     largest component are the few; each block has some of them and some of the others."""
-    placed = members.select("rkey", "key", "sig").join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    placed = members.select("rkey", "tree", "key", "sig").join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     placed = landed(placed)
     sizes = placed.groupBy("rkey", "comp").agg(F.count(F.lit(1)).alias("n"))
     told = (
@@ -305,17 +327,17 @@ def _mixed_blocks(members: DataFrame, roots: DataFrame, region: int) -> DataFram
     few_at, main_at = F.pmod(spot, "few_blocks"), F.pmod(spot, "main_blocks")
     # A block is (x, y): the few of part x with the main of part y, or with the few of part y.
     main = rows.where("not few").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1))).select(
-        "rkey", F.xxhash64("x", main_at).alias("block"), "few", F.lit(False).alias("turn"), "comp", "key", "sig"
+        "rkey", F.xxhash64("x", main_at).alias("block"), "tree", "few", F.lit(False).alias("turn"), "comp", "key", "sig"
     )
     few = rows.where("few").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("main_blocks") - 1))).select(
-        "rkey", F.xxhash64(few_at, "y").alias("block"), "few", (F.col("y") == 0).alias("turn"), "comp", "key", "sig"
+        "rkey", F.xxhash64(few_at, "y").alias("block"), "tree", "few", (F.col("y") == 0).alias("turn"), "comp", "key", "sig"
     )
     cross = (
         rows.where("few and few_blocks > 1")
         .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1))).where(F.col("y") != few_at)
         .select(
             "rkey", F.xxhash64(F.lit("few"), F.least("y", few_at), F.greatest("y", few_at)).alias("block"),
-            "few", F.lit(True).alias("turn"), "comp", "key", "sig",
+            "tree", "few", F.lit(True).alias("turn"), "comp", "key", "sig",
         )
     )
     return main.unionByName(few).unionByName(cross)
@@ -352,19 +374,14 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, region: int = REGI
     )
     tried = _confirm(pairs, sets)
     roots = components(tried.where("linked").select("a", "b"))
-    for every in (False, True):
-        blocks = _mixed_blocks(members.join(active, "key", "left_semi"), roots, region)
-        by_block = blocks.repartition("rkey", "block").sortWithinPartitions("rkey", "block")
-        new = landed(
-            mapped(by_block, _across(every), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti")
-        )
-        if new.isEmpty():
-            continue
-        got = _confirm(new, sets)
-        tried = tried.unionByName(got)
-        if not got.where("linked").isEmpty():
-            known = roots.select(F.col("key").alias("a"), F.col("root").alias("b"))
-            roots = components(known.unionByName(got.where("linked").select("a", "b")))
+    blocks = _mixed_blocks(members.join(active, "key", "left_semi"), roots, region)
+    schema = "rkey long, block long, tree int, few boolean, turn boolean, comp binary, key binary, sig binary"
+    in_blocks = lambda rows: rows.repartition("rkey", "block").sortWithinPartitions("rkey", "block")
+    asked = landed(mapped(in_blocks(blocks), _asked, schema))
+    new = landed(mapped(in_blocks(asked.join(sets, "key")), _across, "a binary, b binary"))
+    if not new.isEmpty():
+        known = roots.select(F.col("key").alias("a"), F.col("root").alias("b"))
+        roots = components(known.unionByName(new))
     rooted = classes.select("key", "doc").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     return features, landed(rooted.join(smallest, "root").select("key", "doc", "component_id"))
