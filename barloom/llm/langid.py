@@ -14,7 +14,8 @@ unknown fall back together.
 Training reads a sample of the labelled rows: each language's rows with a probability of SAMPLE over
 the number of its rows, so about SAMPLE documents of each language whatever the input; whole texts.
 Strings are counted in the tasks, summed by a shuffle, and the trie keeps the strings that are
-frequent enough for it to hold at most NODES, which bounds what is broadcast.
+frequent enough for it to hold at most NODES, which bounds what is broadcast. There may be at most
+LABELS different labels; more raise an error.
 
 Edge cases: a text that is null or has no letter is `und` with score 0, as is every text when nothing
 is labelled; null and empty texts train nothing; a null doc_id is not held out; repeated rows are
@@ -32,6 +33,7 @@ from barloom.llm.common import column, documents, mapped, shipped, small_batches
 
 ORDER = 3
 SAMPLE = 1000
+LABELS = 1000
 NODES = 1 << 17
 SPAN = 1 << 20
 LEAST_SCORE = 0.5
@@ -186,9 +188,15 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     """The trie of a sample of about `sample` rows of each label; None where nothing is labelled."""
     lang, text, doc = column(labelled, lang_col), column(labelled, text_col), column(labelled, id_col)
     known = labelled.select(lang.alias("lang"), text.alias("text"), doc.alias("doc_id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LABELS + 1).collect()
+    if len(rows) > LABELS:
+        raise ValueError(f"more than {LABELS} different labels")
+    if not rows:
+        return None
+    rates = labelled.sparkSession.createDataFrame([(r.lang, r.n) for r in rows], known.select("lang", F.lit(0).cast("long").alias("n")).schema)
     part = (F.xxhash64(F.lit("language sample"), "doc_id", "text") / F.lit(2.0**64)) + 0.5
-    chosen = known.join(rows, "lang").where(part * F.col("n") < sample).select("lang", "text")
+    # At most LABELS rows, so the texts are sampled where they lie and never shuffled.
+    chosen = known.join(F.broadcast(rates), "lang").where(part * F.col("n") < sample).select("lang", "text")
     strings = (
         mapped(chosen, _count_strings(order), "lang string, string long, n long")
         .groupBy("lang", "string").agg(F.sum("n").alias("n"))
