@@ -55,6 +55,11 @@ PATTERN = "|".join(
 KINDS = ("email", "address", "card", "social", "date", "phone", "secret")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: a lambda would compute it anew at each step."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _whole(value: Column, pattern: str) -> Column:
     return value.rlike(f"^(?:{pattern})$")
 
@@ -111,7 +116,7 @@ def _string(text: Column, key: str, kind: str) -> Column:
             acc["hex"].alias("hex"),
         ),
     )
-    return F.concat(rounds["l"], rounds["r"])
+    return _let(rounds, lambda x: F.concat(x["l"], x["r"]))
 
 
 def _digits(value: Column) -> Column:
@@ -120,22 +125,30 @@ def _digits(value: Column) -> Column:
 
 def _refilled(form: Column, digits: Column) -> Column:
     """`form` with its digits replaced in order."""
-    return F.aggregate(
-        F.split(form, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda acc, c: F.when(
-            c.between("0", "9"),
-            F.struct(F.concat(acc["out"], F.substring(digits, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at")),
-        ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
-        lambda acc: acc["out"],
+    return _let(
+        digits,
+        lambda new: F.aggregate(
+            F.split(form, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+            lambda acc, c: F.when(
+                c.between("0", "9"),
+                F.struct(F.concat(acc["out"], F.substring(new, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at")),
+            ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
+            lambda acc: acc["out"],
+        ),
     )
 
 
 def _luhn(digits: Column) -> Column:
-    n = F.length(digits)
-    return F.aggregate(
-        F.sequence(F.lit(1), n), F.lit(0),
-        lambda acc, i: acc + (lambda d: F.when(i % 2 == 1, d).when(d > 4, 2 * d - 9).otherwise(2 * d))(
-            F.substring(digits, n - i + 1, F.lit(1)).cast("int")
+    """The weighted sum of the digits; a card's is a multiple of ten."""
+
+    def weighed(acc, i, d):
+        return acc + F.when(i % 2 == 1, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
+
+    return _let(
+        digits,
+        lambda s: F.aggregate(
+            F.sequence(F.lit(1), F.length(s)), F.lit(0),
+            lambda acc, i: weighed(acc, i, F.substring(s, F.length(s) - i + 1, F.lit(1)).cast("int")),
         ),
     )
 
@@ -145,24 +158,34 @@ def _padded(value: Column, width: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    d = _digits(value)
-    n = F.length(d) - 2  # the first digit and the check digit follow rules of their own
-    left = F.floor(n / 2).cast("int")
-    right = (n - left).cast("int")
     power = lambda w: F.pow(F.lit(10.0), w).cast("long")
-    new = _pair(F.substring(d, F.lit(2), left), F.substring(d, left + 2, right), power(left), power(right), key, "card")
-    body = F.concat(F.substring(d, 1, 1), _padded(new["a"], left), _padded(new["b"], right))
-    check = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    return _refilled(value, F.concat(body, check.cast("string")))
+
+    def checked(body):
+        return F.concat(body, F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+
+    def permuted(d):
+        # The first digit and the check digit follow rules of their own.
+        n = F.length(d) - 2
+        left = F.floor(n / 2).cast("int")
+        right = (n - left).cast("int")
+        new = _pair(F.substring(d, F.lit(2), left), F.substring(d, left + 2, right), power(left), power(right), key, "card")
+        body = _let(new, lambda x: F.concat(F.substring(d, 1, 1), _padded(x["a"], left), _padded(x["b"], right)))
+        return _let(body, checked)
+
+    return _refilled(value, _let(_digits(value), permuted))
 
 
 def _address(value: Column, key: str) -> Column:
-    o = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
-    new = _pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16, key, "address")
-    out = []
-    for half in ("a", "b"):
-        out += [F.shiftright(new[half], 8), new[half].bitwiseAND(F.lit(255).cast("long"))]
-    return F.concat_ws(".", *[x.cast("string") for x in out])
+    def written(new):
+        out = []
+        for half in ("a", "b"):
+            out += [F.shiftright(new[half], 8), new[half].bitwiseAND(F.lit(255).cast("long"))]
+        return F.concat_ws(".", *[x.cast("string") for x in out])
+
+    octets = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
+    return _let(
+        octets, lambda o: _let(_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16, key, "address"), written)
+    )
 
 
 def _social(value: Column, key: str) -> Column:
@@ -170,9 +193,13 @@ def _social(value: Column, key: str) -> Column:
     area = F.substring(d, 1, 3).cast("long")
     rest = (F.substring(d, 4, 2).cast("long") - 1) * 9999 + F.substring(d, 6, 4).cast("long") - 1
     new = _pair(area - 1 - F.when(area > 666, 1).otherwise(0), rest, 898, 99 * 9999, key, "social")
-    back = new["a"] + 1 + F.when(new["a"] >= 665, 1).otherwise(0)
-    parts = [(back, 3), (F.floor(new["b"] / 9999) + 1, 2), (new["b"] % 9999 + 1, 4)]
-    return F.concat_ws("-", *[_padded(x.cast("long"), F.lit(w)) for x, w in parts])
+
+    def written(x):
+        back = x["a"] + 1 + F.when(x["a"] >= 665, 1).otherwise(0)
+        parts = [(back, 3), (F.floor(x["b"] / 9999) + 1, 2), (x["b"] % 9999 + 1, 4)]
+        return F.concat_ws("-", *[_padded(p.cast("long"), F.lit(w)) for p, w in parts])
+
+    return _let(new, written)
 
 
 def _day(value: Column) -> Column:
@@ -186,30 +213,35 @@ def _day(value: Column) -> Column:
 def _date(value: Column, key: str) -> Column:
     at = F.datediff(_day(value), F.lit("1900-01-01").cast("date")).cast("long")
     new = _pair(F.floor(at / DAYS_B), at % DAYS_B, DAYS_A, DAYS_B, key, "date")
-    day = F.date_add(F.lit("1900-01-01").cast("date"), (new["a"] * DAYS_B + new["b"]).cast("int"))
+    day = _let(new, lambda x: F.date_add(F.lit("1900-01-01").cast("date"), (x["a"] * DAYS_B + x["b"]).cast("int")))
     mark = F.regexp_extract(value, "[./]", 0)
-    return (
-        F.when(_whole(value, DATE_ISO), F.date_format(day, "yyyy-MM-dd"))
-        .otherwise(F.concat(F.date_format(day, "dd"), mark, F.date_format(day, "MM"), mark, F.date_format(day, "yyyy")))
-    )
+
+    def written(d):
+        by_day = F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy"))
+        return F.when(_whole(value, DATE_ISO), F.date_format(d, "yyyy-MM-dd")).otherwise(by_day)
+
+    return _let(day, written)
 
 
 def _phone(value: Column, key: str) -> Column:
     country = F.regexp_extract(value, r"^\+\d{1,3}", 0)
     rest = F.substring(value, F.length(country) + 1, F.length(value))
-    return F.concat(country, _refilled(rest, _string(_digits(rest), key, "phone")))
+    return F.concat(country, _refilled(rest, _let(_digits(rest), lambda d: _string(d, key, "phone"))))
 
 
 def _email(value: Column, key: str) -> Column:
     top = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
     name, place = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     place = F.substring(place, F.lit(1), F.length(place) - F.length(top))
-    return F.concat(_string(name, key, "name"), F.lit("@"), _string(place, key, "place"), top)
+    return F.concat(
+        _let(name, lambda x: _string(x, key, "name")), F.lit("@"), _let(place, lambda x: _string(x, key, "place")), top
+    )
 
 
 def _secret(value: Column, key: str) -> Column:
     head = F.when(value.startswith("AKIA"), "AKIA").otherwise(F.regexp_extract(value, r"^[a-z_]+\s{0,3}[=:]\s{0,3}[\"']?", 0))
-    return F.concat(head, _string(F.substring(value, F.length(head) + 1, F.length(value)), key, "secret"))
+    body = F.substring(value, F.length(head) + 1, F.length(value))
+    return F.concat(head, _let(body, lambda x: _string(x, key, "secret")))
 
 
 def _kind(value: Column) -> Column:
