@@ -39,7 +39,20 @@ LEAF = 16 << 10
 WINDOW = 8
 VOCABULARY = "byte_bpe_50k.json"
 
-_TWO_BLANKS = re.compile(r"\s\s")
+# The characters with the property White_Space.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
+
+
+def _stretches(text: str):
+    """The text cut before and after all but the last blank of each run of blanks, and not inside a
+    run that ends the text: so the pattern needs no look-ahead."""
+    at = 0
+    for run in _RUN.finditer(text):
+        last = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[at : run.start()]
+        yield text[run.start() : last]
+        at = last
+    yield text[at:]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -87,22 +100,24 @@ class Codec:
             if self.added else None
         )
         # The merge order is the order of ids here, so the rank encoder gives the same tokens; it is
-        # checked once against the tokenizers library, which is used if it ever differs.
-        self.reference = Tokenizer.from_file(path)
+        # checked once against the tokenizers library, which is used, and kept, only if it differs.
         import public_tokenizers
 
+        # Without the look-ahead the pattern is faster; _stretches makes up for it.
         simple = public_tokenizers.PATTERN.replace(r"|\s+(?!\S)", "")
-        self.full = tiktoken.Encoding("full", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={})
-        # Without two blanks in a row the look-ahead never matters, and the plain pattern is faster.
-        self.simple = tiktoken.Encoding("simple", pat_str=simple, mergeable_ranks=ids, special_tokens={})
-        probe = "Don't stop  the naïve 12345 \n\n über-ﬁne   tests, 'll we?\t ñandú…  "
-        self.fast = self._ranked(probe) == self.reference.encode(probe, add_special_tokens=False).ids
-
-    def _ranked(self, text: str) -> list[int]:
-        return (self.full if _TWO_BLANKS.search(text) else self.simple).encode_ordinary(text)
+        self.ranked = tiktoken.Encoding("simple", pat_str=simple, mergeable_ranks=ids, special_tokens={})
+        reference = Tokenizer.from_file(path)
+        probe = "Don't stop  the naïve 12345 \n\n über-ﬁne   tests, 'll we?\t ñandú…  \u3000\u3000x\x1c\x1c y \n"
+        self.reference = None
+        if self._plain(probe) != reference.encode(probe, add_special_tokens=False).ids:
+            self.reference = reference
 
     def _plain(self, text: str) -> list[int]:
-        return self._ranked(text) if self.fast else self.reference.encode(text, add_special_tokens=False).ids
+        if self.reference is not None:
+            return self.reference.encode(text, add_special_tokens=False).ids
+        if not _RUN.search(text):
+            return self.ranked.encode_ordinary(text)
+        return [i for part in _stretches(text) for i in self.ranked.encode_ordinary(part)]
 
     def encode(self, text: str) -> list[int]:
         if self.split_added and any(t in text for t in self.added):
@@ -117,7 +132,7 @@ class Codec:
 
     def merge(self, raw: bytes) -> list[int]:
         """The tokens of bytes that the pattern does not split."""
-        return self.full._encode_single_piece(raw) if raw else []
+        return self.ranked._encode_single_piece(raw) if raw else []
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")

@@ -51,7 +51,7 @@ def shipped(spark: SparkSession) -> None:
         _shipped[context.applicationId] = str(name)
 
 
-def mapped(df: DataFrame, run, ddl: str) -> DataFrame:
+def mapped(df: DataFrame, run, ddl) -> DataFrame:
     shipped(df.sparkSession)
     return df.mapInArrow(run, ddl)
 
@@ -65,7 +65,7 @@ def utf8(batch, name: str) -> list[bytes]:
     return [b if b is not None else b"" for b in col.cast(kind).to_pylist()]
 
 
-def small_batches(batches, name: str, most: int = 8 << 20):
+def small_batches(batches, name: str, most: int = 4 << 20):
     """The same rows in batches of at most some bytes of text, so that memory stays bounded."""
     import pyarrow.compute as pc
 

@@ -29,13 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import column, documents, mapped, shipped, small_batches
+from barloom.llm.common import column, documents, mapped, small_batches
 
 ORDER = 3
 SAMPLE = 1000
 LABELS = 1000
 NODES = 1 << 17
-SPAN = 1 << 20
+SPAN = 1 << 18
 LEAST_SCORE = 0.5
 
 
@@ -272,17 +272,20 @@ def with_language(docs: DataFrame, trie: Trie | None, least: float = LEAST_SCORE
     text = column(docs, "text")
     if trie is None:  # nothing to tell languages by: a letter is enough
         return docs.where(text.rlike(r"\p{L}"))
-    shipped(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trie)
+    place = docs.columns.index("text")
+    # Plain names on the way through Python, whatever the columns are called.
+    lettered = docs.where(text.rlike(r"\p{L}")).toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        bits = model.value.bits([t.encode() for t in texts])
-        return pd.Series(1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1))
+        for part in small_batches(batches, f"c{place}"):
+            bits = model.value.bits([t.encode() for t in part.column(place).to_pylist()])
+            score = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
+            yield part.filter(pa.array(score >= least))
 
-    return docs.where(text.rlike(r"\p{L}")).where(score(F.coalesce(text, F.lit(""))) >= least)
+    return mapped(lettered, run, lettered.schema).toDF(*docs.columns)
 
 
 ORACLE: dict[str, str] = {}
