@@ -1,15 +1,10 @@
 """Exact order statistics inside groups such as dates: quantiles, ranks and top-k.
 
-Every function has two plans with equal results:
-
-* one task per group (`spread=False`): Spark's own `percentile` and rank windows;
-* spread (`spread=True`): values are counted per distinct value first, so ties collapse before the
-  shuffle, then cut into value buckets by a fixed increasing function. Bucket counts give the
-  position at which each bucket starts, and only one (group, bucket) is ever sorted in a task. The
-  buckets depend on the value alone, so retried tasks and both uses of the counts always agree, and
-  the result does not depend on how even the buckets are.
-
-`sizing.needs_spread` picks the plan from the size of the source.
+A date may hold more rows than a task can sort. Values are therefore counted per distinct value
+first, so ties collapse before the shuffle, then cut into value buckets by a fixed increasing function.
+Bucket counts give the position at which each bucket starts, and only one (group, bucket) is ever
+sorted in a task. The buckets depend on the value alone, so retried tasks and both uses of the counts
+always agree, and the result does not depend on how even the buckets are.
 """
 
 from __future__ import annotations
@@ -63,20 +58,9 @@ def group_quantiles(
     df: DataFrame,
     keys: list[str],
     columns: list[str],
-    probs: list[float],
-    *,
-    spread: bool = False,
+    probs: list[float]
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per key; columns `<name>__q<i>` for probs[i]."""
-    if not spread:
-        levels = F.array(*[F.lit(float(p)) for p in probs])
-        packed = df.groupBy(*keys).agg(
-            *[F.percentile(F.col(c).cast("double"), levels).alias(c) for c in columns]
-        )
-        return packed.select(
-            *keys,
-            *[F.col(c)[i].alias(f"{c}__q{i}") for c in columns for i in range(len(probs))],
-        )
 
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         keys, columns, "_f", "_v"
@@ -113,16 +97,12 @@ def group_quantiles(
 
 
 def with_aggregates(
-    df: DataFrame, keys: list[str], aggs: dict[str, Column], *, spread: bool = False
+    df: DataFrame, keys: list[str], aggs: dict[str, Column]
 ) -> DataFrame:
     """Attach aggregates of the row's group.
 
-    One task per group: unordered windows, so a chain of steps on the same keys shares one shuffle.
-    Spread: partial aggregation and a join, broadcast when the key is the date alone.
+    Partial aggregation and a join, broadcast when the key is the date alone.
     """
-    if not spread:
-        group = Window.partitionBy(*keys)
-        return df.withColumns({name: agg.over(group) for name, agg in aggs.items()})
     stats = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()])
     return _attach(df, stats, keys)
 
@@ -131,21 +111,10 @@ def with_quantiles(
     df: DataFrame,
     keys: list[str],
     columns: list[str],
-    probs: list[float],
-    *,
-    spread: bool = False,
+    probs: list[float]
 ) -> DataFrame:
     """Attach `<name>__q<i>`, the quantile probs[i] of each column within the row's group."""
-    if not spread:
-        levels = F.array(*[F.lit(float(p)) for p in probs])
-        group = Window.partitionBy(*keys)
-        packed = df.withColumns(
-            {f"{c}__q": F.percentile(F.col(c).cast("double"), levels).over(group) for c in columns}
-        )
-        return packed.withColumns(
-            {f"{c}__q{i}": F.col(f"{c}__q")[i] for c in columns for i in range(len(probs))}
-        ).drop(*[f"{c}__q" for c in columns])
-    return _attach(df, group_quantiles(df, keys, columns, probs, spread=True), keys)
+    return _attach(df, group_quantiles(df, keys, columns, probs), keys)
 
 
 def _attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,21 +124,10 @@ def _attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def average_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, *, spread: bool = False
+    df: DataFrame, keys: list[str], value: str, out: str
 ) -> DataFrame:
     """Add `<out>_rank` (ties share their mean rank) and `<out>_n` (non-null values in the group)."""
     v = F.col(value)
-    if not spread:
-        group = Window.partitionBy(*keys)
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        # Nulls sort last, so they never shift the rank of a value.
-        first = F.rank().over(group.orderBy(v.asc_nulls_last()))
-        return df.withColumns(
-            {
-                f"{out}_rank": F.when(v.isNotNull(), first + (ties - 1) / 2.0),
-                f"{out}_n": F.count(v).over(group),
-            }
-        )
     counts = _distinct_counts(df.select(*keys, v.cast("double").alias("_v")), keys)
     ranked = _starts(counts, _bucket_starts(counts, keys), keys).select(
         *keys,
@@ -182,32 +140,30 @@ def average_rank(
 
 
 def percent_rank_average(
-    df: DataFrame, keys: list[str], value: str, out: str, *, spread: bool = False
+    df: DataFrame, keys: list[str], value: str, out: str
 ) -> DataFrame:
     """Add `out`, the average rank divided by the number of non-null values."""
-    ranked = average_rank(df, keys, value, "_r", spread=spread)
+    ranked = average_rank(df, keys, value, "_r")
     return ranked.withColumn(
         out, F.col("_r_rank") / F.nullif(F.col("_r_n"), F.lit(0))
     ).drop("_r_rank", "_r_n")
 
 
 def ordinal_rank(
-    df: DataFrame, keys: list[str], score: str, tiebreak: str, out: str, *, spread: bool = False
+    df: DataFrame, keys: list[str], score: str, tiebreak: str, out: str
 ) -> DataFrame:
     """Add `out`: 1 for the highest score of the group, equal scores ordered by `tiebreak`.
 
     (keys, tiebreak) must identify a row. Rows without a score get no rank.
     """
     s = F.col(score)
-    if not spread:
-        w = Window.partitionBy(*keys).orderBy(s.desc_nulls_last(), F.col(tiebreak))
-        return df.withColumn(out, F.when(s.isNotNull(), F.row_number().over(w)))
 
     slim = df.where(s.isNotNull()).select(*keys, tiebreak, (-s.cast("double")).alias("_v"))
     counts = _distinct_counts(slim, keys)
     above = _starts(counts, _bucket_starts(counts, keys), keys).select(*keys, "_v", "_start")
-    # Equal scores are cut again by the first characters of the tiebreak, which keep its order.
-    head = F.substring(F.col(tiebreak), 1, 4)
+    # Equal scores are cut again by the first five characters of the tiebreak, which keep its order;
+    # at most ten codes share them.
+    head = F.substring(F.col(tiebreak), 1, 5)
     slim = slim.withColumn("_h", head)
     ties = [*keys, "_v"]
     heads = slim.groupBy(*ties, "_h").agg(F.count(F.lit(1)).alias("_hn"))
@@ -264,7 +220,7 @@ def flag_top_k(
 
 
 def rank_correlation(
-    df: DataFrame, keys: list[str], x: str, y: str, *, spread: bool = False
+    df: DataFrame, keys: list[str], x: str, y: str
 ) -> DataFrame:
     """Spearman correlation per group as `rank_ic`, null when either side is constant.
 
@@ -272,8 +228,8 @@ def rank_correlation(
     the three sums are exact: a correlation of zero is exactly zero. `n` counts the pairs used.
     """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(pairs, keys, x, "_x", spread=spread)
-    ranked = average_rank(ranked, keys, y, "_y", spread=spread)
+    ranked = average_rank(pairs, keys, x, "_x")
+    ranked = average_rank(ranked, keys, y, "_y")
     mid = (F.col("_x_n") + 1) / 2.0
     dx, dy = F.col("_x_rank") - mid, F.col("_y_rank") - mid
     sums = ranked.groupBy(*keys).agg(

@@ -1,26 +1,5 @@
-"""Size checks that decide between a one-task-per-group plan and a spread plan."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-
-# Input below this size cannot make any single group too large for one task.
-ONE_TASK_BYTES = 2 << 30
+"""Size bounds that broadcasts rely on."""
 
 # A table with one row per date has at most 3,652,059 rows (all values of DATE), some 100 MB with a
 # few doubles; tables keyed by date alone are therefore always small enough to broadcast.
 MAX_DATES = 3_652_059
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's upper estimate of the table size; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def needs_spread(source: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
-    """True when one date of `source` might not fit a task, so ranks and quantiles must be spread.
-
-    Call it on a scan or an aggregate of one: join estimates multiply and would always say yes,
-    which is safe but slower.
-    """
-    return plan_bytes(source) > limit

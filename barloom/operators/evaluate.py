@@ -39,13 +39,12 @@ def period_sets(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame
 
 def rank_ic_daily(
     predictions: DataFrame, scores: list[str], *, keys: list[str] | None = None,
-    spread: bool = False,
 ) -> DataFrame:
     """Rank correlation of score and target per model and date; undefined dates are left out."""
     keys = keys or []
     stacked = by_model(predictions, scores, [*keys, "date", "code", TARGET])
     ic = cross.rank_correlation(
-        stacked, [*keys, "model", "date"], "score", TARGET, spread=spread
+        stacked, [*keys, "model", "date"], "score", TARGET
     )
     return ic.where(F.col("rank_ic").isNotNull())
 
@@ -62,9 +61,8 @@ def ic_summary(daily: DataFrame, keys: list[str]) -> DataFrame:
 
 def rank_ic_summary(
     predictions: DataFrame, scores: list[str], *, keys: list[str] | None = None,
-    spread: bool = False,
 ) -> DataFrame:
-    daily = rank_ic_daily(predictions, scores, keys=keys, spread=spread)
+    daily = rank_ic_daily(predictions, scores, keys=keys)
     return ic_summary(daily, [*(keys or []), "model"])
 
 
@@ -74,10 +72,10 @@ def _stack_features(df: DataFrame, features: list[str], keep: list[str]) -> Data
     return slim.unpivot(keep, present, "feature", "value")
 
 
-def factor_report(df: DataFrame, features: list[str], *, spread: bool = False) -> DataFrame:
+def factor_report(df: DataFrame, features: list[str]) -> DataFrame:
     """Rank correlation of every feature with the target, annualised by twelve rebalances."""
     long = _stack_features(df, features, ["date", "code", TARGET])
-    daily = cross.rank_correlation(long, ["feature", "date"], "value", TARGET, spread=spread)
+    daily = cross.rank_correlation(long, ["feature", "date"], "value", TARGET)
     seen = long.groupBy("feature").agg(F.count("value").alias("observations"))
     summary = daily.where(F.col("rank_ic").isNotNull()).groupBy("feature").agg(
         F.avg("rank_ic").alias("mean_rank_ic"),
@@ -89,13 +87,13 @@ def factor_report(df: DataFrame, features: list[str], *, spread: bool = False) -
     return seen.join(summary, "feature", "left")
 
 
-def factor_year_report(df: DataFrame, features: list[str], *, spread: bool = False) -> DataFrame:
+def factor_year_report(df: DataFrame, features: list[str]) -> DataFrame:
     """Rank correlation of every feature by calendar year."""
     long = _stack_features(df, features, ["date", "code", TARGET]).withColumn(
         "feature", F.regexp_replace("feature", "_z$", "")
     )
     year = F.year("date").alias("year")
-    daily = cross.rank_correlation(long, ["feature", "date"], "value", TARGET, spread=spread)
+    daily = cross.rank_correlation(long, ["feature", "date"], "value", TARGET)
     summary = daily.where(F.col("rank_ic").isNotNull()).groupBy(year, "feature").agg(
         F.avg("rank_ic").alias("mean_rank_ic"),
         rate(F.col("rank_ic") > 0).alias("positive_ic_rate"),
@@ -108,7 +106,7 @@ def factor_year_report(df: DataFrame, features: list[str], *, spread: bool = Fal
 
 
 def segment_model_report(
-    predictions: DataFrame, scores: list[str], *, spread: bool = False
+    predictions: DataFrame, scores: list[str]
 ) -> DataFrame:
     """Score quality inside the LARGE and MID sub-universes, and of their top quintile."""
     named = predictions.withColumn("size_bucket", F.upper("size_bucket")).where(
@@ -116,8 +114,8 @@ def segment_model_report(
     )
     stacked = by_model(named, scores, ["size_bucket", "date", "code", TARGET])
     cell = ["size_bucket", "model", "date"]
-    ic = cross.rank_correlation(stacked, cell, "score", TARGET, spread=spread).drop("n")
-    cut = cross.with_quantiles(stacked, cell, ["score"], [0.8], spread=spread)
+    ic = cross.rank_correlation(stacked, cell, "score", TARGET).drop("n")
+    cut = cross.with_quantiles(stacked, cell, ["score"], [0.8])
     days = cut.groupBy(*cell).agg(
         F.avg(F.when(F.col("score") >= F.col("score__q0"), F.col(TARGET))).alias("top"),
         F.count(F.lit(1)).alias("rows"),
@@ -222,11 +220,10 @@ def attach_regime(dates: DataFrame, regimes: DataFrame, key: str) -> DataFrame:
 
 def market_regime_report(
     predictions: DataFrame, regimes: DataFrame, key: str, scores: list[str], *, top_k: int,
-    spread: bool = False,
 ) -> DataFrame:
     """Rank correlation and top-k excess return of each model per market regime."""
     day = attach_regime(predictions, regimes, key)
-    ic = rank_ic_daily(predictions, scores, spread=spread).select("model", "date", "rank_ic")
+    ic = rank_ic_daily(predictions, scores).select("model", "date", "rank_ic")
     picks = select_top(predictions, scores, top_k, [TARGET])
     daily = picks.groupBy("model", "date").agg(
         F.avg(F.when(F.col("selected"), F.col(TARGET))).alias("top"),
@@ -290,7 +287,7 @@ def selected_return_summary(
 
 def factor_ablation(
     test_rows: DataFrame, scenarios: dict[str, Column], sizes: dict[str, int],
-    features: dict[str, int], *, spread: bool = False,
+    features: dict[str, int]
 ) -> DataFrame:
     """Compare the full model with models lacking one factor group.
 
@@ -300,7 +297,7 @@ def factor_ablation(
     names = list(scenarios)
     columns = {f"{n}_score": expr for n, expr in scenarios.items()}
     scored = test_rows.select("date", "code", TARGET, *[e.alias(n) for n, e in columns.items()])
-    out = rank_ic_summary(scored, list(columns), spread=spread)
+    out = rank_ic_summary(scored, list(columns))
     for profile, k in sizes.items():
         picked = selected_return_summary(scored, list(columns), top_k=k)
         out = out.join(

@@ -13,20 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import RAW_FEATURES, Research
-from barloom.functions import cross, rolling, sizing
+from barloom.functions import cross, rolling
 from barloom.functions.scalars import finite, ratio
 from barloom.schemas import BAR_REQUIRED, require_columns
 
 
-def _spread(df: DataFrame, spread: bool | None) -> bool:
-    return sizing.needs_spread(df) if spread is None else spread
-
-
-def daily_returns(bars: DataFrame, *, spread: bool | None = None) -> DataFrame:
+def daily_returns(bars: DataFrame) -> DataFrame:
     """Add return_1, the median return of all securities on the date, and the residual."""
-    spread = _spread(bars, spread)
     slim = bars.select("code", "date", "close").withColumn("return_1", rolling.change("close"))
-    market = cross.group_quantiles(slim, ["date"], ["return_1"], [0.5], spread=spread)
+    market = cross.group_quantiles(slim, ["date"], ["return_1"], [0.5])
     market = market.withColumnRenamed("return_1__q0", "market_return")
     return (
         bars.withColumn("return_1", rolling.change("close"))
@@ -202,10 +197,10 @@ def add_listing_days(df: DataFrame) -> DataFrame:
     return df.withColumn("listing_days", F.row_number().over(rolling.by_code()))
 
 
-def time_series_factors(bars: DataFrame, *, spread: bool | None = None) -> DataFrame:
+def time_series_factors(bars: DataFrame) -> DataFrame:
     """All look-back factors; the input rows with the factor columns added."""
     require_columns(bars, BAR_REQUIRED, "Bar table")
-    df = add_listing_days(daily_returns(bars, spread=spread))
+    df = add_listing_days(daily_returns(bars))
     source = "turnover" if "turnover" in df.columns else "volume"
     families = [
         _trend_quality(), _high_position(), _reversal(), _risk(), _activity(source), _clv(),
@@ -220,13 +215,12 @@ def add_tradable(
     *,
     min_history_days: int = 120,
     min_liquidity_percentile: float = 0.20,
-    spread: bool = False,
 ) -> DataFrame:
     """Add liquidity_percentile within the date, over all securities, and the tradable flag."""
     if not 0 <= min_liquidity_percentile < 1:
         raise ValueError("min_liquidity_percentile must be in [0, 1)")
     df = cross.percent_rank_average(
-        df, ["date"], "median_amount_20", "liquidity_percentile", spread=spread
+        df, ["date"], "median_amount_20", "liquidity_percentile"
     )
     member = (
         F.coalesce(F.col("is_universe_member"), F.lit(False))
@@ -246,13 +240,11 @@ def add_tradable(
 
 
 def raw_factors(
-    bars: DataFrame, config: Research = Research(), *, spread: bool | None = None
+    bars: DataFrame, config: Research = Research()
 ) -> DataFrame:
     """Bars with every raw factor, the liquidity percentile and the tradable flag."""
-    spread = _spread(bars, spread)
     return add_tradable(
-        time_series_factors(bars, spread=spread),
+        time_series_factors(bars),
         min_history_days=config.min_history_days,
         min_liquidity_percentile=config.min_liquidity_percentile,
-        spread=spread,
     )

@@ -113,14 +113,14 @@ def order_feasibility(requests: DataFrame, bars: DataFrame, policy: Portfolio, c
     )
 
 
-def order_priority(requests: DataFrame, *, spread: bool = False) -> DataFrame:
+def order_priority(requests: DataFrame) -> DataFrame:
     """Add `priority` per portfolio and date: sales by low score first, then buys by high score."""
     keys, side = ["portfolio_id", "date"], F.col("side")
     df = requests.withColumn(
         "_s", F.when(side == "SELL", -F.col("score")).otherwise(F.col("score"))
     )
-    df = cross.ordinal_rank(df, [*keys, "side"], "_s", "code", "_place", spread=spread)
-    df = cross.with_aggregates(df, keys, {"_sales": F.count_if(side == "SELL")}, spread=spread)
+    df = cross.ordinal_rank(df, [*keys, "side"], "_s", "code", "_place")
+    df = cross.with_aggregates(df, keys, {"_sales": F.count_if(side == "SELL")})
     place = F.col("_place") + F.when(side == "BUY", F.col("_sales")).otherwise(F.lit(0))
     return df.withColumn("priority", place.cast("int")).drop("_s", "_place", "_sales")
 

@@ -261,10 +261,10 @@ ROBUST_METRICS = [
 
 
 def robustness_summary(
-    results: DataFrame, benchmarks: list[str], *, spread: bool = False
+    results: DataFrame, benchmarks: list[str]
 ) -> DataFrame:
     """Lowest, median and highest outcome over the scenarios of each profile, and beat rates."""
-    medians = cross.group_quantiles(results, ["profile"], ROBUST_METRICS, [0.5], spread=spread)
+    medians = cross.group_quantiles(results, ["profile"], ROBUST_METRICS, [0.5])
     aggs = [F.count(F.lit(1)).alias("scenarios")]
     for m in ROBUST_METRICS:
         aggs += [F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]

@@ -1,8 +1,7 @@
 """Per-date standardisation: winsorise, demean by industry, remove size, robust z-score.
 
-With one task per date the whole chain is one shuffle by date. In the spread plan each step joins a
-statistics table back; `cut` then materialises the table between steps, because the statistics of a
-step read everything before it.
+Each step joins a statistics table back; `cut` materialises the table between steps, because the
+statistics of a step read everything before it.
 """
 
 from __future__ import annotations
@@ -18,10 +17,10 @@ from barloom.functions.scalars import clamp, ratio
 
 
 def winsorize(
-    df: DataFrame, columns: list[str], lower: float, upper: float, *, spread: bool = False
+    df: DataFrame, columns: list[str], lower: float, upper: float
 ) -> DataFrame:
     """Limit each column to its quantiles of the date."""
-    df = cross.with_quantiles(df, ["date"], columns, [lower, upper], spread=spread)
+    df = cross.with_quantiles(df, ["date"], columns, [lower, upper])
     return df.withColumns(
         {c: clamp(c, F.col(f"{c}__q0"), F.col(f"{c}__q1")) for c in columns}
     ).drop(*[f"{c}__q{i}" for c in columns for i in (0, 1)])
@@ -43,12 +42,12 @@ def industry_gate(df: DataFrame) -> Column | None:
 
 
 def demean_industry(
-    df: DataFrame, columns: list[str], gate: Column | None, *, spread: bool = False
+    df: DataFrame, columns: list[str], gate: Column | None
 ) -> DataFrame:
     """Subtract the (date, industry) median, for all rows or, if the gate is shut, for none."""
     if gate is None:
         return df
-    df = cross.with_quantiles(df, ["date", "industry"], columns, [0.5], spread=spread)
+    df = cross.with_quantiles(df, ["date", "industry"], columns, [0.5])
     return df.withColumn("_gate", gate).withColumns(
         {c: F.when(F.col("_gate"), F.col(c) - F.col(f"{c}__q0")).otherwise(F.col(c))
          for c in columns}
@@ -56,7 +55,7 @@ def demean_industry(
 
 
 def neutralize_size(
-    df: DataFrame, columns: list[str], minimum: int = 10, *, spread: bool = False
+    df: DataFrame, columns: list[str], minimum: int = 10
 ) -> DataFrame:
     """Residual of a per-date regression on log market cap.
 
@@ -74,7 +73,7 @@ def neutralize_size(
         aggs[f"_sxy_{c}"] = F.regr_sxy(y, x)
         aggs[f"_mx_{c}"] = F.avg(F.when(y.isNotNull(), x))
         aggs[f"_my_{c}"] = F.avg(F.when(x.isNotNull(), y))
-    df = cross.with_aggregates(df, ["date"], aggs, spread=spread)
+    df = cross.with_aggregates(df, ["date"], aggs)
 
     def residual(c: str) -> Column:
         slope = F.coalesce(ratio(f"_sxy_{c}", f"_sxx_{c}"), F.lit(0.0))
@@ -89,19 +88,19 @@ def neutralize_size(
 
 
 def robust_zscore(
-    df: DataFrame, columns: list[str], limit: float = 8.0, *, spread: bool = False
+    df: DataFrame, columns: list[str], limit: float = 8.0
 ) -> DataFrame:
     """Deviation from the median in scaled median absolute deviations, limited to +-`limit`.
 
     Without a usable deviation the plain z-score is taken; without a usable standard deviation
     every row of the date, null or not, becomes 0.
     """
-    df = cross.with_quantiles(df, ["date"], columns, [0.5], spread=spread)
+    df = cross.with_quantiles(df, ["date"], columns, [0.5])
     df = df.withColumns({f"_dev_{c}": F.abs(F.col(c) - F.col(f"{c}__q0")) for c in columns})
-    df = cross.with_quantiles(df, ["date"], [f"_dev_{c}" for c in columns], [0.5], spread=spread)
+    df = cross.with_quantiles(df, ["date"], [f"_dev_{c}" for c in columns], [0.5])
     moments = {f"_mean_{c}": F.avg(c) for c in columns}
     moments.update({f"_std_{c}": F.stddev_pop(c) for c in columns})
-    df = cross.with_aggregates(df, ["date"], moments, spread=spread)
+    df = cross.with_aggregates(df, ["date"], moments)
 
     def z(c: str) -> Column:
         x, mad, std = F.col(c), F.col(f"_dev_{c}__q0"), F.col(f"_std_{c}")
@@ -122,15 +121,13 @@ def standardize(
     *,
     lower: float = 0.01,
     upper: float = 0.99,
-    spread: bool = False,
     cut: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Add `<feature>_z` for every feature; the raw columns stay."""
     z = [f"{f}_z" for f in features]
     gate = industry_gate(df)
-    between = cut if spread else (lambda df: df)
     df = df.withColumns({f"{f}_z": F.col(f).cast("double") for f in features})
-    df = between(winsorize(df, z, lower, upper, spread=spread))
-    df = between(demean_industry(df, z, gate, spread=spread))
-    df = between(neutralize_size(df, z, spread=spread))
-    return robust_zscore(df, z, spread=spread)
+    df = cut(winsorize(df, z, lower, upper))
+    df = cut(demean_industry(df, z, gate))
+    df = cut(neutralize_size(df, z))
+    return robust_zscore(df, z)

@@ -53,16 +53,16 @@ def contributions(df: DataFrame, weights: dict[str, float] = BASELINE_WEIGHTS) -
 
 
 def add_rank(
-    df: DataFrame, score: str, out: str, *, keys: list[str] | None = None, spread: bool = False
+    df: DataFrame, score: str, out: str, *, keys: list[str] | None = None
 ) -> DataFrame:
     """Ordinal rank of the score inside each date, highest first, ties by code."""
-    return cross.ordinal_rank(df, keys or ["date"], score, "code", out, spread=spread)
+    return cross.ordinal_rank(df, keys or ["date"], score, "code", out)
 
 
-def latest_scores(latest: DataFrame, *, spread: bool = False) -> DataFrame:
+def latest_scores(latest: DataFrame) -> DataFrame:
     """Scores, ranks and reasons of a standardised cross-section of the latest date."""
     scored = add_reasons(add_score(latest.dropna(subset=MODEL_FEATURES)))
-    ranked = add_rank(scored, "baseline_score", "baseline_rank", spread=spread)
+    ranked = add_rank(scored, "baseline_score", "baseline_rank")
     identity = [c for c in ("security_name", "size_bucket") if c in latest.columns]
     return ranked.select(
         "date", "code", *identity, "industry", *RAW_FEATURES, "baseline_score",

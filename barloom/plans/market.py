@@ -7,7 +7,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.functions import sizing
 from barloom.operators import scoring
 from barloom.plans import research
 from barloom.session import durable
@@ -35,11 +34,6 @@ class Market:
             return getattr(fixtures, name)(self.spark, self.sf_dir, self.bars)
         return getattr(fixtures, name)(self.spark, self.sf_dir)
 
-    @cached_property
-    def spread(self) -> bool:
-        """Whether a date may exceed one task, judged by the size of the trade table."""
-        return sizing.needs_spread(self.table("lineitem"))
-
     @property
     def bars(self) -> DataFrame:
         """Daily bars as landed in storage."""
@@ -63,14 +57,14 @@ class Market:
     @property
     def month_end(self) -> DataFrame:
         return self.keep(
-            "month_end", lambda: research.month_end_frame(self.panel, spread=self.spread)
+            "month_end", lambda: research.month_end_frame(self.panel)
         )
 
     @property
     def predictions(self) -> DataFrame:
         def build() -> DataFrame:
             scored = scoring.add_score(
-                research.research_dataset(self.month_end, spread=self.spread)
+                research.research_dataset(self.month_end)
             )
             return scoring.add_score(scored, "momentum_score", MOMENTUM_WEIGHTS)
 

@@ -121,7 +121,7 @@ def order_feasibility(m: Market):
 
 @query("order_priority", "portfolio_id date code side priority")
 def order_priority(m: Market):
-    return orders.order_priority(m.view("desk_requests"), spread=m.spread)
+    return orders.order_priority(m.view("desk_requests"))
 
 
 @query("signal_schedule", "signal_date execution_date code", "score", 5)
@@ -169,7 +169,7 @@ def cost_sensitivity(m: Market):
 
 @query("candidate_ranks", "date code rank industry", "score", 5)
 def candidate_ranks(m: Market):
-    return portfolio.candidate_ranks(universe(m), spread=m.spread)
+    return portfolio.candidate_ranks(universe(m))
 
 
 @query("top_k_quota", "date code industry industry_rank place", "score", 5)
@@ -207,7 +207,7 @@ def books(m: Market):
 )
 def select_portfolio(m: Market):
     return portfolio.select_portfolios(
-        candidates(m), books(m), m.view("desk_holdings"), POLICY, strict=False, spread=m.spread
+        candidates(m), books(m), m.view("desk_holdings"), POLICY, strict=False
     )
 
 
@@ -217,7 +217,7 @@ def select_portfolio(m: Market):
 )
 def parameter_sweep(m: Market):
     return portfolio.parameter_sweep(
-        candidates(m), books(m), m.view("desk_holdings"), POLICY, **GRID, spread=m.spread
+        candidates(m), books(m), m.view("desk_holdings"), POLICY, **GRID
     )
 
 
@@ -225,7 +225,7 @@ def parameter_sweep(m: Market):
     "scenario_grid", "scenario exit_rank max_replacements date inside_buffer may_replace", "band",
 )
 def scenario_grid(m: Market):
-    ranked = portfolio.candidate_ranks(candidates(m), spread=m.spread)
+    ranked = portfolio.candidate_ranks(candidates(m))
     return portfolio.scenario_grid(ranked, **GRID)
 
 
@@ -269,7 +269,7 @@ def plan(m: Market):
     last = m.keep(
         "latest_scores",
         lambda: scoring.latest_scores(
-            research.latest_cross_section(m.month_end, spread=m.spread), spread=m.spread
+            research.latest_cross_section(m.month_end)
         ),
     )
     signal = last.agg(F.max("date")).scalar()

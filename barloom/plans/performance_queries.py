@@ -168,7 +168,7 @@ def results(m: Market):
     + " positive_return_rate " + " ".join(f"beat_{k}_rate" for k in KEYS), 5,
 )
 def robustness_summary(m: Market):
-    return performance.robustness_summary(results(m), KEYS, spread=m.spread)
+    return performance.robustness_summary(results(m), KEYS)
 
 
 @query("scenario_pivot", "trading_days_bucket", "africa america asia europe middle_east", 5)

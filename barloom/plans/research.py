@@ -11,47 +11,44 @@ from barloom.session import durable
 
 
 def month_end_frame(
-    panel: DataFrame, config: Research = Research(), *, spread: bool | None = None
+    panel: DataFrame, config: Research = Research()
 ) -> DataFrame:
     """Factors, labels and the tradable flag on the last date of each month.
 
     Look-backs and look-aheads run over all bars in one partitioning by code. Only the month-end
     rows, a few percent, go through the per-date ranks, which read nothing but their own date.
     """
-    spread = factors._spread(panel, spread)
     frame = labels.forward_prices(
-        factors.time_series_factors(panel, spread=spread), config.horizon_days
+        factors.time_series_factors(panel), config.horizon_days
     )
     sampled = labels.sample_month_ends(frame, panel.select("date"))
     flagged = factors.add_tradable(
         sampled,
         min_history_days=config.min_history_days,
         min_liquidity_percentile=config.min_liquidity_percentile,
-        spread=spread,
     )
-    return labels.rank_targets(flagged, spread=spread)
+    return labels.rank_targets(flagged)
 
 
 def research_dataset(
-    frame: DataFrame, config: Research = Research(), *, spread: bool = False
+    frame: DataFrame, config: Research = Research()
 ) -> DataFrame:
     """Tradable month-end rows with complete standardised features and labels.
 
     `frame` is the materialised result of `month_end_frame`; it is read once per statistics pass.
     """
     ready = preprocess.standardize(
-        frame.where("tradable"), lower=config.winsor_lower, upper=config.winsor_upper,
-        spread=spread, cut=durable,
+        frame.where("tradable"), lower=config.winsor_lower, upper=config.winsor_upper, cut=durable,
     )
     return ready.dropna(subset=[*MODEL_FEATURES, "target_rank", "label_end_date"])
 
 
 def latest_cross_section(
-    frame: DataFrame, config: Research = Research(), *, spread: bool = False
+    frame: DataFrame, config: Research = Research()
 ) -> DataFrame:
     """Standardised tradable rows of the latest date, labels not needed."""
     last = frame.agg(F.max("date")).scalar()
     return preprocess.standardize(
         frame.where((F.col("date") == last) & F.col("tradable")),
-        lower=config.winsor_lower, upper=config.winsor_upper, spread=spread, cut=durable,
+        lower=config.winsor_lower, upper=config.winsor_upper, cut=durable,
     )

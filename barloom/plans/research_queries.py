@@ -19,7 +19,7 @@ Z = " ".join(MODEL_FEATURES)
 
 @query("daily_returns", "date code", "return_1 market_return residual_return")
 def daily_returns(m: Market):
-    return factors.daily_returns(m.bars, spread=m.spread)
+    return factors.daily_returns(m.bars)
 
 
 @query("momentum_factors", "date code", "momentum_20_5 momentum_60_5")
@@ -34,7 +34,7 @@ def trend_quality(m: Market):
 
 @query("reversal_factor", "date code", "reversal_5")
 def reversal_factor(m: Market):
-    return factors.add_reversal(factors.daily_returns(m.bars, spread=m.spread))
+    return factors.add_reversal(factors.daily_returns(m.bars))
 
 
 @query("high_position", "date code", "high_position_120")
@@ -44,12 +44,12 @@ def high_position(m: Market):
 
 @query("risk_factors", "date code", "idio_vol_60 downside_vol_60")
 def risk_factors(m: Market):
-    return factors.add_risk(factors.daily_returns(m.bars, spread=m.spread))
+    return factors.add_risk(factors.daily_returns(m.bars))
 
 
 @query("activity_factors", "date code", "volume_z20 price_volume_confirmation_5")
 def activity_factors(m: Market):
-    return factors.add_activity(factors.daily_returns(m.bars, spread=m.spread))
+    return factors.add_activity(factors.daily_returns(m.bars))
 
 
 @query("clv_factor", "date code", "clv_5")
@@ -62,7 +62,6 @@ def liquidity_factors(m: Market):
     returns = m.bars.withColumn("return_1", factors.rolling.change("close"))
     return cross.percent_rank_average(
         factors.add_liquidity(returns), ["date"], "median_amount_20", "liquidity_percentile",
-        spread=m.spread,
     )
 
 
@@ -70,12 +69,12 @@ def liquidity_factors(m: Market):
 def tradable_universe(m: Market):
     returns = m.panel.withColumn("return_1", factors.rolling.change("close"))
     listed = factors.add_listing_days(factors.add_liquidity(returns))
-    return factors.add_tradable(listed, spread=m.spread)
+    return factors.add_tradable(listed)
 
 
 @query("raw_factors", "date code listing_days tradable", " ".join(RAW_FEATURES), 5)
 def raw_factors(m: Market):
-    return factors.raw_factors(m.panel, spread=m.spread)
+    return factors.raw_factors(m.panel)
 
 
 @query(
@@ -83,7 +82,7 @@ def raw_factors(m: Market):
     "forward_return benchmark_forward_return target_excess_return target_rank",
 )
 def forward_labels(m: Market):
-    return labels.forward_labels(m.bars, 20, spread=m.spread)
+    return labels.forward_labels(m.bars, 20)
 
 
 @query("month_end_sample", "date code", "open high low close volume amount", 8)
@@ -98,26 +97,26 @@ def _z_columns(m: Market):
 
 @query("winsorize", "date code", Z, 5)
 def winsorize(m: Market):
-    return preprocess.winsorize(_z_columns(m), MODEL_FEATURES, 0.01, 0.99, spread=m.spread)
+    return preprocess.winsorize(_z_columns(m), MODEL_FEATURES, 0.01, 0.99)
 
 
 @query("neutralize", "date code", Z, 5)
 def neutralize(m: Market):
-    df = preprocess.winsorize(_z_columns(m), MODEL_FEATURES, 0.01, 0.99, spread=m.spread)
+    df = preprocess.winsorize(_z_columns(m), MODEL_FEATURES, 0.01, 0.99)
     gate = preprocess.industry_gate(m.month_end.where("tradable"))
-    df = preprocess.demean_industry(df, MODEL_FEATURES, gate, spread=m.spread)
-    return preprocess.neutralize_size(df, MODEL_FEATURES, spread=m.spread)
+    df = preprocess.demean_industry(df, MODEL_FEATURES, gate)
+    return preprocess.neutralize_size(df, MODEL_FEATURES)
 
 
 @query("robust_zscore", "date code", "z")
 def robust_zscore(m: Market):
     df = m.month_end.select("date", "code", F.col("momentum_60_5").alias("z"))
-    return preprocess.robust_zscore(df, ["z"], spread=m.spread)
+    return preprocess.robust_zscore(df, ["z"])
 
 
 @query("standardized_factors", "date code", Z, 5)
 def standardized_factors(m: Market):
-    return preprocess.standardize(m.month_end.where("tradable"), spread=m.spread, cut=durable)
+    return preprocess.standardize(m.month_end.where("tradable"), cut=durable)
 
 
 @query(
@@ -125,7 +124,7 @@ def standardized_factors(m: Market):
     f"forward_return target_excess_return target_rank {Z}", 5,
 )
 def research_dataset(m: Market):
-    return research.research_dataset(m.month_end, spread=m.spread)
+    return research.research_dataset(m.month_end)
 
 
 @query("purged_split", "date code split")
@@ -170,8 +169,8 @@ def walk_forward_scores(m: Market):
 @query("score_ranks", "date code baseline_rank momentum_rank")
 def score_ranks(m: Market):
     slim = m.predictions.select("date", "code", "baseline_score", "momentum_score")
-    first = scoring.add_rank(slim, "baseline_score", "baseline_rank", spread=m.spread)
-    return scoring.add_rank(first, "momentum_score", "momentum_rank", spread=m.spread)
+    first = scoring.add_rank(slim, "baseline_score", "baseline_rank")
+    return scoring.add_rank(first, "momentum_score", "momentum_rank")
 
 
 @query("top_k_per_date", "date code rank", "baseline_score", 5)
@@ -195,5 +194,5 @@ def score_reasons(m: Market):
     "baseline_score " + " ".join(RAW_FEATURES), 5,
 )
 def latest_scores(m: Market):
-    last = research.latest_cross_section(m.month_end, spread=m.spread)
-    return scoring.latest_scores(last, spread=m.spread)
+    last = research.latest_cross_section(m.month_end)
+    return scoring.latest_scores(last)

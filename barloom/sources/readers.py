@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from barloom.functions.scalars import normalize_symbol, pad_code
 from barloom.operators import clean, pit
 
 COLUMNAR = ("parquet", "pq")
+INGEST = "_ingest"
 
 
 def _files(spark: SparkSession, path: str) -> dict[str, list[str]]:
@@ -34,12 +37,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """All bar files of a folder, or one file; a missing code column comes from the file name."""
+    """All bar files of a folder, or one file; a missing code column comes from the file name.
+
+    The column INGEST orders rows by file name, then by place in the file.
+    """
     found = _files(spark, path)
     parts = []
     if "csv" in found:
-        # Everything as text, so codes keep their zeros; types come with validation.
-        parts.append(spark.read.option("header", True).csv(found["csv"]))
+        # Everything as text, so codes keep their zeros; types come with validation. Files that name
+        # their columns in another order are scans of their own, joined by name.
+        by_header: dict[str, list[str]] = {}
+        for file in found["csv"]:
+            by_header.setdefault(_first_line(spark, file), []).append(file)
+        for header in sorted(by_header):
+            parts.append(spark.read.option("header", True).csv(by_header[header]))
     columnar = [f for kind in COLUMNAR for f in found.get(kind, [])]
     if columnar:
         parts.append(spark.read.option("mergeSchema", True).parquet(*columnar))
@@ -50,13 +61,32 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     frames = []
     for part in parts:
         code = F.coalesce(F.col("code").cast("string"), named) if "code" in part.columns else named
-        frames.append(part.select("*", code.alias("_code")).drop("code").withColumnRenamed(
-            "_code", "code"
-        ))
-    if len(frames) == 2:
-        text = frames[1].select([F.col(c).cast("string").alias(c) for c in frames[1].columns])
-        return frames[0].unionByName(text, allowMissingColumns=True)
-    return frames[0]
+        # Rows of one block of a file are read in order by one task, so their ids rise.
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        frames.append(
+            part.select("*", code.alias("_code"), place.alias(INGEST)).drop("code")
+            .withColumnRenamed("_code", "code")
+        )
+    if len(frames) == 1:
+        return frames[0]
+    text = [
+        f.select([F.col(c) if c == INGEST else F.col(c).cast("string").alias(c) for c in f.columns])
+        for f in frames
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), text)
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        reader = spark._jvm.java.io.InputStreamReader(stream, "UTF-8")
+        return spark._jvm.java.io.BufferedReader(reader).readLine() or ""
+    finally:
+        stream.close()
 
 
 def load_bars(spark: SparkSession, path: str, *, default_lot_size: int = 100) -> DataFrame:
@@ -67,8 +97,10 @@ def load_bars(spark: SparkSession, path: str, *, default_lot_size: int = 100) ->
     """
     root = exists(spark, f"{path}/bars")
     bars = read_bars(spark, f"{path}/bars" if root else path)
+    schemas.require_columns(bars, schemas.BAR_REQUIRED, "Market data")
+    # The last row of a date and code stands for it, before any join looks at it.
+    bars = clean.keep_last(clean.coerce(bars), ["date", "code"], [INGEST]).drop(INGEST, "_copies")
     if root:
-        bars = bars.withColumn("date", F.col("date").try_cast("date"))
         side = f"{path}/universe_membership.parquet"
         if exists(spark, side):
             membership = spark.read.parquet(side)

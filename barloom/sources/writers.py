@@ -9,11 +9,17 @@ from barloom.operators.clean import keep_last
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows with incoming ones laid over them by key."""
+    """Stored rows with incoming ones laid over them by key.
+
+    Where a key repeats inside a batch its last row by `_seq` wins, and without `_seq` the largest by
+    its columns in the order of their names, so the result does not depend on the partitioning.
+    """
     both = existing.withColumn("_batch", F.lit(0)).unionByName(
         incoming.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
-    return keep_last(both, keys, ["_batch"]).drop("_batch", "_copies")
+    told = [c for c in ("_batch", "_seq") if c in both.columns]
+    rest = sorted(c for c in both.columns if c not in keys and c not in told)
+    return keep_last(both, keys, [*told, *rest]).drop("_batch", "_copies")
 
 
 def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> None:

@@ -244,3 +244,18 @@ def test_reports_are_written_as_a_pack(spark, tmp_path):
     writers.write_reports({"selection_report": df, "diagnostic_summary": df}, str(tmp_path))
     assert spark.read.option("header", True).csv(f"{tmp_path}/selection_report").count() == 1
     assert spark.read.json(f"{tmp_path}/diagnostic_summary").first()["x"] == 1.0
+
+
+def test_last_row_of_a_key_stays_and_columns_go_by_name(spark, tmp_path):
+    head = "date,code,open,high,low,close,volume,amount"
+    (tmp_path / "a.csv").write_text(
+        f"{head}\n2024-01-02,000001,10,11,9,10.5,100,1000\n2024-01-02,000001,10,11,9,10.6,100,1000\n"
+    )
+    (tmp_path / "b.csv").write_text(
+        "code,date,close,open,high,low,amount,volume\n000002,2024-01-02,10.2,10,11,9,1000,100\n"
+    )
+    (tmp_path / "c.csv").write_text(f"{head}\n2024-01-03,000002,10,11,9,10.3,100,1000\n2024-01-02,000002,10,11,9,10.4,100,1000\n")
+    got = readers.load_bars(spark, str(tmp_path)).select("code", "date", "close", "volume").collect()
+    assert sorted((r.code, str(r.date), r.close, r.volume) for r in got) == [
+        ("000001", "2024-01-02", 10.6, 100.0), ("000002", "2024-01-02", 10.4, 100.0), ("000002", "2024-01-03", 10.3, 100.0)
+    ]

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from barloom.functions import asof, cross, sizing
+from barloom.functions import asof, cross
 from barloom.functions.scalars import cents, normalize_symbol, st_name, with_venue
 from tests.helpers import day, rows
 
@@ -32,42 +32,38 @@ def clean(spark, pdf):
     return spark.createDataFrame(pdf).withColumn("v", finite("v"))
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_quantiles_equal_pandas(spark, spread):
+def test_quantiles_equal_pandas(spark):
     pdf = sample(1)
     probs = [0.0, 0.01, 0.25, 0.5, 0.8, 0.99, 1.0]
-    got = cross.group_quantiles(clean(spark, pdf), ["date"], ["v"], probs, spread=spread)
+    got = cross.group_quantiles(clean(spark, pdf), ["date"], ["v"], probs)
     for r in got.collect():
         want = pdf[pdf.date == r["date"]]["v"].quantile(probs)
         assert np.allclose([r[f"v__q{i}"] for i in range(len(probs))], want, atol=1e-12)
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_attached_quantiles_keep_every_row(spark, spread):
+def test_attached_quantiles_keep_every_row(spark):
     pdf = sample(2)
-    got = cross.with_quantiles(clean(spark, pdf), ["date"], ["v"], [0.5], spread=spread).toPandas()
+    got = cross.with_quantiles(clean(spark, pdf), ["date"], ["v"], [0.5]).toPandas()
     assert len(got) == len(pdf)
     want = pdf.groupby("date")["v"].transform("median")
     got = got.sort_values("code")
     assert np.allclose(got["v__q0"].to_numpy(), want.to_numpy())
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_average_rank_equals_pandas(spark, spread):
+def test_average_rank_equals_pandas(spark):
     pdf = sample(3)
     got = cross.percent_rank_average(
-        clean(spark, pdf), ["date"], "v", "pct", spread=spread
+        clean(spark, pdf), ["date"], "v", "pct"
     ).toPandas().sort_values("code")
     want = pdf.groupby("date")["v"].rank(pct=True, method="average")
     assert len(got) == len(pdf)
     assert np.allclose(got["pct"].astype(float), want, equal_nan=True)
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_ordinal_rank_breaks_ties_by_code(spark, spread):
+def test_ordinal_rank_breaks_ties_by_code(spark):
     pdf = sample(4)
     got = cross.ordinal_rank(
-        clean(spark, pdf), ["date"], "v", "code", "place", spread=spread
+        clean(spark, pdf), ["date"], "v", "code", "place"
     ).toPandas()
     for _, group in got.groupby("date"):
         known = group.dropna(subset=["v"])
@@ -76,15 +72,14 @@ def test_ordinal_rank_breaks_ties_by_code(spark, spread):
         assert group[group["v"].isna()]["place"].isna().all()
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_rank_correlation_equals_spearman(spark, spread):
+def test_rank_correlation_equals_spearman(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame(
         {"date": ["a"] * 50 + ["b"] * 50 + ["c"] * 3, "x": np.round(rng.normal(size=103), 1),
          "y": np.round(rng.normal(size=103), 1)}
     )
     pdf.loc[100:, "x"] = 1.0  # a constant side has no correlation
-    got = cross.rank_correlation(spark.createDataFrame(pdf), ["date"], "x", "y", spread=spread)
+    got = cross.rank_correlation(spark.createDataFrame(pdf), ["date"], "x", "y")
     ic = {r["date"]: r["rank_ic"] for r in got.collect()}
     for name in ("a", "b"):
         part = pdf[pdf.date == name]
@@ -179,9 +174,3 @@ def test_cents_round_half_to_even(spark):
     assert [r[0] for r in df.select(cents(F.col("x"))).collect()] == list(
         np.round([0.125, 0.375, 10.995], 2)
     )
-
-
-def test_size_check_switches_the_plan(spark):
-    df = spark.range(1000)
-    assert not sizing.needs_spread(df)
-    assert sizing.needs_spread(df, limit=10)

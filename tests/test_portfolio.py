@@ -245,13 +245,12 @@ def test_infeasible_orders_tell_why(spark):
         ("c", "SELL", 500, 0, "REJECTED", "SUSPENDED_OR_LIMIT_LOCKED")]
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_sales_come_first_and_good_buys_before_poor_ones(spark, spread):
+def test_sales_come_first_and_good_buys_before_poor_ones(spark):
     df = spark.createDataFrame(
         [("p", day("2024-01-02"), c, s, x) for c, s, x in (
             ("a", "BUY", 1.0), ("b", "BUY", 2.0), ("c", "SELL", 5.0), ("d", "SELL", 3.0))],
         "portfolio_id string, date date, code string, side string, score double")
-    assert rows(orders.order_priority(df, spread=spread), "priority", "code") == [
+    assert rows(orders.order_priority(df), "priority", "code") == [
         (1, "d"), (2, "c"), (3, "b"), (4, "a")]
 
 

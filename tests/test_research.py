@@ -76,25 +76,10 @@ def test_forward_label_starts_at_next_open(spark):
     assert first["label_end_date"] == day("2024-01-03")
 
 
-def test_standardisation_spread_equals_one_task(spark, panel):
-    frame = factors.raw_factors(panel).where(F.col("date") > day("2020-09-20"))
-    frame = spark.createDataFrame(frame.toPandas())
-    one = preprocess.standardize(frame).select("date", "code", *MODEL_FEATURES).toPandas()
-    two = preprocess.standardize(frame, spread=True).select(
-        "date", "code", *MODEL_FEATURES).toPandas()
-    key = ["date", "code"]
-    a, b = (x.sort_values(key).set_index(key).astype(float) for x in (one, two))
-    assert len(a) == frame.count()
-    assert np.allclose(a, b, atol=1e-9, equal_nan=True)
-
-
-def test_raw_factors_spread_equals_one_task(panel):
-    columns = ["date", "code", "market_return", "liquidity_percentile", "tradable"]
-    a, b = (
-        factors.raw_factors(panel, spread=s).select(columns).toPandas()
-        .sort_values(["date", "code"]).reset_index(drop=True) for s in (False, True)
-    )
-    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12, atol=1e-12)
+
+
+
+
 
 
 def test_degenerate_cross_sections_become_zero(spark):
