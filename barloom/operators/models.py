@@ -1,13 +1,16 @@
-"""Boosted cross-sectional rankers through Spark's own distributed trainers."""
+"""Boosted cross-sectional rankers through Spark's own distributed trainers.
+
+The loss is the squared error of the target's percentile rank inside its date: a pointwise ranker,
+not a pairwise one. Explanations are those of the linear ranker (`scoring.add_reasons`).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,71 +18,66 @@ from pyspark.sql import functions as F
 from barloom.config import MODEL_FEATURES, Boosting
 from barloom.operators import splits
 
-try:  # The pairwise ranker needs a package that is not part of Spark.
-    from xgboost.spark import SparkXGBRanker
-except ImportError:
-    SparkXGBRanker = None
 
-HELD_OUT = "_validation"
+def best_rounds(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Trees with the lowest loss before `patience` rounds passed without a lower one.
+
+    Also tells whether the patience ran out, that is, whether more trees cannot change the answer.
+    """
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
 def fit_ranker(
     rows: DataFrame, config: Boosting = Boosting(), features: list[str] = MODEL_FEATURES
 ) -> PipelineModel:
-    """Fit on rows with split `train`; rows with split `validation` stop the boosting early.
+    """Fit on rows with split `train`; rows with split `validation` choose the number of trees.
 
-    With the pairwise ranker available dates are its query groups and `relevance` its label;
-    otherwise gradient-boosted regression trees learn the percentile rank of the target.
+    Spark's own early stop has no patience. So trees are grown in doubling numbers until the
+    validation loss has not fallen for `early_stopping_rounds` trees or all are grown, and the model
+    of the best number is fitted. With one seed the first trees are the same in every fit. Without
+    validation rows all trees stay.
     """
     if not features:
         raise ValueError("At least one model feature is required")
-    used = rows.where(F.col("split").isin("train", "validation")).withColumn(
-        HELD_OUT, F.col("split") == "validation"
-    )
     assemble = VectorAssembler(inputCols=features, outputCol="features")
-    if SparkXGBRanker is not None:
-        used = used.withColumn("qid", F.datediff("date", F.lit("1970-01-01").cast("date")))
-        ranker = SparkXGBRanker(
-            features_col="features", label_col="relevance", qid_col="qid",
-            prediction_col="prediction", validation_indicator_col=HELD_OUT,
-            pred_contrib_col="contributions", objective="rank:pairwise", eval_metric="ndcg@10",
-            n_estimators=config.n_estimators, max_depth=config.max_depth,
-            learning_rate=config.learning_rate, subsample=config.subsample,
-            colsample_bytree=config.colsample_bytree, random_state=config.random_state,
-            early_stopping_rounds=config.early_stopping_rounds,
-        )
-    else:
-        ranker = GBTRegressor(
-            featuresCol="features", labelCol="target_rank", predictionCol="prediction",
-            maxIter=config.n_estimators, maxDepth=config.max_depth,
-            stepSize=config.learning_rate, subsamplingRate=config.subsample,
-            featureSubsetStrategy=str(config.colsample_bytree), seed=config.random_state,
-            validationIndicatorCol=HELD_OUT,
-        )
-    return Pipeline(stages=[assemble, ranker]).fit(used)
+    used = rows.where(F.col("split").isin("train", "validation"))
+    used = assemble.transform(used).select("split", "features", "target_rank").persist()
+    try:
+        train, held_out = (used.where(F.col("split") == s) for s in ("train", "validation"))
+
+        def grown(trees: int):
+            return GBTRegressor(
+                featuresCol="features", labelCol="target_rank", predictionCol="prediction",
+                maxIter=trees, maxDepth=config.max_depth, stepSize=config.learning_rate,
+                subsamplingRate=config.subsample,
+                featureSubsetStrategy=str(config.colsample_bytree), seed=config.random_state,
+            ).fit(train)
+
+        trees = config.n_estimators
+        if held_out.isEmpty():
+            return PipelineModel([assemble, grown(trees)])
+        size = min(trees, 2 * config.early_stopping_rounds)
+        while True:
+            model = grown(size)
+            losses = model.evaluateEachIteration(held_out, "squared")
+            best, settled = best_rounds(losses, config.early_stopping_rounds)
+            if settled or size == trees:
+                break
+            size = min(trees, 2 * size)
+        return PipelineModel([assemble, model if best == size else grown(best)])
+    finally:
+        used.unpersist()
 
 
 def score(model: PipelineModel, rows: DataFrame, name: str = "boosted_score") -> DataFrame:
     """Add the model's score; the assembled vector does not stay."""
-    scored = model.transform(rows)
-    extra = [c for c in ("rawPrediction", "qid") if c in scored.columns]
-    return scored.withColumnRenamed("prediction", name).drop("features", *extra)
-
-
-def explain(scored: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame:
-    """Two strongest feature contributions per row; needs the pairwise ranker's contributions."""
-    if "contributions" not in scored.columns:
-        raise ValueError("local explanations need the pairwise ranker; use linear reasons instead")
-    values = vector_to_array("contributions")
-    parts = [
-        F.struct((-values[i]).alias("order"), F.lit(i).alias("place"),
-                 F.lit(f.removesuffix("_z")).alias("label"))
-        for i, f in enumerate(features)
-    ]
-    ranked = F.array_sort(F.array(*parts))
-    return scored.withColumns(
-        {"boosted_reason_1": ranked[0]["label"], "boosted_reason_2": ranked[1]["label"]}
-    )
+    return model.transform(rows).withColumnRenamed("prediction", name).drop("features")
 
 
 def walk_forward_scores(

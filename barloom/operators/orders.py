@@ -53,6 +53,19 @@ def schedule_signals(signals: DataFrame, calendar: DataFrame) -> DataFrame:
     return out.where(F.col("execution_date").isNotNull()).withColumnRenamed("date", "signal_date")
 
 
+def execution_candidates(scheduled: DataFrame, bars: DataFrame) -> DataFrame:
+    """Scheduled signals, tradable only if the security still trades and is no ST on execution."""
+    day = bars.select(
+        F.col("date").alias("execution_date"), "code",
+        (F.coalesce("is_trading", F.lit(False)) & ~F.coalesce("is_st", F.lit(False)))
+        .alias("_open"),
+    )
+    rows = scheduled.join(day, ["execution_date", "code"], "left")
+    return rows.withColumn(
+        "tradable", F.col("tradable") & F.coalesce("_open", F.lit(False))
+    ).drop("_open")
+
+
 MARKET_COLUMNS = [
     "open", "raw_open", "volume", "is_trading", "is_st", "lot_size", "limit_up", "limit_down",
 ]

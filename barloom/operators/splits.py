@@ -68,7 +68,7 @@ def purged_split(
     return out if keep_purged else out.where(F.col("split") != "purged")
 
 
-def fold_bounds(
+def fold_dates(
     dataset: DataFrame,
     *,
     train_months: int = 36,
@@ -77,7 +77,10 @@ def fold_bounds(
     step_months: int | None = None,
     window: str = "expanding",
 ) -> DataFrame:
-    """One row per fold with the first and last date of each part; the last fold may be short."""
+    """One row per fold and date it uses, with the date's part; the last fold may be short.
+
+    `limit` is the first date of the fold's next part, which a row's label must not reach.
+    """
     if window not in {"expanding", "rolling"}:
         raise ValueError("window must be expanding or rolling")
     step = test_months if step_months is None else step_months
@@ -108,36 +111,40 @@ def fold_bounds(
     )
     begin = F.lit(0) if window == "expanding" else F.col("v0") - train_months
     used = placed.where((i >= begin) & (i < F.col("t0") + test_months))
-    date = F.col("date")
-    train, valid, test = i < F.col("v0"), (i >= F.col("v0")) & (i < F.col("t0")), i >= F.col("t0")
-    return used.groupBy((k + 1).alias("fold_id")).agg(
-        F.min(F.when(train, date)).alias("train_start"),
-        F.max(F.when(train, date)).alias("train_end"),
-        F.min(F.when(valid, date)).alias("validation_start"),
-        F.max(F.when(valid, date)).alias("validation_end"),
-        F.min(F.when(test, date)).alias("test_start"),
-        F.max(F.when(test, date)).alias("test_end"),
+    part = (
+        F.when(i < F.col("v0"), F.lit("train")).when(i < F.col("t0"), F.lit("validation"))
+        .otherwise(F.lit("test"))
+    )
+    # One row per fold and rebalance date.
+    fold = Window.partitionBy("fold_id")
+    first = {p: F.min(F.when(F.col("split") == p, F.col("date"))).over(fold)
+             for p in ("validation", "test")}
+    return used.select((k + 1).alias("fold_id"), "date", part.alias("split")).withColumn(
+        "limit",
+        F.when(F.col("split") == "train", first["validation"])
+        .when(F.col("split") == "validation", first["test"]),
+    )
+
+
+def fold_bounds(dataset: DataFrame, **months) -> DataFrame:
+    """One row per fold with the first and last date of each part."""
+    ends = {
+        f"{p}_{end}": agg(F.when(F.col("split") == p, F.col("date")))
+        for p in ("train", "validation", "test") for end, agg in (("start", F.min), ("end", F.max))
+    }
+    return fold_dates(dataset, **months).groupBy("fold_id").agg(
+        *[value.alias(name) for name, value in ends.items()]
     )
 
 
 def walk_forward_folds(dataset: DataFrame, **months) -> DataFrame:
     """Rows of every fold as (fold_id, split, ...), purged; a row appears once per fold it serves."""
     require_columns(dataset, ["date", "label_end_date"], "Walk-forward dataset")
-    bounds = fold_bounds(dataset, **months)
-    date, end = F.col("date"), F.col("label_end_date")
-    inside = (date >= F.col("train_start")) & (date <= F.col("test_end"))
-    split = (
-        F.when((date <= F.col("train_end")) & (end < F.col("validation_start")), "train")
-        .when(
-            (date >= F.col("validation_start")) & (date <= F.col("validation_end"))
-            & (end < F.col("test_start")),
-            "validation",
-        )
-        .when((date >= F.col("test_start")) & (date <= F.col("test_end")), "test")
-    )
-    # One row per fold: a handful, bounded by the number of months.
-    joined = dataset.join(F.broadcast(bounds), inside).withColumn("split", split)
-    return joined.where(F.col("split").isNotNull()).select("fold_id", "split", *dataset.columns)
+    # Bounded by the number of months, squared at most.
+    placed = fold_dates(dataset, **months)
+    joined = dataset.join(F.broadcast(placed), "date")
+    inside = (F.col("split") == "test") | (F.col("label_end_date") < F.col("limit"))
+    return joined.where(inside).select("fold_id", "split", *dataset.columns)
 
 
 def fold_summary(dataset: DataFrame, **months) -> DataFrame:

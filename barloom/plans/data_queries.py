@@ -25,7 +25,7 @@ def build_membership(m: Market):
 
 def membership(m: Market):
     """Membership intervals as landed in storage."""
-    return m.keep("membership", lambda: build_membership(m))
+    return m.membership
 
 
 def build_industry(m: Market):
@@ -168,17 +168,16 @@ def assemble_backfill(current):
 
 @query("benchmark_series", "date benchmark_key expected_start expected_end", "close", 9)
 def benchmark_series(m: Market):
+    # A later download repeats the dates from START on with revised closes.
     table = m.view("benchmarks")
-    tagged = {
-        key: table.where(F.col("benchmark_key") == key).drop("benchmark_key")
-        .where(F.col("date") >= F.lit(START).cast("date")).withColumn("close", F.col("close") + 1)
-        for key in REGIONS
-    }
-    merged = feeds.assemble_benchmarks(tagged, table)
-    window = feeds.common_window(merged, START, END)
-    return merged.withColumns(
-        {c: window.select(c).scalar() for c in ("expected_start", "expected_end")}
-    )
+    later = table.where(
+        (F.col("date") >= F.lit(START).cast("date")) & F.col("benchmark_key").isin(REGIONS)
+    ).withColumn("close", F.col("close") + 1)
+    merged = feeds.lay_benchmarks(later, table)
+    window = feeds.common_window(merged, START, END).select(F.struct("*")).scalar()
+    return merged.withColumn("_w", window).withColumns(
+        {c: F.col("_w")[c] for c in ("expected_start", "expected_end")}
+    ).drop("_w")
 
 
 @query(

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.operators import scoring
+from barloom.operators import pit, scoring
 from barloom.plans import research
 from barloom.session import durable
 from barloom.sources import fixtures
@@ -41,8 +41,17 @@ class Market:
 
     @property
     def panel(self) -> DataFrame:
-        """Landed bars with the attributes of their securities."""
-        return self.keep("panel", lambda: self.view("panel"))
+        """Landed bars with the attributes of their securities and their membership on the day."""
+        return self.keep(
+            "panel", lambda: pit.point_in_time_membership(self.view("panel"), self.membership)
+        )
+
+    @property
+    def membership(self) -> DataFrame:
+        """Membership intervals as landed in storage."""
+        return self.keep(
+            "membership", lambda: pit.compress_snapshots(self.view("membership_snapshots"))
+        )
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that several queries read, written to the shared folder on first use."""

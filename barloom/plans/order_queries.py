@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from barloom.config import Boosting, Costs, Portfolio
+from barloom.config import Costs, Portfolio
 from barloom.functions import rolling
 from barloom.functions.scalars import with_venue
 from barloom.operators import assemble, models, orders, portfolio, scoring, splits
@@ -129,6 +131,11 @@ def signal_schedule(m: Market):
     return orders.schedule_signals(candidates(m), m.bars)
 
 
+@query("execution_candidates", "signal_date execution_date code tradable", "score", 5)
+def execution_candidates(m: Market):
+    return orders.execution_candidates(orders.schedule_signals(candidates(m), m.bars), m.panel)
+
+
 @query(
     "rebalance_summary", "portfolio_id execution_date filled_orders rejected_orders "
     "large_selected_count mid_selected_count entered_count exited_count",
@@ -195,14 +202,12 @@ def portfolio_preflight(m: Market):
 
 
 def books(m: Market):
-    """Every desk on every rebalance date that the preflight passes."""
-    good = portfolio.preflight(candidates(m), POLICY).where(F.col("violation").isNull())
-    desks = m.view("desk_holdings").select("portfolio_id", "date").distinct()
-    return desks.join(F.broadcast(good.select("date")), "date", "left_semi")
+    """Every desk on every rebalance date; those that cannot be filled come back with a status."""
+    return m.view("desk_holdings").select("portfolio_id", "date").distinct()
 
 
 @query(
-    "select_portfolio", "portfolio_id date code rank industry size_bucket held",
+    "select_portfolio", "portfolio_id date code rank industry size_bucket held status",
     "score target_weight", 5,
 )
 def select_portfolio(m: Market):
@@ -212,8 +217,8 @@ def select_portfolio(m: Market):
 
 
 @query(
-    "parameter_sweep", "scenario exit_rank max_replacements books positions retained entered "
-    "within_band", "band",
+    "parameter_sweep", "scenario exit_rank max_replacements books infeasible positions retained "
+    "entered within_band", "band",
 )
 def parameter_sweep(m: Market):
     return portfolio.parameter_sweep(
@@ -256,16 +261,16 @@ def target_quantities(m: Market):
         worth, ["portfolio_id", "date"], "left"
     ).fillna(INITIAL, ["equity"])
     policy = Portfolio(rebalance_weight_tolerance=0.02)
-    out = portfolio.target_quantities(
+    return portfolio.target_quantities(
         held, wanted, prices, equity, policy, ["portfolio_id", "date"]
     )
-    return out.where(F.col("price").isNotNull())
 
 
 PLAN = Portfolio(default_lot_size=10, min_trade_value=20_000.0, rebalance_weight_tolerance=0.02)
 
 
-def plan(m: Market):
+def plan_inputs(m: Market):
+    """Latest scores, bars, each desk's holdings and its cash."""
     last = m.keep(
         "latest_scores",
         lambda: scoring.latest_scores(
@@ -278,16 +283,31 @@ def plan(m: Market):
         "portfolio_id", "code"
     ).agg(F.sum(signed).alias("quantity")).where(F.col("quantity") > 0)
     cash = held.select("portfolio_id").distinct().withColumn("cash", F.lit(INITIAL))
+    return last, m.panel.withColumn("lot_size", F.lit(10)), held, cash
+
+
+def plan(m: Market):
+    last, bars, held, cash = plan_inputs(m)
     best = last.where(F.col("baseline_rank") <= TOP_K).select(
         "code", F.lit((1 - PLAN.cash_buffer) / TOP_K).alias("target_weight")
     )
     # At most top-k names, the same for every desk.
     names = best.groupBy().agg(F.collect_list(F.struct("code", "target_weight")).alias("n"))
     targets = cash.select("portfolio_id", F.inline(names.scalar()))
-    bars = m.panel.withColumn("lot_size", F.lit(10))
-    return portfolio.order_plan(
-        last, bars, held, targets, cash, PLAN, COSTS, "baseline_score"
+    return portfolio.order_plan(last, bars, held, targets, cash, PLAN, COSTS, "baseline_score")
+
+
+@query(
+    "selected_order_plan", "portfolio_id signal_date code action reason priority "
+    "current_quantity target_quantity order_quantity baseline_reason_1 baseline_reason_2",
+    "reference_price estimated_notional estimated_fees target_weight model_score", 4,
+)
+def selected_order_plan(m: Market):
+    """Every desk moves to its own holdings-aware selection."""
+    policy = replace(
+        POLICY, default_lot_size=10, min_trade_value=20_000.0, rebalance_weight_tolerance=0.02
     )
+    return portfolio.selected_order_plan(*plan_inputs(m), policy, COSTS, "baseline_score")
 
 
 @query(
@@ -309,17 +329,13 @@ def order_plan_summary(m: Market):
     return portfolio.order_plan_summary(plan(m))
 
 
-# Few trees: the query shows the training path, not a tuned model.
-SMALL_MODEL = Boosting(n_estimators=5, learning_rate=0.1, max_depth=3)
-
-
 @query("gbt_scores", "date code", "boosted_score")
 def gbt_scores(m: Market):
     rows = durable(splits.purged_split(m.predictions))
-    model = models.fit_ranker(rows, SMALL_MODEL)
+    model = models.fit_ranker(rows)
     return models.score(model, rows.where(F.col("split") == "test"))
 
 
 @query("walk_forward_gbt_scores", "fold_id date code", "boosted_score")
 def walk_forward_gbt_scores(m: Market):
-    return models.walk_forward_scores(m.predictions, SMALL_MODEL, cut=durable, **FOLDS)
+    return models.walk_forward_scores(m.predictions, cut=durable, **FOLDS)

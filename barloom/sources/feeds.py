@@ -111,9 +111,17 @@ def assemble_benchmarks(
     """Tag and stack index histories and lay them over the stored table."""
     rows = None
     for key, feed in feeds.items():
-        tagged = feed.withColumns({"benchmark_key": F.lit(key), "source": F.lit(source)})
+        tagged = feed.withColumn("benchmark_key", F.lit(key))
         rows = tagged if rows is None else rows.unionByName(tagged, allowMissingColumns=True)
-    return rows if existing is None else upsert(existing, rows, ["date", "benchmark_key"])
+    return lay_benchmarks(rows, existing, source=source)
+
+
+def lay_benchmarks(
+    feed: DataFrame, existing: DataFrame | None = None, *, source: str = "landed"
+) -> DataFrame:
+    """Index histories that carry their key, laid over the stored table in one step."""
+    tagged = feed.withColumn("source", F.lit(source))
+    return tagged if existing is None else upsert(existing, tagged, ["date", "benchmark_key"])
 
 
 def common_window(benchmarks: DataFrame, start: str, end: str) -> DataFrame:

@@ -308,8 +308,7 @@ def industry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"
     )
-    lines = trades(spark, sf_dir).where(F.col("l_linestatus") == "F")
-    return lines.join(kind, "l_partkey").select(
+    return trades(spark, sf_dir).join(kind, "l_partkey").select(
         "code", F.col("date").alias("change_date"), F.col("p_brand").alias("industry_code"),
         F.concat(F.lit(" "), "p_type").alias("industry_name"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("_seq"),

@@ -52,7 +52,7 @@ def classify(order: str) -> str:
         f"SELECT code, '{order}' AS kind, trim({pick}(p_brand, row{key})) AS industry_code,"
         f" trim({pick}(p_type, row{key})) AS industry_name, {START} AS effective_from,"
         " false AS is_point_in_time FROM (SELECT t.*, date AS change_date, p_brand, p_type"
-        " FROM v_trades t JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F') AS x"
+        " FROM v_trades t JOIN part ON l_partkey = p_partkey) AS x"
         " GROUP BY code"
     )
 
@@ -68,9 +68,9 @@ VIEWS = {
         s_acctbal < 0 AS is_st, abs(s_acctbal) + 1 AS shares
       FROM supplier LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey)
         ON s_nationkey = n_nationkey""",
-    "v_panel": """SELECT b.*, security_name, industry, size_bucket, is_st,
+    "v_panel": """SELECT b.*, security_name, industry, is_st,
         volume > 0 AND amount > 0 AS is_trading, shares * close AS market_cap, 100 AS lot_size
-      FROM v_bars b LEFT JOIN v_master m ON b.code = m.code""",
+      FROM v_pit_member b LEFT JOIN v_master m ON b.code = m.code""",
     "v_bench": """SELECT date, industry AS benchmark_key,
         round(sum(l_extendedprice), 2) / sum(l_quantity) AS close
       FROM v_trades t JOIN v_master m ON t.code = m.code GROUP BY ALL""",

@@ -184,6 +184,12 @@ QUERIES = {
           any_value(c.score) AS score
         FROM v_cand c JOIN (SELECT DISTINCT date FROM v_bars) b ON b.date > c.date
         GROUP BY c.date, c.code""",
+    "execution_candidates": """SELECT s.*, coalesce(p.is_trading AND NOT p.is_st, false) AS tradable
+        FROM (SELECT c.date AS signal_date, min(b.date) AS execution_date, c.code,
+                any_value(c.score) AS score
+              FROM v_cand c JOIN (SELECT DISTINCT date FROM v_bars) b ON b.date > c.date
+              GROUP BY c.date, c.code) s
+        LEFT JOIN v_panel p ON p.code = s.code AND p.date = s.execution_date""",
     "rebalance_summary": "SELECT * FROM v_rebalance",
     "ledger_nav": "SELECT * FROM v_ledger",
     "action_bookings": """SELECT portfolio_id, code, count(*) AS bookings,
@@ -230,9 +236,9 @@ QUERIES = {
         FROM v_desk_holdings h LEFT JOIN v_cand c ON h.date = c.date AND h.code = c.code
         GROUP BY portfolio_id, h.date""",
     "target_quantities": """SELECT *, target_quantity - quantity AS change,
-          CASE WHEN target_quantity > quantity THEN 'BUY' WHEN target_quantity < quantity
-            THEN 'SELL' ELSE 'HOLD' END AS side,
-          CASE WHEN band THEN 'WITHIN_REBALANCE_BAND' ELSE 'TARGET_REBALANCE' END AS band_reason
+          CASE WHEN price IS NULL THEN 'REVIEW' WHEN target_quantity > quantity THEN 'BUY'
+            WHEN target_quantity < quantity THEN 'SELL' ELSE 'HOLD' END AS side,
+          CASE WHEN price IS NULL THEN 'NO_PRICE' WHEN band THEN 'WITHIN_REBALANCE_BAND' ELSE 'TARGET_REBALANCE' END AS band_reason
         FROM (SELECT *, CASE WHEN band THEN quantity
                 ELSE floor(equity * target_weight / price)::BIGINT END AS target_quantity
           FROM (SELECT *, target_weight > 0 AND quantity > 0
@@ -245,7 +251,7 @@ QUERIES = {
                                (1 - 0.02::DOUBLE) / 5 AS target_weight
                              FROM v_desk_holdings d JOIN v_quota q ON d.date = q.date) t
                     USING (portfolio_id, date, code)
-                  JOIN v_bars USING (date, code)
+                  LEFT JOIN v_bars USING (date, code)
                   LEFT JOIN (SELECT portfolio_id, date, sum(quantity * close) AS held
                              FROM v_desk_holdings JOIN v_bars USING (date, code) GROUP BY ALL) w
                     USING (portfolio_id, date)) AS a) AS b) AS c""",

@@ -70,8 +70,8 @@ VIEWS = {
              THEN avg(sign(residual_return) * volume_z20) OVER w5 END
           AS price_volume_confirmation_5
       FROM v_ts1 {FRAMES}""",
-    "v_factors": """SELECT *, coalesce(is_trading AND NOT is_st AND listing_days >= 120
-          AND median_amount_20 > 0 AND liquidity_percentile > 0.2, false) AS tradable
+    "v_factors": """SELECT *, coalesce(is_trading AND NOT is_st AND is_universe_member
+          AND listing_days >= 120 AND median_amount_20 > 0 AND liquidity_percentile > 0.2, false) AS tradable
       FROM (SELECT *, CASE WHEN median_amount_20 IS NOT NULL THEN
               (rank() OVER (PARTITION BY date ORDER BY median_amount_20 NULLS LAST)
                + (count(*) OVER (PARTITION BY date, median_amount_20) - 1) / 2.0)

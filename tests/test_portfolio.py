@@ -40,9 +40,10 @@ def test_industry_cap(spark):
 def test_undersized_universe_fails_or_is_skipped(spark):
     policy = Portfolio(top_k=3, entry_rank=3, exit_rank=4, max_stock_weight=0.5)
     table = ranked(spark, ["BANK", "PROPERTY"])
-    with pytest.raises(Exception, match="Only 2 tradable candidates"):
+    with pytest.raises(Exception, match="TOO_FEW_CANDIDATES"):
         select(spark, table, [], policy)
-    assert select(spark, table, [], policy, strict=False).empty
+    out = select(spark, table, [], policy, strict=False)
+    assert out["status"].tolist() == ["TOO_FEW_CANDIDATES"] and out["code"].isna().all()
     line = portfolio.preflight(table, policy).first()
     assert line["violation"] == "TOO_FEW_CANDIDATES"
 
@@ -57,7 +58,7 @@ def test_unknown_industries_switch_the_cap_off(spark):
 def test_buffer_that_never_exits_is_rejected(spark):
     policy = Portfolio(top_k=2, entry_rank=2, exit_rank=3, max_stock_weight=0.5,
                        max_industry_weight=1.0)
-    with pytest.raises(Exception, match="could never leave the rank buffer"):
+    with pytest.raises(Exception, match="EXIT_RANK_NOT_BELOW_POOL"):
         select(spark, ranked(spark, ["BANK", "TECH", "UTILITY"]), ["000000", "000001"], policy)
 
 
@@ -131,7 +132,7 @@ def test_bounded_pool_gives_the_choice_over_the_whole_market(spark, seed):
     out = select(spark, spark.createDataFrame(pdf.drop(columns="rank")), held, policy, strict=False)
     large = pdf[pdf.code.isin(want)]["size_bucket"].eq("LARGE").sum()
     if len(want) < policy.top_k or large < policy.top_k - portfolio.mid_cap(policy):
-        assert out.empty
+        assert len(out) == 1 and out["status"].item() in ("QUOTAS_EXHAUSTED", "LARGE_SHORTAGE")
     else:
         assert set(out["code"]) == set(want)
         assert out["target_weight"].sum() == pytest.approx(0.98, abs=1e-8)
@@ -150,6 +151,84 @@ def test_sweep_counts_every_scenario(spark):
     assert got == [(6, 1, 1), (6, 2, 2), (12, 1, 0), (12, 2, 0)]
 
 
+def test_sweep_counts_books_it_cannot_fill(spark):
+    table = ranked(spark, ["UNKNOWN"] * 8)
+    books = spark.createDataFrame([("p", day("2024-01-31"))], "portfolio_id string, date date")
+    holdings = spark.createDataFrame(
+        [("p", day("2024-01-31"), "000001", 1.0)],
+        "portfolio_id string, date date, code string, weight double")
+    policy = Portfolio(top_k=5, entry_rank=5, exit_rank=6, max_stock_weight=0.2)
+    got = rows(portfolio.parameter_sweep(table, books, holdings, policy, exit_ranks=[6, 12],
+                                         replacements=[1], bands=[0.01]),
+               "exit_rank", "books", "infeasible", "positions")
+    assert got == [(6, 1, 0, 5), (12, 0, 1, 0)]
+
+
+def test_groups_of_a_date_share_its_candidates(spark, monkeypatch):
+    monkeypatch.setattr(portfolio, "BOOKS_PER_GROUP", 2)
+    on = day("2024-01-31")
+    table = ranked(spark, ["UNKNOWN"] * 20)
+    books = spark.createDataFrame([(f"p{i}", on) for i in range(9)],
+                                  "portfolio_id string, date date")
+    holdings = spark.createDataFrame(
+        [(f"p{i}", on, f"{5 + i:06d}") for i in range(9)],
+        "portfolio_id string, date date, code string")
+    policy = Portfolio(top_k=3, entry_rank=3, exit_rank=19, max_stock_weight=0.5)
+    out = portfolio.select_portfolios(table, books, holdings, policy).toPandas()
+    assert set(out["status"]) == {"SELECTED"} and len(out) == 27
+    kept = out[out["held"]].set_index("portfolio_id")["code"].to_dict()
+    assert kept == {f"p{i}": f"{5 + i:06d}" for i in range(9)}
+
+
+def test_weights_respect_every_cap():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n = int(rng.integers(2, 12))
+        industry, mid = rng.choice(list("ABC"), n), rng.random(n) < 0.5
+        got = portfolio.water_fill(rng.random(n), industry, mid, target=0.98, stock=0.3,
+                                   per_industry=0.5, mid=0.6)
+        per = pd.Series(got).groupby(industry).sum()
+        assert got.max() <= 0.3 + 1e-9 and per.max() <= 0.5 + 1e-9
+        assert got[mid].sum() <= 0.6 + 1e-9 and got.sum() <= 0.98 + 1e-9
+    # One capped name: the rest shares what it leaves in proportion.
+    got = portfolio.water_fill(np.array([6.0, 2.0, 1.0]), np.array(["A", "B", "C"]),
+                               np.zeros(3, bool), target=0.9, stock=0.5, per_industry=1, mid=1)
+    assert got == pytest.approx([0.5, 0.8 / 3, 0.4 / 3])
+
+
+def test_policy_ranges():
+    for field, value in (("initial_cash", 0.0), ("cash_buffer", 1.0), ("min_trade_value", -1.0),
+                         ("rebalance_weight_tolerance", 1.0), ("entry_rank", 49)):
+        with pytest.raises(ValueError, match=field):
+            Portfolio(**{field: value}).check()
+
+
+def test_selected_plan_gates_on_the_last_bar(spark):
+    on = day("2024-03-29")
+    codes = [f"00000{i}" for i in range(1, 7)]
+    scores = spark.createDataFrame([(on, c, 10.0 - i) for i, c in enumerate(codes)],
+                                   "date date, code string, x_score double")
+    # The best name is suspended, the second ST; the others can be bought.
+    bars = spark.createDataFrame(
+        [(on, c, 10.0, "IND", 100, i != 0, i == 1) for i, c in enumerate(codes)],
+        "date date, code string, close double, industry string, lot_size int, "
+        "is_trading boolean, is_st boolean")
+    held = spark.createDataFrame([("p", "000006", 1000), ("q", "000001", 50)],
+                                 "portfolio_id string, code string, quantity long")
+    cash = spark.createDataFrame([("p", 100_000.0), ("q", 100_000.0)],
+                                 "portfolio_id string, cash double")
+    policy = Portfolio(top_k=2, entry_rank=2, exit_rank=3, max_stock_weight=0.5,
+                       max_industry_weight=1.0)
+    plan = portfolio.selected_order_plan(scores, bars, held, cash, policy, Costs(), "x_score")
+    got = {(r.portfolio_id, r.code): r.action for r in plan.collect()}
+    assert got[("q", "000003")] == "BUY" and got[("q", "000001")] == "SELL"
+    assert ("p", "000001") not in got and ("q", "000002") not in got
+    tight = Portfolio(top_k=5, entry_rank=5, exit_rank=6, max_stock_weight=0.5)
+    failed = portfolio.selected_order_plan(scores, bars, held, cash, tight, Costs(), "x_score")
+    assert {(r.portfolio_id, r.code, r.action, r.reason) for r in failed.collect()} == {
+        (p, None, "REVIEW", "TOO_FEW_CANDIDATES") for p in "pq"}
+
+
 def test_order_plan_sells_departures_and_buys_targets(spark):
     on = day("2024-03-29")
     scores = spark.createDataFrame(

@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.config import MODEL_FEATURES, RAW_FEATURES
-from barloom.operators import evaluate, factors, labels, performance, preprocess, scoring, splits
+from barloom.config import MODEL_FEATURES, RAW_FEATURES, Boosting
+from barloom.operators import (
+    evaluate, factors, labels, models, performance, preprocess, scoring, splits,
+)
 from tests.helpers import bars_frame, day, random_bars, rows
 
 
@@ -214,3 +216,30 @@ def test_equal_weight_uses_members_only(spark):
     got = performance.equal_weight_nav(df, 100_000.0).orderBy("date").collect()
     assert [r["universe_equal_weight_nav"] for r in got] == pytest.approx(
         [100_000.0, 110_000.0, 121_000.0])
+
+
+def test_best_rounds_keeps_patience():
+    assert models.best_rounds([3.0, 2.0, 2.5, 1.0, 4.0, 4.0], 3) == (4, False)
+    assert models.best_rounds([3.0, 2.0, 2.5, 2.5, 1.0], 2) == (2, True)
+    assert models.best_rounds([1.0], 5) == (1, False)
+
+
+def test_boosting_grows_trees_that_help(spark):
+    rng = np.random.default_rng(0)
+    x = rng.random((1500, 2))
+    pdf = pd.DataFrame({
+        "a": x[:, 0], "b": x[:, 1], "target_rank": (np.sin(6 * x[:, 0]) + x[:, 1] + 1) / 3,
+        "split": np.where(np.arange(1500) % 3 == 0, "validation", "train")})
+    data = spark.createDataFrame(pdf)
+    config = Boosting(n_estimators=24, max_depth=3, learning_rate=0.2, early_stopping_rounds=4)
+    model = models.fit_ranker(data, config, ["a", "b"])
+    assert model.stages[-1].getNumTrees > 10
+    one = models.fit_ranker(data, Boosting(n_estimators=1, max_depth=3), ["a", "b"])
+
+    def corr(m):
+        got = models.score(m, data.where("split = 'validation'")).toPandas()
+        return got["boosted_score"].rank().corr(got["target_rank"].rank())
+
+    assert corr(model) > corr(one) + 0.02
+    again = models.fit_ranker(data, config, ["a", "b"])
+    assert again.stages[-1].getNumTrees == model.stages[-1].getNumTrees
