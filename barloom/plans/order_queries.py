@@ -304,8 +304,10 @@ def plan(m: Market):
 )
 def selected_order_plan(m: Market):
     """Every desk moves to its own holdings-aware selection."""
+    # Small, because the last month of the test data has few tradable members.
     policy = replace(
-        POLICY, default_lot_size=10, min_trade_value=20_000.0, rebalance_weight_tolerance=0.02
+        POLICY, top_k=3, entry_rank=3, exit_rank=4, max_stock_weight=0.5, max_industry_weight=0.7,
+        default_lot_size=10, min_trade_value=20_000.0, rebalance_weight_tolerance=0.02,
     )
     return portfolio.selected_order_plan(*plan_inputs(m), policy, COSTS, "baseline_score")
 
