@@ -111,8 +111,7 @@ def _regions(classes: DataFrame, region: int) -> DataFrame:
     crowded = members.where("parts")
     if crowded.isEmpty():
         return members.select("rkey", "part", "parts", "tree", "key", "sig")
-    rest = crowded
-    done = members.where("not parts")
+    rest, done = crowded, None
     for depth in range(START + 1, DEPTH + 2):
         if depth <= DEPTH:  # one more value of the label
             more = F.expr(f"substring(sig, tree * {DEPTH * 2} + 1, {depth * 2})")
@@ -122,10 +121,12 @@ def _regions(classes: DataFrame, region: int) -> DataFrame:
         sized = rest.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
         rest = rest.drop("m").join(sized, "part")
         if depth <= DEPTH:
-            done = done.unionByName(rest.where(F.col("m") <= region))
+            small = rest.where(F.col("m") <= region)
+            done = small if done is None else done.unionByName(small)
             rest = rest.where(F.col("m") > region)
-    done = done.unionByName(rest)
-    return landed(done.select("rkey", "part", "parts", "tree", "key", "sig"))
+    columns = ["rkey", "part", "parts", "tree", "key", "sig"]
+    # The members of whole regions are read where they were written; only the others are written again.
+    return members.where("not parts").select(*columns).unionByName(landed(done.unionByName(rest).select(*columns)))
 
 
 def _grouped(batches, columns):
