@@ -30,7 +30,8 @@ DAYS_A, DAYS_B = 17, 4297  # 17 * 4297 days are 1900-01-01 to 2099-12-31
 HEX = "0123456789abcdef"
 
 # Inner forms, without what must stand around them.
-EMAIL = r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+"
+# A host name has at most 127 labels; the last may be given back, where a full stop ends a sentence.
+EMAIL = r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+"
 ADDRESS = r"(?:\d{1,3}\.){3}\d{1,3}"
 CARD = r"\d(?:[ -]?\d){12,18}"
 SOCIAL = r"\d{3}-\d{2}-\d{4}"

@@ -147,6 +147,14 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert _replaced(spark, texts[:1], key="other")[0][0] != got[0][0]
 
 
+def test_addresses_before_full_stops(spark):
+    texts = [f"mail bob@mail.example.com{end}" for end in ("", ".", "...", ". Thanks", ".\nThanks", ".)")] + ["a@" + "b." * 500 + "1"]
+    got = _replaced(spark, texts)
+    for i, t in enumerate(texts[:6]):
+        assert got[i][1] == ["email"] and got[i][0].startswith(got[0][0]) and got[i][0][len(got[0][0]):] == t[len(texts[0]):]
+    assert got[0][0] != texts[0] and got[6] == (texts[6], [])
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(6).selectExpr("id as a").crossJoin(spark.range(7).selectExpr("id as b"))
     new = pairs.select(pii._pair(F.col("a"), F.col("b"), 6, 7, "k", "x").alias("n")).distinct()
