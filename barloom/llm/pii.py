@@ -6,7 +6,9 @@ network, so a card stays a valid card, a date a date, and equal values stay equa
 however they are punctuated. Numbers with a dense domain are written as a pair of Z_a x Z_b and the
 halves are shifted in turn by a keyed digest of the other; strings are split in two halves whose
 characters are shifted within their class (digit, small or capital letter, hexadecimal digit).
-Values that fail validation are not personal data of that kind and stay.
+Values that fail validation are not personal data of that kind and stay. A card is looked for at each
+group of a run of digit groups, so expiry dates, check values and list numbers beside it do not hide it;
+no group of a card or phone number begins an address, a date or a social security number.
 
 The text is split at the matches of one linear pattern; matches start only where a token starts, so
 long runs of letters or digits take linear time.
@@ -33,11 +35,29 @@ HEX = "0123456789abcdef"
 # A host name has at most 127 labels; the last may be given back, where a full stop ends a sentence.
 EMAIL = r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+"
 ADDRESS = r"(?:\d{1,3}\.){3}\d{1,3}"
-CARD = r"\d(?:[ -]?\d){12,18}"
+# Digit groups with single blanks or hyphens between them; a card is looked for at each group (`_run`).
+RUN = r"\d+(?:[ -]\d+)*"
+# Groupings of cards, first the ones to prefer where several pass.
+CARDS = [r"\d{13,19}", *("[ -]".join(rf"\d{{{n}}}" for n in sizes) for sizes in (
+    (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 3, 3, 3), (6, 10), (6, 13),
+))]
 SOCIAL = r"\d{3}-\d{2}-\d{4}"
 DATE_ISO = r"(?:19|20)\d\d-\d\d-\d\d"
 DATE_DAY = r"\d{1,2}([./])\d{1,2}\1(?:19|20)\d\d"
-PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(?[2-9]\d{2}\)?[ .-][2-9]\d{2}[ .-]\d{4})"
+DAY = r"\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)(?:19|20)\d\d(?!\d|[./]\d)"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})"
+# What a group of a card or phone number must not begin: a value of another kind.
+OTHER = rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)|{DATE_ISO}(?!\d|-\d)|{DAY}|{SOCIAL}(?!\d|-\d)"
+LOCAL = r"\(?[2-9]\d{2}\)?[ .-][2-9]\d{2}[ .-]\d{4}"
+_GAP = rf"[ .-](?!{OTHER}|(?:{'|'.join(CARDS[:3])})(?!\d))"
+# 8 to 15 digits, written out: Java bounds no repeated group in a look-behind.
+_DIGITS = r"[ .()-]{0,2}\d" * 8 + r"(?:[ .()-]{0,2}\d" * 7 + ")?" * 7
+# The form of country 1 first; any other ends at the last group with which it has 8 to 15 digits.
+PHONE = (
+    r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}(?:(?:{_GAP})?\d{{2,4}}){{1,3}}(?!\d)(?<=\+{_DIGITS})"
+    rf"|{LOCAL}(?!\d))"
+)
 CLOUD_KEY = r"AKIA[A-Z0-9]{16}"
 SECRET = r"(?:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{8,}"
 PATTERN = "|".join(
@@ -45,10 +65,10 @@ PATTERN = "|".join(
         rf"(?<![A-Za-z0-9._%+-]){EMAIL}",
         rf"(?<![\d.])(?:{ADDRESS})(?!\d|\.\d)",
         rf"(?<![\d.-]){DATE_ISO}(?!\d|-\d)",
-        rf"(?<![\d./])\d{{1,2}}(?:\.\d{{1,2}}\.|/\d{{1,2}}/)(?:19|20)\d\d(?!\d|[./]\d)",
+        rf"(?<![\d./]){DAY}",
         rf"(?<![\d-]){SOCIAL}(?!\d|-\d)",
-        rf"(?<![\d+]){CARD}(?!\d)",
-        rf"(?<![\d+]){PHONE}(?!\d)",
+        rf"(?<![\d+]){PHONE}",
+        rf"(?<![\d+])(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{OTHER}|{LOCAL}(?!\d))\d++)*+",
         rf"(?<![A-Za-z0-9]){CLOUD_KEY}(?![A-Za-z0-9])",
         rf"(?<![A-Za-z0-9_]){SECRET}",
     ]
@@ -254,13 +274,69 @@ def _kind(value: Column) -> Column:
         .when(_whole(value, ADDRESS), F.when(octets, "address"))
         .when(_whole(value, f"{DATE_ISO}|{DATE_DAY}"), F.when(_day(value).isNotNull(), "date"))
         .when(_whole(value, SOCIAL), F.when(social, "social"))
-        .when(_whole(value, CARD) & (_luhn(_digits(value)) % 10 == 0), "card")
-        .when(_whole(value, PHONE) & F.length(_digits(value)).between(8, 15), "phone")
-        .when(_whole(value, PHONE) & ~value.startswith("+"), "phone")
+        .when(_whole(value, PHONE), "phone")
         .when(_whole(value, f"{CLOUD_KEY}|{SECRET}"), "secret")
     )
 
 
+def _part(value, kind: str | None) -> Column:
+    return F.struct(value.alias("value"), F.lit(kind).cast("string").alias("kind"))
+
+
+def _run(value: Column) -> Column:
+    """The parts of a run of digit groups: its cards from left to right, and what is between them.
+
+    At each group the first of CARDS with a right check digit counts. A run in which none has is a
+    card as a whole if its digits pass."""
+    passes = lambda c: F.when(F.length(c) > 0, _luhn(_digits(c)) % 10 == 0).otherwise(False)
+    # For each form an entry for each group, empty where the form does not fit.
+    fits = F.arrays_zip(*[
+        F.regexp_extract_all(value, F.lit(rf"(?<!\d)(?=\d)(?=({form})(?!\d)|)"), F.lit(1)).alias(f"f{k}") for k, form in enumerate(CARDS)
+    ])
+    first = F.transform(
+        fits, lambda z, i: F.struct(i.alias("at"), F.get(F.filter(F.array(*[z[f"f{k}"] for k in range(len(CARDS))]), passes), F.lit(0)).alias("value"))
+    )
+    valid = F.transform(
+        F.filter(first, lambda c: c["value"].isNotNull()),
+        lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), (c["at"] + F.size(F.split(c["value"], "[ -]"))).alias("end")),
+    )
+    apart = F.aggregate(
+        valid, F.expr("cast(array() as array<struct<at: int, value: string, end: int>>)"),
+        lambda acc, c: F.when(F.coalesce(F.get(acc, F.size(acc) - 1)["end"] <= c["at"], F.lit(True)), F.concat(acc, F.array(c))).otherwise(acc),
+    )
+    groups = F.regexp_extract_all(value, F.lit(r"[ -]?\d+"), F.lit(0))
+
+    def between(g, start, end):
+        return F.array_join(F.slice(g, start + 1, end - start), "")
+
+    def parts(g, cards):
+        end = lambda k: F.coalesce(F.get(cards, k - 1)["end"], F.lit(0))
+        told = F.transform(
+            cards,
+            lambda c, k: F.array(
+                _part(F.concat(between(g, end(k), c["at"]), F.regexp_extract(F.get(g, c["at"]), "^[ -]?", 0)), None), _part(c["value"], "card")
+            ),
+        )
+        return F.concat(F.flatten(told), F.array(_part(between(g, end(F.size(cards)), F.size(g)), None)))
+
+    digits = _digits(value)
+    whole = F.length(digits).between(13, 19) & passes(digits)
+    return _let(
+        apart,
+        lambda cards: F.when(F.size(cards) > 0, _let(groups, lambda g: parts(g, cards)))
+        .when(whole, F.array(_part(value, "card"))).otherwise(F.array(_part(value, None))),
+    )
+
+
+def _parts(value: Column) -> Column:
+    """A match as an array of parts with their kinds, null for what is no personal data."""
+    return _let(
+        _kind(value),
+        lambda kind: F.when(kind.isNull() & (F.length(value) >= 13) & _whole(value, RUN), _run(value))
+        .otherwise(F.array(F.struct(value.alias("value"), kind.alias("kind")))),
+    )
+
+
 def _replaced(found: Column, key: str) -> Column:
     value, kind = found["value"], found["kind"]
     made = {"email": _email, "address": _address, "card": _card, "social": _social, "date": _date, "phone": _phone, "secret": _secret}
@@ -272,14 +348,19 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> tuple[D
     """`docs` with two more columns, whose names are returned: the new text and the array of kinds found."""
     text = column(docs, text_col)
     finds, new, kinds = (free_name(docs, n) for n in ("pii_finds", "pii_text", "pii_kinds"))
-    # Every kind holds a digit, an at sign or a mark of assignment.
-    finds_of = F.when(text.rlike("[0-9@=:]"), F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("value"), _kind(m).alias("kind"))))
-    held = docs.withColumn(finds, finds_of)
-    news = F.transform(column(held, finds), lambda f: _replaced(f, key))
-    joined = F.array_join(F.zip_with(F.split(column(held, text_col), PATTERN, -1), news, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    some = F.coalesce(F.size(column(held, finds)) > 0, F.lit(False))
+    # The parts of each match, before them the text up to it. Every kind holds a digit, an at sign or
+    # a mark of assignment.
+    matches = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), _parts)
+    parts = F.flatten(F.zip_with(
+        F.split(text, PATTERN, -1), matches,
+        lambda p, m: F.concat(F.array(_part(p, None)), F.coalesce(m, F.expr("cast(array() as array<struct<value: string, kind: string>>)"))),
+    ))
+    held = docs.withColumn(finds, F.when(text.rlike("[0-9@=:]"), parts))
+    joined = F.array_join(F.transform(column(held, finds), lambda f: _replaced(f, key)), "")
+    of = F.filter(F.transform(column(held, finds), lambda f: f["kind"]), lambda k: k.isNotNull())
+    held = held.withColumn(kinds, F.coalesce(of, F.expr("cast(array() as array<string>)")))
+    some = F.size(column(held, kinds)) > 0
     held = held.withColumn(new, F.when(some, joined).otherwise(column(held, text_col)))
-    held = held.withColumn(kinds, F.coalesce(F.transform(column(held, finds), lambda f: f["kind"]), F.expr("cast(array() as array<string>)")))
     return held.drop(finds), new, kinds
 
 

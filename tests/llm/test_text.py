@@ -155,6 +155,37 @@ def test_addresses_before_full_stops(spark):
     assert got[0][0] != texts[0] and got[6] == (texts[6], [])
 
 
+def test_cards_and_phones_beside_other_numbers(spark):
+    card, amex, ip, phone = "4111 1111 1111 1111", "3782 822463 10005", "190.137.223.204", "+1 (826) 555-4081"
+    texts = [
+        card, amex, ip, phone, card.replace(" ", ""), f"{card} 12/26", "4111111111111111 123", "12 4111111111111111", f"12 345 {card}",
+        f"1234 {card} 123 {amex}", f"{card} {ip}", f"{amex} 2024-01-05", f"{card} 123-45-6789", f"555-234-5678 {card}", f"{phone} {ip}",
+        f"{phone} 2024", f"{phone} {card}", "+44 20 7946 0958 2024", f"+49 30 123456 {card}", f"{phone} 4111 1111 1111 1112", "4222 2222 22222",
+        "1 2 3 " * 500 + card,
+    ]
+    got = _replaced(spark, texts)
+    new = {t: got[i][0] for i, t in enumerate(texts[:5])}
+    assert all(k != v for k, v in new.items()) and _luhn(new[card]) and _luhn(new[amex])
+    flat = new[card.replace(" ", "")]
+    assert flat == new[card].replace(" ", "")
+    assert [got[i] for i in range(5, 9)] == [
+        (f"{new[card]} 12/26", ["card"]), (f"{flat} 123", ["card"]), (f"12 {flat}", ["card"]), (f"12 345 {new[card]}", ["card"])
+    ]
+    assert got[9] == (f"1234 {new[card]} 123 {new[amex]}", ["card", "card"])
+    assert got[10] == (f"{new[card]} {new[ip]}", ["card", "address"])
+    assert got[11][0].startswith(new[amex]) and "2024-01-05" not in got[11][0] and got[11][1] == ["card", "date"]
+    assert got[12][0].startswith(new[card]) and got[12][1] == ["card", "social"]
+    assert got[13][0].endswith(new[card]) and got[13][1] == ["phone", "card"]
+    assert got[14] == (f"{new[phone]} {new[ip]}", ["phone", "address"])
+    assert got[15] == (f"{new[phone]} 2024", ["phone"])
+    assert got[16] == (f"{new[phone]} {new[card]}", ["phone", "card"])
+    assert got[17][1] == ["phone"] and "7946" not in got[17][0]
+    assert got[18][0].endswith(new[card]) and got[18][1] == ["phone", "card"]
+    assert got[19] == (f"{new[phone]} 4111 1111 1111 1112", ["phone"])
+    assert got[20][1] == ["card"] and got[20][0] != texts[20] and _luhn(got[20][0])
+    assert got[21][0].endswith(f" {new[card]}")
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(6).selectExpr("id as a").crossJoin(spark.range(7).selectExpr("id as b"))
     new = pairs.select(pii._pair(F.col("a"), F.col("b"), 6, 7, "k", "x").alias("n")).distinct()
