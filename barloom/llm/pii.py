@@ -5,7 +5,7 @@ reserved areas for social security numbers) and then permuted within its format
 network, so a card stays a valid card, a date a date, and equal values stay equal across documents,
 however they are punctuated. Numbers with a dense domain are written as a pair of Z_a x Z_b and the
 halves are shifted in turn by a keyed digest of the other; strings are split in two halves whose
-characters are shifted within their class (digit, small or capital letter, hexadecimal digit).
+characters are shifted within their class (digit, small or capital letter, small or capital hexadecimal digit).
 Values that fail validation are not personal data of that kind and stay. A card is looked for at each
 group of a run of digit groups, so expiry dates, check values and list numbers beside it do not hide it;
 no group of a card or phone number begins an address, a date or a social security number.
@@ -59,7 +59,7 @@ PHONE = (
     rf"|{LOCAL}(?!\d))"
 )
 CLOUD_KEY = r"AKIA[A-Z0-9]{16}"
-SECRET = r"(?:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{8,}"
+SECRET = r"(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{8,}"
 PATTERN = "|".join(
     [
         rf"(?<![A-Za-z0-9._%+-]){EMAIL}",
@@ -104,14 +104,14 @@ def _pair(a: Column, b: Column, over_a, over_b, key: str, kind: str) -> Column:
     )
 
 
-def _shifted(text: Column, hexadecimal: Column, draw) -> Column:
-    """Each character shifted within its class by draw(position)."""
+def _shifted(text: Column, alphabet: Column, draw) -> Column:
+    """Each character shifted within its class, or in `alphabet` if that is not null, by draw(position)."""
 
     def one(j):
         c, k = F.substring(text, j, 1), draw(j)
         base = lambda first, n: F.char(F.pmod(F.ascii(c) - first + k, F.lit(n)) + first)
         return (
-            F.when(hexadecimal, F.substring(F.lit(HEX), F.pmod(F.instr(F.lit(HEX), c) - 1 + k, F.lit(16)).cast("int") + 1, F.lit(1)))
+            F.when(alphabet.isNotNull(), F.substring(alphabet, F.pmod(F.instr(alphabet, c) - 1 + k, F.lit(16)).cast("int") + 1, F.lit(1)))
             .when(c.between("0", "9"), base(48, 10)).when(c.between("a", "z"), base(97, 26))
             .when(c.between("A", "Z"), base(65, 26)).otherwise(c)
         )
@@ -122,7 +122,9 @@ def _shifted(text: Column, hexadecimal: Column, draw) -> Column:
 def _string(text: Column, key: str, kind: str) -> Column:
     """A permutation of the strings of the same length and classes of characters."""
     half = F.floor(F.length(text) / 2).cast("int")
-    hexadecimal = text.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & text.rlike("[0-9]")
+    hexadecimal = F.when(
+        text.rlike("[0-9]"), F.when(text.rlike("^[0-9]*[a-f][0-9a-f]*$"), HEX).when(text.rlike("^[0-9]*[A-F][0-9A-F]*$"), HEX.upper())
+    )
     # A hexadecimal string must stay one with a letter and a digit, or it could not be told in the
     # next round; the class is therefore fixed before the first.
     start = F.struct(
@@ -260,7 +262,7 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    head = F.when(value.startswith("AKIA"), "AKIA").otherwise(F.regexp_extract(value, r"^[a-z_]+\s{0,3}[=:]\s{0,3}[\"']?", 0))
+    head = F.when(value.startswith("AKIA"), "AKIA").otherwise(F.regexp_extract(value, r"^[A-Za-z_]+\s{0,3}[=:]\s{0,3}[\"']?", 0))
     body = F.substring(value, F.length(head) + 1, F.length(value))
     return F.concat(head, _let(body, lambda x: _string(x, key, "secret")))
 

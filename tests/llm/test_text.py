@@ -186,6 +186,20 @@ def test_cards_and_phones_beside_other_numbers(spark):
     assert got[21][0].endswith(f" {new[card]}")
 
 
+def test_secrets_in_any_case(spark):
+    body = "9233A8EC24BE64439E3E49CF46B2D7C90F3602A3"
+    heads = ['TOKEN = "', "Password: ", "API_KEY=", "Secret = ", "PassWd:"]
+    texts = [h + body + '"' * h.count('"') for h in heads] + ["token=" + body.lower(), "TOKENS = " + body, "Password: Kx7Lq9Wz2b"]
+    got = _replaced(spark, texts)
+    for i, h in enumerate(heads):
+        new = got[i][0][len(h):].rstrip('"')
+        assert got[i][1] == ["secret"] and got[i][0].startswith(h) and re.fullmatch("[0-9A-F]{40}", new) and new != body
+        assert new in got[0][0]
+    assert re.fullmatch("token=[0-9a-f]{40}", got[5][0]) and got[5][0] != texts[5]
+    assert got[6] == (texts[6], [])
+    assert re.fullmatch(r"Password: [A-Z][a-z]\d[A-Z][a-z]\d[A-Z][a-z]\d[a-z]", got[7][0]) and got[7][0] != texts[7]
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(6).selectExpr("id as a").crossJoin(spark.range(7).selectExpr("id as b"))
     new = pairs.select(pii._pair(F.col("a"), F.col("b"), 6, 7, "k", "x").alias("n")).distinct()
