@@ -32,7 +32,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import column, documents, filled, free_name, landed, mapped, small_batches, utf8
@@ -344,11 +344,16 @@ def _mixed_blocks(members: DataFrame, roots: DataFrame, region: int) -> DataFram
     return main.unionByName(few).unionByName(cross)
 
 
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """The id, the text and a hash of both; rows with the same id and text have the same fate."""
+    doc_id, text = column(docs, id_col).cast("long"), filled(column(docs, text_col))
+    return doc_id, text, F.xxhash64(doc_id, text)
+
+
 def near_classes(docs: DataFrame, id_col: str, text_col: str, region: int = REGION) -> tuple[DataFrame, DataFrame]:
     """Features of all documents, and (key, doc, component_id) of all classes that have shingles."""
-    rows = docs.select(
-        column(docs, id_col).cast("long").alias("doc_id"), filled(column(docs, text_col)).alias("text")
-    ).withColumn("rid", F.xxhash64("doc_id", "text"))
+    doc_id, text, rid = _row_key(docs, id_col, text_col)
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), rid.alias("rid"))
     features = landed(
         mapped(rows.select("doc_id", "rid", "text"), _features, "doc_id long, rid long, n_shingles long, key binary, sig binary")
     )
@@ -388,23 +393,31 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, region: int = REGI
     return features, landed(rooted.join(smallest, "root").select("key", "doc", "component_id"))
 
 
-def near_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of `docs`."""
+def _labels(docs: DataFrame, id_col: str, text_col: str, region: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, rid), a row for each row of `docs`."""
     features, classes = near_classes(docs, id_col, text_col, region)
-    joined = features.select("doc_id", "n_shingles", "key").join(classes.select("key", "component_id"), "key", "left")
+    joined = features.select("doc_id", "n_shingles", "key", "rid").join(classes.select("key", "component_id"), "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid"
     )
 
 
+def near_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of `docs`."""
+    return _labels(docs, id_col, text_col, region).drop("rid")
+
+
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are kept, with their columns."""
-    lost = near_labels(docs, id_col, text_col).where(~F.col("kept"))
-    key = free_name(docs, "near_id")
-    gone = landed(lost.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(key)).distinct())
-    held = docs.withColumn(key, F.coalesce(column(docs, id_col).cast("string"), F.lit("null")))
-    return held.join(gone, key, "left_anti").select([column(held, c) for c in docs.columns])
+    doc, row = free_name(docs, "near_id"), free_name(docs, "near_row")
+    lost = _labels(docs, id_col, text_col, REGION).where(~F.col("kept"))
+    # An id alone, or a missing one, may stand for several texts.
+    gone = landed(lost.select(F.col("doc_id").alias("id"), "rid").distinct())
+    doc_id, _, rid = _row_key(docs, id_col, text_col)
+    held = docs.withColumn(doc, doc_id).withColumn(row, rid)
+    same = (held[row] == gone["rid"]) & held[doc].eqNullSafe(gone["id"])
+    return held.join(gone, same, "left_anti").select([column(held, c) for c in docs.columns])
 
 
 def op6_near_dedup(spark, sf_dir):

@@ -124,6 +124,30 @@ def test_near_copies_of_an_empty_table(spark):
     assert near_dedup.near_labels(empty).count() == 0 and near_dedup.without_near_copies(empty).columns == empty.columns
 
 
+def test_without_near_copies_drops_rows_not_ids(spark):
+    base = [f"word{k}" for k in range(60)]
+    near, other = " ".join([*base[:-1], "last"]), " ".join(f"other{k}" for k in range(60))
+    rows = AWKWARD + [
+        (10, " ".join(base)), (None, near), (None, other), (None, "a clean text without an id of its own"),
+        (11, near), (11, "another clean text that shares the id eleven"), (11, None), (12, other), (12, other), (13, other),
+    ]
+    table = clashing(docs(spark, rows))
+    got = near_dedup.without_near_copies(table)
+    assert got.columns == table.columns
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def linked(t, u):
+        both = len(grams(t) & grams(u))
+        return both and 100 * both >= 75 * len(grams(t) | grams(u))
+
+    want = [(i, t) for i, t in rows if not any(linked(t, u) and d is not None and (i is None or d < i) for d, u in rows)]
+    assert len(rows) - len(want) == 5
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_components_of_a_path_and_a_star(spark):
     key = lambda i: bytes([0, i])
     links = [(key(i), key(i + 1)) for i in range(9)] + [(key(40), key(40 + i)) for i in range(1, 9)]
