@@ -8,7 +8,8 @@ halves are shifted in turn by a keyed digest of the other; strings are split in
 characters are shifted within their class (digit, small or capital letter, small or capital hexadecimal digit).
 Values that fail validation are not personal data of that kind and stay. A card is looked for at each
 group of a run of digit groups, so expiry dates, check values and list numbers beside it do not hide it;
-no group of a card or phone number begins an address, a date or a social security number.
+no group of a card or phone number begins an address, a date or a social security number. A date with
+slashes that fits both readings is day/month; one that fits only month/day is permuted in that format.
 
 The text is split at the matches of one linear pattern; matches start only where a token starts, so
 long runs of letters or digits take linear time.
@@ -225,23 +226,35 @@ def _social(value: Column, key: str) -> Column:
     return _let(new, written)
 
 
-def _day(value: Column) -> Column:
-    """The date that a value names, null where the calendar has none."""
+def _days(value: Column) -> Column:
+    """The date that a value names and whether the month comes first; no date where the calendar has none."""
     iso = _whole(value, DATE_ISO)
     part = lambda i: F.split(value, "[./-]")[i].cast("int")
     year, month, day = F.when(iso, part(0)).otherwise(part(2)), part(1), F.when(iso, part(2)).otherwise(part(0))
-    return F.try_to_date(F.concat_ws("-", _padded(year, F.lit(4)), _padded(month, F.lit(2)), _padded(day, F.lit(2))), "yyyy-MM-dd")
+
+    def named(m, d):
+        return F.try_to_date(F.concat_ws("-", _padded(year, F.lit(4)), _padded(m, F.lit(2)), _padded(d, F.lit(2))), "yyyy-MM-dd")
+
+    by_month = F.when(value.contains("/"), named(day, month))
+    return _let(
+        named(month, day),
+        lambda d: F.struct(F.coalesce(d, by_month).alias("day"), (d.isNull() & by_month.isNotNull()).alias("month_first")),
+    )
 
 
 def _date(value: Column, key: str) -> Column:
-    at = F.datediff(_day(value), F.lit("1900-01-01").cast("date")).cast("long")
+    read = _days(value)
+    at = F.datediff(read["day"], F.lit("1900-01-01").cast("date")).cast("long")
     new = _pair(F.floor(at / DAYS_B), at % DAYS_B, DAYS_A, DAYS_B, key, "date")
     day = _let(new, lambda x: F.date_add(F.lit("1900-01-01").cast("date"), (x["a"] * DAYS_B + x["b"]).cast("int")))
     mark = F.regexp_extract(value, "[./]", 0)
 
     def written(d):
         by_day = F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy"))
-        return F.when(_whole(value, DATE_ISO), F.date_format(d, "yyyy-MM-dd")).otherwise(by_day)
+        return (
+            F.when(_whole(value, DATE_ISO), F.date_format(d, "yyyy-MM-dd"))
+            .when(read["month_first"], F.date_format(d, "MM/dd/yyyy")).otherwise(by_day)
+        )
 
     return _let(day, written)
 
@@ -274,7 +287,7 @@ def _kind(value: Column) -> Column:
     return (
         F.when(_whole(value, EMAIL), "email")
         .when(_whole(value, ADDRESS), F.when(octets, "address"))
-        .when(_whole(value, f"{DATE_ISO}|{DATE_DAY}"), F.when(_day(value).isNotNull(), "date"))
+        .when(_whole(value, f"{DATE_ISO}|{DATE_DAY}"), F.when(_days(value)["day"].isNotNull(), "date"))
         .when(_whole(value, SOCIAL), F.when(social, "social"))
         .when(_whole(value, PHONE), "phone")
         .when(_whole(value, f"{CLOUD_KEY}|{SECRET}"), "secret")

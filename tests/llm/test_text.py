@@ -200,6 +200,15 @@ def test_secrets_in_any_case(spark):
     assert re.fullmatch(r"Password: [A-Z][a-z]\d[A-Z][a-z]\d[A-Z][a-z]\d[a-z]", got[7][0]) and got[7][0] != texts[7]
 
 
+def test_dates_with_the_month_first(spark):
+    texts = ["on 12/25/2024", "on 2024-12-25", "on 25/12/2024", "on 02/03/2024", "on 2024-03-02", "on 13/13/2024", "on 12.25.2024", "on 02/30/2024"]
+    got = _replaced(spark, texts)
+    read = lambda i, form: datetime.datetime.strptime(got[i][0], f"on {form}").date()
+    assert read(0, "%m/%d/%Y") == read(1, "%Y-%m-%d") == read(2, "%d/%m/%Y") != datetime.date(2024, 12, 25)
+    assert read(3, "%d/%m/%Y") == read(4, "%Y-%m-%d")
+    assert [got[i] for i in (5, 6, 7)] == [(texts[i], []) for i in (5, 6, 7)]
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(6).selectExpr("id as a").crossJoin(spark.range(7).selectExpr("id as b"))
     new = pairs.select(pii._pair(F.col("a"), F.col("b"), 6, 7, "k", "x").alias("n")).distinct()
