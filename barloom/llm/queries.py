@@ -1,6 +1,8 @@
 """The registered queries of this subpackage and their DuckDB statements."""
 
-from barloom.llm import bpe, chat, exact_dedup, langid, licenses, near_dedup, packing, pii, sharding, tiff
+from barloom.llm import (
+    bpe, chat, exact_dedup, langid, licenses, near_dedup, packing, periodic, pii, sharding, tiff, warc, whitening,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +15,9 @@ QUERIES = {
     "op8_tiff": tiff.op8_tiff,
     "op9_packing": packing.op9_packing,
     "op10_licenses": licenses.op10_licenses,
+    "op11_warc": warc.op11_warc,
+    "op12_periodic": periodic.op12_periodic,
+    "op13_whitening": whitening.op13_whitening,
 }
 
-ORACLE = {**exact_dedup.ORACLE, **chat.ORACLE}
+ORACLE = {**exact_dedup.ORACLE, **chat.ORACLE, **warc.ORACLE}
