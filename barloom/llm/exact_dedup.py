@@ -110,7 +110,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias(again),
     ).groupBy(key).agg(F.max(again).alias(again))
     held = docs.withColumn(key, row_key(column(docs, id_col), digest_of(column(docs, text_col))))
-    joined = held.join(landed(lost), key, "left")
+    # The dropped rows grow with the input, so they are never broadcast, however few they are here.
+    joined = held.join(landed(lost).hint("merge"), key, "left")
     once = joined.where(F.col(again).isNull()).select([column(joined, c) for c in docs.columns])
     first = (
         joined.where(F.col(again))

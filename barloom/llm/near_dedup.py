@@ -417,7 +417,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     doc_id, _, rid = _row_key(docs, id_col, text_col)
     held = docs.withColumn(doc, doc_id).withColumn(row, rid)
     same = (held[row] == gone["rid"]) & held[doc].eqNullSafe(gone["id"])
-    return held.join(gone, same, "left_anti").select([column(held, c) for c in docs.columns])
+    # They grow with the input, so they are never broadcast, however few they are here.
+    return held.join(gone.hint("merge"), same, "left_anti").select([column(held, c) for c in docs.columns])
 
 
 def op6_near_dedup(spark, sf_dir):
