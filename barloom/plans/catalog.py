@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import cross
 from barloom.operators import factors, labels
 from barloom.plans import (  # noqa: F401
-    data_queries, order_queries, performance_queries, report_queries, research_queries,
+    boosting_queries, data_queries, order_queries, performance_queries, report_queries, research_queries,
 )
 from barloom.plans.market import market
 from barloom.registry import QUERIES  # noqa: F401

@@ -25,6 +25,7 @@ class Market:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self._kept: dict[str, DataFrame] = {}
+        self._fitted: dict[str, object] = {}
 
     def table(self, name: str) -> DataFrame:
         return fixtures.table(self.spark, self.sf_dir, name)
@@ -59,8 +60,15 @@ class Market:
             self._kept[name] = durable(build())
         return self._kept[name]
 
+    def fitted(self, name: str, build: Callable):
+        """A model that several queries use, fitted on first use."""
+        if name not in self._fitted:
+            self._fitted[name] = build()
+        return self._fitted[name]
+
     def forget(self, landed: tuple[str, ...] = ()) -> None:
-        """Build the written tables anew on next use, all but the landed ones named."""
+        """Build the written tables and models anew on next use, all but the landed ones named."""
+        self._fitted = {}
         self._kept = {k: v for k, v in self._kept.items() if k in landed}
 
     @property
