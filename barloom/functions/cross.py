@@ -1,59 +1,52 @@
 """Exact order statistics inside groups such as dates: quantiles, ranks and top-k.
 
-A date may hold more rows than a task can sort. Values are therefore counted per distinct value
-first, so ties collapse before the shuffle, then cut into value buckets by a fixed increasing function.
-Bucket counts give the position at which each bucket starts, and only one (group, bucket) is ever
-sorted in a task. The buckets depend on the value alone, so retried tasks and both uses of the counts
-always agree, and the result does not depend on how even the buckets are.
+A date may hold more rows than a task can sort. So all rows of a step, of every group and column, go
+through one range shuffle on (column, group, value): Spark samples the splitters, a long group is cut
+wherever its rows need it, and equal values are cut too, by a hash of the row. Each task sorts its range
+and rows are numbered in that order; the table is written, since numbers must not change between uses.
+What is left is a count per group and range, no more rows than groups plus ranges, whose running sums turn
+local places into places in the group. There is one plan, whatever the size of a group.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Buckets per doubling of the value; a bucket spans less than 0.07 % of its value.
-PER_OCTAVE = 1024
-# log2 of the smallest double is -1074, so shifted logarithms are positive.
-_SHIFT = 1075 * PER_OCTAVE
+from barloom.session import durable
 
+# `monotonically_increasing_id` has the partition above these bits and the row below.
+_ROW_BITS = 33
 
-def value_bucket(v: Column) -> Column:
-    """Whole number that never decreases as `v` grows."""
-    size = F.floor(F.log2(F.abs(v)) * PER_OCTAVE) + F.lit(_SHIFT)
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
 
+def _in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt and sorted by `order`; equal ones may lie in several tasks."""
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    spread = df.withColumn("_salt", F.xxhash64(*plain)).repartitionByRange(*order, "_salt")
+    return spread.sortWithinPartitions(*order).drop("_salt")
 
-def _distinct_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _v) -> number of rows; `_v` is non-null."""
-    counts = df.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(
-        F.count(F.lit(1)).alias("_n")
+
+def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """The written table with `_id`, which grows with `order`, and `_part`, the range."""
+    return durable(
+        _in_ranges(df, order).withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_id", _ROW_BITS))
     )
-    return counts.withColumn("_b", value_bucket(F.col("_v")))
 
 
-def _bucket_starts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _b) -> rows before the bucket, rows in it, rows in the group."""
-    sizes = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumns(
+def _with_places(segments: DataFrame, groups: list[str]) -> DataFrame:
+    """Add rows of the group before the segment, and in the whole group, to `_count` per (group, range)."""
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return segments.withColumns(
         {
-            "_before": F.coalesce(F.sum("_size").over(before), F.lit(0)),
-            "_total": F.sum("_size").over(Window.partitionBy(*keys)),
+            "_before": F.coalesce(F.sum("_count").over(before), F.lit(0)),
+            "_total": F.sum("_count").over(Window.partitionBy(*groups)),
         }
     )
 
 
-def _starts(counts: DataFrame, buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """Add `_start`, the number of rows of the group below each distinct value."""
-    inside = (
-        Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return counts.join(buckets, [*keys, "_b"]).withColumn(
-        "_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    )
-
-
 def group_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -65,35 +58,35 @@ def group_quantiles(
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         keys, columns, "_f", "_v"
     )
-    ids = [*keys, "_f"]
-    counts = _distinct_counts(long, ids)
+    ids = ["_f", *keys]
+    rows = _numbered(long.where(F.col("_v").isNotNull()), [*ids, "_v"])
+    segments = rows.groupBy(*ids, "_part").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_count")
+    )
     last = F.col("_total") - 1
-    places = [(F.lit(float(p)) * last) for p in probs]
-    wanted = [f(p).cast("long") for p in places for f in (F.floor, F.ceil)]
-    hit = F.lit(False)
-    for w in wanted:
-        hit = hit | ((w >= F.col("_before")) & (w < F.col("_before") + F.col("_size")))
-    ranked = _starts(counts, _bucket_starts(counts, ids).where(hit), ids)
-    aggs = []
-    for i, place in enumerate(places):
-        for side, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            at = at.cast("long")
-            here = (F.col("_start") <= at) & (at < F.col("_start") + F.col("_n"))
-            aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}{i}"))
-        aggs.append(F.max(place - F.floor(place)).alias(f"_w{i}"))
-    found = ranked.groupBy(*ids).agg(*aggs)
-    values = {
-        i: F.col(f"_lo{i}") * (1 - F.col(f"_w{i}")) + F.col(f"_hi{i}") * F.col(f"_w{i}")
-        for i in range(len(probs))
-    }
-    wide = found.groupBy(*keys).agg(
+    wanted = []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * last
+        share = place - F.floor(place)
+        for at, part in ((F.floor(place), 1 - share), (F.ceil(place), share)):
+            wanted.append(F.struct(F.lit(i).alias("i"), at.cast("long").alias("at"), part.alias("share")))
+    told = _with_places(segments, ids).withColumn("_want", F.explode(F.array(*wanted)))
+    offset = F.col("_want.at") - F.col("_before")
+    told = told.where((offset >= 0) & (offset < F.col("_count"))).select(
+        *ids, (F.col("_first") + offset).alias("_id"), F.col("_want.i").alias("_i"),
+        F.col("_want.share").alias("_share"),
+    )
+    # A few rows per date and column, bounded by sizing.MAX_DATES; other keys get no hint.
+    told = F.broadcast(told) if keys == ["date"] else told
+    # The two neighbours of a quantile, each with its share.
+    part = F.col("_v") * F.col("_share")
+    return rows.select("_id", "_v").join(told, "_id").groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("_f") == c, values[i])).alias(f"{c}__q{i}")
+            F.sum(F.when((F.col("_f") == c) & (F.col("_i") == i), part)).alias(f"{c}__q{i}")
             for c in columns
             for i in range(len(probs))
         ]
     )
-    return wide
 
 
 def with_aggregates(
@@ -123,20 +116,96 @@ def _attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(side, keys, "left")
 
 
+def _tie_runs(group: str, value: str):
+    """Adds to sorted rows `_low`, the values of the group below the row's in this task, and `_ties`,
+    the rows here that share its value. A run is held until it ends."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, key, done = [], None, 0  # `done`: values of group `key` given out before
+
+        def give(last: bool):
+            nonlocal held, key, done
+            table = pa.Table.from_batches(held).combine_chunks()
+            g = table[group].to_numpy()
+            v = table[value].to_numpy(zero_copy_only=False).astype(float)
+            index = np.arange(len(g))
+            new_group = np.concatenate([[True], g[1:] != g[:-1]])
+            new_run = new_group | np.concatenate([[True], v[1:] != v[:-1]])
+            starts = np.flatnonzero(new_run)
+            stop = len(g) if last else int(starts[-1])
+            # Values, not nulls, before each row; nulls sort first.
+            valued = ~np.isnan(v)
+            seen = np.cumsum(valued) - valued
+            origin = seen[np.maximum.accumulate(np.where(new_group, index, 0))]
+            carried = np.where(np.cumsum(new_group) == 1, done if key == g[0] else 0, 0)
+            run_of = np.cumsum(new_run) - 1
+            low = (seen - origin + carried)[starts][run_of]
+            ties = np.diff(np.append(starts, len(g)))[run_of]
+            if stop:
+                out = table.slice(0, stop)
+                out = out.append_column("_low", pa.array(low[:stop])).append_column("_ties", pa.array(ties[:stop]))
+                yield from out.combine_chunks().to_batches()
+            if stop < len(g):
+                key, done = g[stop], int(low[stop])
+                held = table.slice(stop).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, v = batch.column(group), batch.column(value)
+            one = len(held) and g[0] == g[-1] and v[0].is_valid and v[0] == v[-1]
+            one = one and held[-1].column(group)[-1] == g[0] and held[-1].column(value)[-1] == v[0]
+            held.append(batch)
+            if not one:  # else the run goes on through the whole batch
+                yield from give(False)
+        if held:
+            yield from give(True)
+
+    return run
+
+
 def average_rank(
     df: DataFrame, keys: list[str], value: str, out: str
 ) -> DataFrame:
     """Add `<out>_rank` (ties share their mean rank) and `<out>_n` (non-null values in the group)."""
+    rows = df.withColumn(value, F.col(value).cast("double")).withColumn("_group", F.xxhash64(*keys))
+    ordered = _in_ranges(rows, [*keys, value])
+    schema = T.StructType([*ordered.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_low", "_ties"))])
+    # The range's number is that of the task that wrote it.
+    ran = durable(
+        ordered.mapInArrow(_tie_runs("_group", value), schema).withColumn("_part", F.spark_partition_id()).drop("_group")
+    )
     v = F.col(value)
-    counts = _distinct_counts(df.select(*keys, v.cast("double").alias("_v")), keys)
-    ranked = _starts(counts, _bucket_starts(counts, keys), keys).select(
-        *keys,
-        F.col("_v").alias(value),
-        (F.col("_start") + (F.col("_n") + 1) / 2.0).alias(f"{out}_rank"),
-        F.col("_total").alias(f"{out}_n"),
+    segments = ran.where(v.isNotNull()).groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_count"), F.min(F.struct(v.alias("v"), "_low", "_ties")).alias("_head"),
+        F.max(F.struct(v.alias("v"), "_low", "_ties")).alias("_tail"),
+    )
+    placed = _with_places(segments, keys)
+    # Values at the borders of ranges may go on in the next. Two segments of a range at most belong to
+    # groups with several, so this is small whatever the rows.
+    borders = (
+        placed.where(F.col("_count") < F.col("_total"))
+        .select(*keys, "_before", F.explode(F.array_distinct(F.array("_head", "_tail"))).alias("_end"))
+        .groupBy(*keys, F.col("_end.v").alias(value))
+        .agg(F.min(F.col("_before") + F.col("_end._low")).alias("_start"), F.sum("_end._ties").alias("_same"))
+    )
+    side = placed.select(*keys, "_part", "_before", "_total")
+    # A row per date and range; ranges are as many as a shuffle's partitions.
+    side = F.broadcast(side) if keys == ["date"] else side
+    first = F.coalesce("_start", F.col("_before") + F.col("_low"))
+    return (
+        ran.join(side, [*keys, "_part"], "left")
+        .join(F.broadcast(borders), [*keys, value], "left")
+        .withColumns(
+            {
+                f"{out}_rank": F.when(v.isNotNull(), first + (F.coalesce("_same", "_ties") + 1) / 2.0),
+                f"{out}_n": F.when(v.isNotNull(), F.col("_total")),
+            }
+        )
+        .select(*df.columns, f"{out}_rank", f"{out}_n")
     )
-    # A value shared by very many rows is one row here; AQE splits the skewed side of the join.
-    return df.withColumn(value, v.cast("double")).join(ranked, [*keys, value], "left")
 
 
 def percent_rank_average(
@@ -157,31 +226,17 @@ def ordinal_rank(
     (keys, tiebreak) must identify a row. Rows without a score get no rank.
     """
     s = F.col(score)
-
-    slim = df.where(s.isNotNull()).select(*keys, tiebreak, (-s.cast("double")).alias("_v"))
-    counts = _distinct_counts(slim, keys)
-    above = _starts(counts, _bucket_starts(counts, keys), keys).select(*keys, "_v", "_start")
-    # Equal scores are cut again by the first five characters of the tiebreak, which keep its order;
-    # at most ten codes share them.
-    head = F.substring(F.col(tiebreak), 1, 5)
-    slim = slim.withColumn("_h", head)
-    ties = [*keys, "_v"]
-    heads = slim.groupBy(*ties, "_h").agg(F.count(F.lit(1)).alias("_hn"))
-    earlier = Window.partitionBy(*ties).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(
-        *ties, "_h", F.coalesce(F.sum("_hn").over(earlier), F.lit(0)).alias("_hstart")
-    )
-    local = F.row_number().over(Window.partitionBy(*ties, "_h").orderBy(tiebreak))
-    placed = (
-        slim.withColumn("_local", local)
-        .join(heads, [*ties, "_h"])
-        .join(above, ties)
-        .select(
-            *keys, tiebreak,
-            (F.col("_start") + F.col("_hstart") + F.col("_local")).cast("int").alias(out),
-        )
+    scored = df.where(s.isNotNull()).withColumn("_v", -s.cast("double"))
+    rows = _numbered(scored, [*keys, "_v", tiebreak])
+    segments = rows.groupBy(*keys, "_part").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_count")
     )
-    return df.join(placed, [*keys, tiebreak], "left")
+    side = _with_places(segments, keys).select(*keys, "_part", "_first", "_before")
+    # A row per date and range; ranges are as many as a shuffle's partitions.
+    side = F.broadcast(side) if keys == ["date"] else side
+    place = (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias(out)
+    ranked = rows.join(side, [*keys, "_part"], "left").select(*df.columns, place)
+    return ranked.unionByName(df.where(s.isNull()).withColumn(out, F.lit(None).cast("int")))
 
 
 def top_k(

@@ -3,8 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barloom.functions import asof, cross
@@ -101,13 +99,57 @@ def test_flag_top_k_ties_and_short_groups(spark):
     ]
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=2, max_size=40))
-def test_value_bucket_never_decreases(spark, values):
-    ordered = sorted(values)
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(ordered)], "i int, v double")
-    buckets = [r[0] for r in df.orderBy("i").select(cross.value_bucket(F.col("v"))).collect()]
-    assert buckets == sorted(buckets)
+@pytest.fixture
+def ranges(spark):
+    """Seven ranges a shuffle, whatever their size, and batches of 50 rows."""
+    new = {
+        "spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "50",
+    }
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("dates", [["a"], ["a", "b", "c"], list("abcdefghij")])
+def test_one_date_over_many_ranges(spark, ranges, dates):
+    """A third of the rows hold one value and a fifth none; ranges cut dates and equal values."""
+    rng = np.random.default_rng(len(dates))
+    n = 3000
+    value = np.round(rng.normal(0, 3, n), 2)
+    value[rng.random(n) < 0.35] = 1.5
+    value[rng.random(n) < 0.2] = np.nan
+    share = np.r_[0.9, np.full(len(dates) - 1, 0.1 / max(1, len(dates) - 1))] if len(dates) > 1 else [1.0]
+    pdf = pd.DataFrame({"date": rng.choice(dates, n, p=share), "code": [f"{i:06d}" for i in range(n)], "v": value})
+    df = clean(spark, pdf).repartition(5)
+    parts = cross._numbered(df.where("v is not null"), ["date", "v"])
+    assert parts.select("_part").distinct().count() == 7
+    assert parts.where("v = 1.5 and date = 'a'").select("_part").distinct().count() > 1
+    probs = [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]
+    for r in cross.group_quantiles(df, ["date"], ["v"], probs).collect():
+        want = pdf[pdf.date == r["date"]]["v"].quantile(probs)
+        assert np.allclose([r[f"v__q{i}"] for i in range(len(probs))], want, atol=1e-12)
+    ranked = cross.average_rank(df, ["date"], "v", "x").toPandas().sort_values("code")
+    assert len(ranked) == n
+    grouped = pdf.groupby("date")["v"]
+    assert np.allclose(ranked["x_rank"].astype(float), grouped.rank(), equal_nan=True)
+    assert np.allclose(ranked["x_n"].astype(float), grouped.transform("count").where(pdf["v"].notna()), equal_nan=True)
+    placed = cross.ordinal_rank(df, ["date"], "v", "code", "place").toPandas().sort_values("code")
+    best = pdf.sort_values(["v", "code"], ascending=[False, True])
+    want = (best.groupby("date").cumcount() + 1).where(best["v"].notna()).sort_index()
+    assert np.allclose(placed["place"].astype(float), want, equal_nan=True)
+
+
+def test_no_rows_have_no_ranks(spark):
+    df = clean(spark, sample(6)).limit(0)
+    assert cross.group_quantiles(df, ["date"], ["v"], [0.5]).count() == 0
+    assert cross.average_rank(df, ["date"], "v", "x").count() == 0
+    assert cross.ordinal_rank(df, ["date"], "v", "code", "p").count() == 0
+    nulls = clean(spark, sample(6)).withColumn("v", F.lit(None).cast("double"))
+    assert cross.average_rank(nulls, ["date"], "v", "x").where("x_rank is null").count() == 400
 
 
 def brute_interval(bars, spans):
