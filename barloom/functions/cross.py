@@ -22,7 +22,10 @@ _ROW_BITS = 33
 
 
 def _in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows dealt and sorted by `order`; equal ones may lie in several tasks."""
+    """Rows dealt and sorted by `order`; equal ones may lie in several tasks.
+
+    Sampling the splitters reads `df` once more than the shuffle, so callers write it first.
+    """
     plain = [c for c, kind in df.dtypes if "map<" not in kind]
     spread = df.withColumn("_salt", F.xxhash64(*plain)).repartitionByRange(*order, "_salt")
     return spread.sortWithinPartitions(*order).drop("_salt")
@@ -55,9 +58,8 @@ def group_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per key; columns `<name>__q<i>` for probs[i]."""
 
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        keys, columns, "_f", "_v"
-    )
+    slim = durable(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]))
+    long = slim.unpivot(keys, columns, "_f", "_v")
     ids = ["_f", *keys]
     rows = _numbered(long.where(F.col("_v").isNotNull()), [*ids, "_v"])
     segments = rows.groupBy(*ids, "_part").agg(
@@ -170,7 +172,7 @@ def average_rank(
     df: DataFrame, keys: list[str], value: str, out: str
 ) -> DataFrame:
     """Add `<out>_rank` (ties share their mean rank) and `<out>_n` (non-null values in the group)."""
-    rows = df.withColumn(value, F.col(value).cast("double")).withColumn("_group", F.xxhash64(*keys))
+    rows = durable(df.withColumn(value, F.col(value).cast("double")).withColumn("_group", F.xxhash64(*keys)))
     ordered = _in_ranges(rows, [*keys, value])
     schema = T.StructType([*ordered.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_low", "_ties"))])
     # The range's number is that of the task that wrote it.
@@ -226,6 +228,7 @@ def ordinal_rank(
     (keys, tiebreak) must identify a row. Rows without a score get no rank.
     """
     s = F.col(score)
+    df = durable(df)
     scored = df.where(s.isNotNull()).withColumn("_v", -s.cast("double"))
     rows = _numbered(scored, [*keys, "_v", tiebreak])
     segments = rows.groupBy(*keys, "_part").agg(
