@@ -1,9 +1,10 @@
-"""As-of and interval joins on (key, date)."""
+"""As-of, interval and span joins on (key, date)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof_backward(
@@ -16,18 +17,43 @@ def asof_backward(
 ) -> DataFrame:
     """Attach to each left row the right values of the latest right date not after it.
 
-    Both sides are stacked and the last value is carried forward, one pass over (keys, date).
-    `right` must be unique on (keys, date). Groups are bounded by rows per key.
+    Two levels: the last value of each key and month is carried over the months, at most the calendar;
+    inside its month a left row looks at the month's values, 31 at most. Left rows are only joined,
+    on key and month, so one key may hold them all. `right` must be unique on (keys, date).
     """
     packed = F.struct(*[F.col(v) for v in values])
-    marks = right.select(*keys, date, packed.alias("_val"), F.lit(0).alias("_side"))
-    rows = left.withColumn("_side", F.lit(1))
-    stacked = rows.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(date, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = stacked.withColumn("_val", F.last("_val", ignorenulls=True).over(w))
-    return carried.where(F.col("_side") == 1).select(
-        *left.columns, *[F.col("_val")[v].alias(v) for v in values]
+    month = F.trunc(F.col(date), "month").alias("_month")
+    marks = right.groupBy(*keys, month).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), packed.alias("v")))).alias("_marks")
     )
+    over_months = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    months = left.select(*keys, month).distinct().join(marks, [*keys, "_month"], "full").withColumn(
+        "_before", F.last(F.get("_marks", F.size("_marks") - 1)["v"], ignorenulls=True).over(over_months)
+    )
+    seen = F.filter("_marks", lambda m: m["d"] <= F.col(date))
+    inside = F.when(F.size(seen) > 0, F.get(seen, F.size(seen) - 1)["v"]).otherwise(F.col("_before"))
+    placed = left.withColumn("_month", month).join(months, [*keys, "_month"], "left").withColumn("_val", inside)
+    return placed.select(*left.columns, *[F.col("_val")[v].alias(v) for v in values])
+
+
+def span_join(
+    spans: DataFrame, points: DataFrame, keys: list[str], *, start: str, stop: str, date: str,
+    unit: str = "month", last: Column | None = None,
+) -> DataFrame:
+    """Pairs of a span and a point of its keys with start <= date < stop; a null stop is open.
+
+    Spans are cut at the borders of months (or years) and met by the points of each, an equality join:
+    a span gives a row a unit, none carries a list. `last` ends open spans; by default the last point.
+    """
+    last = points.agg(F.max(date)).scalar() if last is None else last
+    ends = F.least(F.date_sub(F.coalesce(F.col(stop), F.date_add(last, 1)), 1), last)
+    cut = spans.where(F.col(start) <= ends).withColumn(
+        "_unit",
+        F.explode(F.sequence(F.trunc(F.col(start), unit), F.trunc(ends, unit), F.expr(f"INTERVAL 1 {unit}"))),
+    )
+    met = cut.join(points.withColumn("_unit", F.trunc(F.col(date), unit)), [*keys, "_unit"])
+    inside = (F.col(start) <= F.col(date)) & (F.col(stop).isNull() | (F.col(date) < F.col(stop)))
+    return met.where(inside).drop("_unit")
 
 
 def active_on(date: Column, start: Column, end: Column) -> Column:
@@ -35,34 +61,87 @@ def active_on(date: Column, start: Column, end: Column) -> Column:
     return (date >= start) & (end.isNull() | (date <= end))
 
 
+def _swept(fields: list[str]):
+    """Turns of sorted intervals: a stack holds the active ones, later starts above earlier ends.
+
+    An interval that starts pushes out those that end no later: they can never be in force again. So
+    each interval enters and leaves the stack once.
+    """
+    from datetime import date, timedelta
+
+    day, never = timedelta(days=1), date.max
+
+    def run(batches):
+        import pyarrow as pa
+
+        code, stack, out = None, [], []
+
+        def ended(until):
+            """Give the turns of intervals that end before `until`; one at `until` itself is left out."""
+            while stack and stack[-1][0] < until:
+                end = stack.pop()[0]
+                if end < never and end + day < until:
+                    out.append((code, end + day, stack[-1][1] if stack else None))
+
+        def given():
+            codes, days, picked = zip(*out)
+            kinds = [(f, batch.schema.field(f).type) for f in fields]
+            values = [
+                {"on": p is not None, **dict(zip(fields, p or [None] * len(fields)))} for p in picked
+            ]
+            out.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(codes, batch.schema.field("code").type), pa.array(days, pa.date32()),
+                 pa.array(values, pa.struct([("on", pa.bool_()), *kinds]))],
+                ["code", "date", "_in"],
+            )
+
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("code", "effective_from", "effective_to")),
+                       zip(*(batch.column(f).to_pylist() for f in fields)) if fields else [()] * batch.num_rows)
+            for own, start, end, values in rows:
+                if own != code:
+                    ended(never)
+                    code = own
+                    stack.clear()
+                ended(start)
+                end = never if end is None else end
+                while stack and stack[-1][0] <= end:
+                    stack.pop()
+                stack.append((end, values))
+                out.append((code, start, values))
+            if len(out) > 10_000:
+                yield given()
+        ended(never)
+        if out:
+            yield given()
+
+    return run
+
+
 def step_function(intervals: DataFrame, values: list[str]) -> DataFrame:
     """(code, date, _in): the interval in force from each date on which that can change.
 
-    `_in.on` is false where none is active; of several active intervals the latest start wins.
-    Starts and days after ends are the only dates compared with intervals, so the work per code
-    grows with its intervals, not with its bars.
+    `_in.on` is false where none is active; of several active intervals the latest start wins, of
+    several with that start the one that ends last. Intervals are first combined by start, so a code
+    has no more of them than the calendar has days; then one ordered pass, linear in intervals, sweeps
+    over their starts and ends.
     """
-    spans = intervals.select(
-        "code", "effective_from", "effective_to",
-        F.struct(F.lit(True).alias("on"), *[F.col(v).alias(v) for v in values]).alias("_in"),
-    )
-    turns = spans.select("code", F.col("effective_from").alias("date")).union(
-        spans.where(F.col("effective_to").isNotNull()).select(
-            "code", F.date_add("effective_to", 1)
-        )
-    ).distinct()
-    s = spans.withColumnRenamed("code", "_code")
-    on = (F.col("code") == F.col("_code")) & active_on(
-        F.col("date"), F.col("effective_from"), F.col("effective_to")
-    )
-    best = turns.join(s, on, "left").groupBy("code", "date").agg(
-        F.max_by("_in", "effective_from").alias("_in")
-    )
-    nothing = F.struct(
-        F.lit(False).alias("on"),
-        *[F.lit(None).cast(intervals.schema[v].dataType).alias(v) for v in values],
+    far = F.coalesce(F.col("effective_to"), F.lit("9999-12-31").cast("date"))
+    row = F.struct("effective_to", *values)
+    spans = (
+        intervals.where(F.col("effective_from").isNotNull() & (far >= F.col("effective_from")))
+        .groupBy("code", "effective_from").agg(F.max_by(row, F.struct(far, row)).alias("_row"))
+        .select("code", "effective_from", "_row.*")
+        .repartition("code").sortWithinPartitions("code", "effective_from")
     )
-    return best.withColumn("_in", F.coalesce("_in", nothing))
+    inside = T.StructType([T.StructField("on", T.BooleanType()), *[intervals.schema[v] for v in values]])
+    inside = T.StructType([T.StructField(f.name, f.dataType) for f in inside.fields])
+    schema = T.StructType([
+        T.StructField("code", intervals.schema["code"].dataType), T.StructField("date", T.DateType()),
+        T.StructField("_in", inside),
+    ])
+    return spans.mapInArrow(_swept(list(values)), schema)
 
 
 def interval_join(left: DataFrame, intervals: DataFrame, values: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import Costs, Portfolio
 from barloom.functions import cross
+from barloom.functions.asof import span_join
 from barloom.functions.scalars import pad_code, ratio
 from barloom.operators.performance import filled_calendar
 
@@ -172,17 +173,11 @@ def positions(
 
     Closes come from a filled calendar; a security never priced is worth 0.
     """
-    # One row per portfolio with its valuation dates, at most the calendar: the spans of a portfolio
-    # holding very much can then be split over tasks, and only dates inside a span become rows.
-    dates = valuation.groupBy("portfolio_id").agg(F.collect_set("date").alias("_dates"))
-    inside = F.filter(
-        "_dates",
-        lambda d: (d >= F.col("held_from"))
-        & (F.col("changed_on").isNull() | (d < F.col("changed_on"))),
-    )
-    held = spans.where(F.col("quantity") != 0).join(dates, "portfolio_id").select(
-        "portfolio_id", "code", "quantity", F.explode(inside).alias("date")
-    )
+    held = span_join(
+        spans.where(F.col("quantity") != 0).select("portfolio_id", "code", "quantity", "held_from", "changed_on"),
+        valuation.select("portfolio_id", "date").distinct(), ["portfolio_id"],
+        start="held_from", stop="changed_on", date="date",
+    ).select("portfolio_id", "code", "quantity", "date")
     last = valuation.agg(F.max("date")).scalar()
     price = either(bars, "raw_close", "close").alias("price")
     closes = filled_calendar(bars.select("code", "date", price), ["code"], "price", last)
@@ -265,8 +260,7 @@ def rebalance_summary(
 def action_bookings(actions: DataFrame, spans: DataFrame) -> DataFrame:
     """Dividends, bonus shares and unsubscribed rights of securities held into the ex-date.
 
-    Actions are merged to one per code and ex-date first, so a code's list is bounded by the
-    calendar; the holders of a widely held security can then be split over tasks.
+    Actions are merged to one per code and ex-date first; spans meet them year by year.
     """
     fields = [
         "ex_date", "cash_dividend_per_share", "bonus_share_ratio", "rights_share_ratio",
@@ -275,14 +269,11 @@ def action_bookings(actions: DataFrame, spans: DataFrame) -> DataFrame:
     merged = actions.groupBy(pad_code("code").alias("code"), "ex_date").agg(
         *[F.sum(c).alias(c) for c in fields[1:4]], F.max("rights_price").alias("rights_price")
     )
-    lists = merged.groupBy("code").agg(F.collect_list(F.struct(*fields)).alias("_actions"))
-    due = F.filter(
-        "_actions",
-        lambda a: (F.col("held_from") < a["ex_date"])
-        & (F.col("changed_on").isNull() | (F.col("changed_on") >= a["ex_date"])),
-    )
-    rows = spans.where(F.col("quantity") > 0).join(lists, "code").select(
-        "portfolio_id", "code", "quantity", F.inline(due)
+    # Held into the ex-date: bought before it, and not changed before it.
+    eve = merged.withColumn("_eve", F.date_sub("ex_date", 1))
+    rows = span_join(
+        spans.where(F.col("quantity") > 0).select("portfolio_id", "code", "quantity", "held_from", "changed_on"),
+        eve, ["code"], start="held_from", stop="changed_on", date="_eve", unit="year",
     )
     q = F.col("quantity")
     bonus = F.floor(q * F.col("bonus_share_ratio"))

@@ -216,3 +216,73 @@ def test_cents_round_half_to_even(spark):
     assert [r[0] for r in df.select(cents(F.col("x"))).collect()] == list(
         np.round([0.125, 0.375, 10.995], 2)
     )
+
+
+def test_asof_equals_a_scan_of_each_row(spark):
+    rng = np.random.default_rng(8)
+    days = pd.date_range("2019-12-20", periods=200).date
+    right = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 120), "date": rng.choice(days, 120), "v": rng.normal(size=120)})
+    right = right.drop_duplicates(["k", "date"])
+    # One key holds nearly all rows; dates come more than once, and before the first value.
+    left = pd.DataFrame({"k": rng.choice(["a", "b", "z"], 900, p=[0.9, 0.05, 0.05]), "date": rng.choice(days, 900)})
+    left["i"] = range(900)
+    got = asof.asof_backward(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], ["v"])
+    assert got.columns == ["k", "date", "i", "v"]
+    found = {r["i"]: r["v"] for r in got.collect()}
+    for r in left.itertuples():
+        known = right[(right.k == r.k) & (right.date <= r.date)].sort_values("date")
+        assert found[r.i] == (known["v"].iloc[-1] if len(known) else None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("Join")[0]  # left rows go through joins alone
+
+
+def test_span_join_equals_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    days = pd.date_range("2019-12-20", periods=500).date
+    spans = [
+        ("ab"[i % 2], i, days[a], None if i % 5 == 0 else days[min(499, a + int(rng.integers(0, 200)))])
+        for i, a in enumerate(rng.integers(0, 480, 60))
+    ]
+    points = [(k, d) for k in "abc" for d in rng.choice(days, 40, replace=False)]
+    want = sorted((i, d) for k, i, a, z in spans for p, d in points if p == k and a <= d and (z is None or d < z))
+    frames = (
+        spark.createDataFrame(spans, "k string, i int, a date, z date"), spark.createDataFrame(points, "k string, d date"),
+    )
+    for unit in ("month", "year"):
+        got = asof.span_join(*frames, ["k"], start="a", stop="z", date="d", unit=unit)
+        assert sorted((r["i"], r["d"]) for r in got.collect()) == want
+    assert asof.span_join(frames[0], frames[1].limit(0), ["k"], start="a", stop="z", date="d").count() == 0
+
+
+def test_sweep_equals_every_day(spark):
+    rng = np.random.default_rng(10)
+    days = pd.date_range("2020-01-01", periods=60).date
+    spans = []
+    for i in range(80):
+        a = int(rng.integers(0, 55))
+        z = None if rng.random() < 0.1 else days[min(59, a + int(rng.integers(-1, 25)))]
+        spans.append((f"c{rng.integers(0, 4)}", days[a], z, i))
+    frame = spark.createDataFrame(spans, "code string, effective_from date, effective_to date, v int")
+    bars = spark.createDataFrame([(f"c{c}", d) for c in range(5) for d in days], "code string, date date")
+    got = {(r["code"], r["date"]): (r["_matched"], r["v"]) for r in asof.interval_join(bars, frame, ["v"]).collect()}
+    far = day("9999-12-31")
+    for (code, d), found in got.items():
+        active = [(a, z or far, i) for c, a, z, i in spans if c == code and a <= d <= (z or far)]
+        # Of one start, the interval that ends last; it hides the others for good.
+        starts = max((a for a, _, _ in active), default=None)
+        best = [i for a, z, i in active if a == starts and z == max(z for a, z, _ in active if a == starts)]
+        assert found[0] == bool(active) and (found[1] in best if best else found[1] is None)
+
+
+def test_sweep_is_linear_in_intervals_of_one_code(spark):
+    """100,000 intervals of one code that all overlap; comparing each turn with each would be 10^10."""
+    n = 100_000
+    frame = spark.range(n).select(
+        F.lit("c").alias("code"), F.date_add(F.lit(day("1800-01-01")), F.col("id").cast("int")).alias("effective_from"),
+        F.date_sub(F.lit(day("2400-01-01")), F.col("id").cast("int")).alias("effective_to"), F.col("id").alias("v"),
+    )
+    steps = asof.step_function(frame, ["v"])
+    told = steps.agg(F.count(F.lit(1)).alias("n"), F.min("date"), F.max("date"), F.count_if(~F.col("_in.on")).alias("off")).first()
+    assert (told.n, told["min(date)"], told["max(date)"], told.off) == (2 * n, day("1800-01-01"), day("2400-01-02"), 1)
+    last = steps.where(F.col("date") == day("2399-12-31")).first()
+    assert last["_in"]["v"] == 1
