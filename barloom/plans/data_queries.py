@@ -137,6 +137,16 @@ def upsert_bars(m: Market):
     return writers.upsert(stored, fresh, ["code", "date"])
 
 
+@query("upsert_store", "code date", "open high low close volume amount", 8)
+def upsert_store(m: Market):
+    """The same through a yearly store: the bars, then the feed, which touches its own years only."""
+    path = f"{shared_folder(m.spark)}/barloom/store-{uuid.uuid4().hex}"
+    writers.upsert_store(m.bars, path, ["code", "date"])
+    fresh = m.view("adjusted_feed").where(F.col("date") >= F.lit(START).cast("date"))
+    writers.upsert_store(fresh, path, ["code", "date"])
+    return writers.read_store(m.spark, path)
+
+
 @query(
     "vendor_history", "kind code date", "open high low close volume amount turnover", 8,
 )

@@ -1,11 +1,15 @@
-"""Keyed upsert and report sinks."""
+"""Keyed upsert, the yearly store and report sinks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.clean import keep_last
+from barloom.session import durable
+from barloom.sources.readers import exists
+
+YEAR = "_year"
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,6 +26,38 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
     return keep_last(both, keys, [*told, *rest]).drop("_batch", "_copies")
 
 
+def upsert_store(incoming: DataFrame, path: str, keys: list[str], *, date: str = "date") -> list[int]:
+    """Lay a batch over a store partitioned by year; returns the years it touched.
+
+    Only these are read and written again, the files of all others stay as they are. The merged years
+    are written aside first, so a failing job leaves the store whole and may be run again; a year's
+    files are then replaced by Spark's dynamic partition overwrite. Rows without a date are kept in
+    year 0. The date must be a key, or a row could move between years.
+    """
+    if date not in keys:
+        raise ValueError(f"{date} must be a key of the store")
+    spark = incoming.sparkSession
+    year = F.coalesce(F.year(date), F.lit(0)).alias(YEAR)
+    batch = durable(incoming.select("*", year))
+    # At most the years of the calendar.
+    years = sorted(r[0] for r in batch.select(YEAR).distinct().collect())
+    if not years:
+        return []
+    stored = batch.limit(0)
+    if exists(spark, path):
+        stored = spark.read.option("mergeSchema", True).parquet(path).where(F.col(YEAR).isin(years))
+    merged = durable(upsert(stored, batch, keys))
+    # Keys spread a year over several files.
+    merged.repartition(YEAR, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        YEAR
+    ).parquet(path)
+    return years
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(path).drop(YEAR)
+
+
 def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> None:
     """Replace a Parquet table; the commit protocol publishes it as a whole."""
     writer = df.write.mode("overwrite")

@@ -278,6 +278,10 @@ QUERIES = {
           SELECT *, 1 AS b FROM v_adjusted WHERE date >= {START}
           UNION ALL SELECT code, date, open, high, low, close, volume, amount, 0 FROM v_bars) AS x
         QUALIFY row_number() OVER (PARTITION BY code, date ORDER BY b DESC) = 1""",
+    "upsert_store": f"""SELECT code, date, open, high, low, close, volume, amount FROM (
+          SELECT *, 1 AS b FROM v_adjusted WHERE date >= {START}
+          UNION ALL SELECT code, date, open, high, low, close, volume, amount, 0 FROM v_bars) AS x
+        QUALIFY row_number() OVER (PARTITION BY code, date ORDER BY b DESC) = 1""",
     "vendor_history": """SELECT kind, code, date, open, high, low, close,
           CASE WHEN kind = 'stock' THEN volume WHEN volume <= 60 THEN amount END AS volume,
           CASE WHEN kind = 'index' THEN 0 WHEN volume <= 60 THEN amount END AS amount,

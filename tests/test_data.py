@@ -209,6 +209,40 @@ def test_upsert_and_source_priority(spark):
     ]
 
 
+def test_store_upsert_leaves_other_years_alone(spark, tmp_path):
+    def bars(*rows):
+        return spark.createDataFrame([(day(d), c, x, s) for d, c, x, s in rows], "date date, code string, x double, _seq int")
+
+    path = str(tmp_path / "store")
+    keys = ["code", "date"]
+    first = bars(("2019-12-31", "a", 1.0, 0), ("2020-01-02", "a", 2.0, 0), ("2021-05-05", "b", 3.0, 0), ("2021-05-05", "a", 4.0, 0))
+    assert writers.upsert_store(first, path, keys) == [2019, 2020, 2021]
+
+    def files():
+        return {str(p.relative_to(path)) for p in (tmp_path / "store").rglob("*.parquet")}
+
+    before = files()
+    # Two rows of one key in the batch: the later stands. One new key in an old year, one new year.
+    batch = bars(("2020-01-02", "a", 8.0, 1), ("2020-01-02", "a", 9.0, 2), ("2020-02-03", "c", 5.0, 1), ("2022-01-01", "a", 6.0, 1))
+    assert writers.upsert_store(batch, path, keys) == [2020, 2022]
+    after = files()
+    kept = {f for f in before if "_year=2020" not in f}
+    assert kept <= after and not {f for f in before if "_year=2020" in f} & after
+    want = [
+        (day("2019-12-31"), "a", 1.0), (day("2020-01-02"), "a", 9.0), (day("2020-02-03"), "c", 5.0),
+        (day("2021-05-05"), "a", 4.0), (day("2021-05-05"), "b", 3.0), (day("2022-01-01"), "a", 6.0),
+    ]
+    assert rows(writers.read_store(spark, path), "date", "code", "x") == want
+    writers.upsert_store(batch, path, keys)  # again: nothing changes
+    assert rows(writers.read_store(spark, path), "date", "code", "x") == want
+    assert writers.upsert_store(batch.limit(0), path, keys) == []
+    # A column that older years do not have.
+    writers.upsert_store(batch.where("code = 'c'").withColumn("y", F.lit(7)), path, keys)
+    assert rows(writers.read_store(spark, path).where("y = 7"), "code", "x") == [("c", 5.0)]
+    with pytest.raises(ValueError):
+        writers.upsert_store(batch, path, ["code"])
+
+
 def test_index_feed_without_volume(spark):
     raw = spark.createDataFrame(
         [("2024-01-02", "1", "2", "3", "1", "500", 12.0)],
