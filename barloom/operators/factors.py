@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import RAW_FEATURES, Research
@@ -200,7 +200,25 @@ def add_listing_days(df: DataFrame) -> DataFrame:
 def time_series_factors(bars: DataFrame) -> DataFrame:
     """All look-back factors; the input rows with the factor columns added."""
     require_columns(bars, BAR_REQUIRED, "Bar table")
+    return _look_back(add_listing_days(daily_returns(bars)))
+
+
+# Rows of a code that the longest trailing window reads, the current one included.
+LOOK_BACK = 121
+
+
+def latest_factors(bars: DataFrame) -> DataFrame:
+    """`time_series_factors` on the latest date alone: returns and listing days come from all rows, the
+    trailing windows from the last `LOOK_BACK` rows of each code."""
+    require_columns(bars, BAR_REQUIRED, "Bar table")
+    last = bars.agg(F.max("date")).scalar()
     df = add_listing_days(daily_returns(bars))
+    from_end = F.row_number().over(Window.partitionBy("code").orderBy(F.col("date").desc()))
+    recent = df.withColumn("_from_end", from_end).where(F.col("_from_end") <= LOOK_BACK).drop("_from_end")
+    return _look_back(recent).where(F.col("date") == last)
+
+
+def _look_back(df: DataFrame) -> DataFrame:
     source = "turnover" if "turnover" in df.columns else "volume"
     families = [
         _trend_quality(), _high_position(), _reversal(), _risk(), _activity(source), _clv(),

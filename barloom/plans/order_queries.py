@@ -274,7 +274,7 @@ def plan_inputs(m: Market):
     last = m.keep(
         "latest_scores",
         lambda: scoring.latest_scores(
-            research.latest_cross_section(m.month_end)
+            research.latest_cross_section(m.panel)
         ),
     )
     signal = last.agg(F.max("date")).scalar()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barloom.config import MODEL_FEATURES, Research
 from barloom.operators import factors, labels, preprocess
@@ -44,11 +43,14 @@ def research_dataset(
 
 
 def latest_cross_section(
-    frame: DataFrame, config: Research = Research()
+    panel: DataFrame, config: Research = Research()
 ) -> DataFrame:
-    """Standardised tradable rows of the latest date, labels not needed."""
-    last = frame.agg(F.max("date")).scalar()
+    """Standardised tradable rows of the latest date of all bars, labels not needed."""
+    flagged = factors.add_tradable(
+        factors.latest_factors(panel), min_history_days=config.min_history_days,
+        min_liquidity_percentile=config.min_liquidity_percentile,
+    )
     return preprocess.standardize(
-        frame.where((F.col("date") == last) & F.col("tradable")),
+        durable(flagged.where("tradable")),
         lower=config.winsor_lower, upper=config.winsor_upper, cut=durable,
     )

@@ -194,5 +194,5 @@ def score_reasons(m: Market):
     "baseline_score " + " ".join(RAW_FEATURES), 5,
 )
 def latest_scores(m: Market):
-    last = research.latest_cross_section(m.month_end)
+    last = research.latest_cross_section(m.panel)
     return scoring.latest_scores(last)

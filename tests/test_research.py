@@ -243,3 +243,13 @@ def test_boosting_grows_trees_that_help(spark):
     assert corr(model) > corr(one) + 0.02
     again = models.fit_ranker(data, config, ["a", "b"])
     assert again.stages[-1].getNumTrees == model.stages[-1].getNumTrees
+
+
+def test_latest_factors_equal_those_of_all_dates(spark):
+    bars = bars_frame(spark, random_bars(symbols=8, days=200)).persist()
+    last = bars.agg(F.max("date")).first()[0]
+    whole = factors.time_series_factors(bars).where(F.col("date") == last)
+    latest = factors.latest_factors(bars)
+    assert latest.columns == whole.columns and latest.count() == whole.count() > 0
+    a, b = (df.select("code", "listing_days", *RAW_FEATURES).orderBy("code").toPandas() for df in (latest, whole))
+    assert np.allclose(a.drop(columns="code").astype(float), b.drop(columns="code").astype(float), equal_nan=True, atol=1e-12)
