@@ -9,6 +9,7 @@ from barloom.functions import cross
 from barloom.operators import factors, labels
 from barloom.plans import (  # noqa: F401
     boosting_queries, data_queries, order_queries, performance_queries, report_queries, research_queries,
+    storage_queries,
 )
 from barloom.plans.market import market
 from barloom.registry import QUERIES  # noqa: F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _D, _B, _L, _I, _DT = (
@@ -47,3 +48,21 @@ def require_columns(df: DataFrame, needed: Iterable[str], what: str) -> None:
     missing = sorted(set(needed).difference(df.columns))
     if missing:
         raise ValueError(f"{what} is missing required columns: {missing}")
+
+
+def signals(df: DataFrame, score: str) -> DataFrame:
+    """The columns of SIGNAL, typed, with the named score as `score`.
+
+    A score that is no number, or a date or code that is missing, fails the job: cast is strict.
+    Optional columns that are absent are null.
+    """
+    require_columns(df, ["date", "code", score], "Predictions")
+    columns = []
+    for field in SIGNAL.fields:
+        source = score if field.name == "score" else field.name
+        value = F.col(source).cast(field.dataType) if source in df.columns else F.lit(None).cast(field.dataType)
+        if field.name in ("date", "code"):
+            lacking = F.raise_error(F.lit(f"Predictions without a {field.name}")).cast(field.dataType)
+            value = F.coalesce(value, lacking)
+        columns.append(value.alias(field.name))
+    return df.select(*columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import schemas
@@ -147,12 +147,27 @@ def load_benchmarks(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("date", F.col("date").cast("date"))
 
 
+BUCKETS = ("LARGE", "MID", "SMALL", "UNKNOWN")
+
+
+def _checked(value: Column, rules: dict[str, Column]) -> Column:
+    """The value; a row that breaks a rule fails the read, in the task that meets it."""
+    out = value
+    for message, broken in rules.items():
+        out = F.when(F.coalesce(broken, F.lit(False)), F.raise_error(F.lit(message)).cast("string")).otherwise(out)
+    return out
+
+
 def load_membership(spark: SparkSession, path: str) -> DataFrame:
-    """Point-in-time membership intervals from CSV; check them with `pit.membership_rules`."""
+    """Point-in-time membership intervals from CSV.
+
+    A bad code, an end before its start or an unknown bucket fails the read; `pit.membership_rules`
+    counts them all.
+    """
     df = spark.read.option("header", True).csv(path)
     schemas.require_columns(df, ["code", "effective_from", "effective_to"], "Membership file")
     bucket = F.col("size_bucket") if "size_bucket" in df.columns else F.lit(None)
-    return df.withColumns(
+    typed = df.withColumns(
         {
             "code": normalize_symbol("code"),
             "effective_from": F.col("effective_from").cast("date"),
@@ -161,6 +176,18 @@ def load_membership(spark: SparkSession, path: str) -> DataFrame:
             "size_bucket": F.upper(F.coalesce(bucket.cast("string"), F.lit("UNKNOWN"))),
         }
     )
+    return typed.withColumn(
+        "code",
+        _checked(
+            F.col("code"),
+            {
+                "Membership file contains a code that has not six digits":
+                    ~F.coalesce(F.col("code").rlike(r"^\d{6}$"), F.lit(False)),
+                "Membership ends before it starts": F.col("effective_to") < F.col("effective_from"),
+                f"Membership buckets are {', '.join(BUCKETS)}": ~F.col("size_bucket").isin(*BUCKETS),
+            },
+        ),
+    )
 
 
 def load_industry_history(

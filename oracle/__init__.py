@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
-from oracle import data, orders, performance, reports, research
+from oracle import data, orders, performance, reports, research, storage
 
-VIEWS = {**data.VIEWS, **research.VIEWS, **reports.VIEWS, **performance.VIEWS, **orders.VIEWS}
+VIEWS = {**data.VIEWS, **research.VIEWS, **reports.VIEWS, **performance.VIEWS, **orders.VIEWS,
+         **storage.VIEWS}
 QUERIES = {
     **data.QUERIES, **research.QUERIES, **reports.QUERIES, **performance.QUERIES, **orders.QUERIES,
+    **storage.QUERIES,
 }
 
 

@@ -293,3 +293,37 @@ def test_last_row_of_a_key_stays_and_columns_go_by_name(spark, tmp_path):
     assert sorted((r.code, str(r.date), r.close, r.volume) for r in got) == [
         ("000001", "2024-01-02", 10.6, 100.0), ("000002", "2024-01-02", 10.4, 100.0), ("000002", "2024-01-03", 10.3, 100.0)
     ]
+
+
+def test_membership_reader_refuses_broken_files(spark, tmp_path):
+    def read(name, *lines):
+        (tmp_path / name).write_text("\n".join(["code,effective_from,effective_to,size_bucket", *lines]))
+        return readers.load_membership(spark, str(tmp_path / name)).collect()
+
+    good = read("good.csv", "1,2020-01-01,2020-06-30,large", "SH.600000,2020-01-01,,", "2,2020-01-01,open,mid")
+    assert [(r.code, r.effective_to, r.size_bucket) for r in good] == [
+        ("000001", day("2020-06-30"), "LARGE"), ("600000", None, "UNKNOWN"), ("000002", None, "MID")
+    ]
+    for name, line in (
+        ("code", "12A,2020-01-01,,large"), ("order", "1,2020-01-02,2020-01-01,large"), ("bucket", "1,2020-01-01,,huge"),
+        ("start", "1,soon,,large"),
+    ):
+        with pytest.raises(Exception, match="Membership|CAST_INVALID_INPUT"):
+            read(f"{name}.csv", line)
+    (tmp_path / "short.csv").write_text("code,effective_from\n1,2020-01-01")
+    with pytest.raises(ValueError):
+        readers.load_membership(spark, str(tmp_path / "short.csv"))
+
+
+def test_signals_are_typed_strictly(spark):
+    df = spark.createDataFrame([("2020-01-31", "000001", "0.5"), ("2020-01-31", "000002", None)], "date string, code string, s string")
+    out = schemas.signals(df, "s")
+    assert out.columns == schemas.SIGNAL.names
+    assert rows(out, "date", "code", "score", "industry") == [
+        (day("2020-01-31"), "000001", 0.5, None), (day("2020-01-31"), "000002", None, None)
+    ]
+    for bad in (("2020-01-31", "1", "much"), (None, "1", "0.5"), ("2020-01-31", None, "0.5")):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT|without a"):
+            schemas.signals(spark.createDataFrame([bad], df.schema), "s").collect()
+    with pytest.raises(ValueError):
+        schemas.signals(df, "t")
