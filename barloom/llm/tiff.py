@@ -34,6 +34,9 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 32
 FIELD = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, STOP = 256, 257
+# Bytes that one byte of each compression stands for at most: an LZW code of 9 to 12 bits stands for
+# less than 4096 bytes, a deflated match of 258 bytes takes two bits.
+MOST_FOLD = {PLAIN: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -245,6 +248,8 @@ def read_pages(raw: bytes):
         kind, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
         if not width or not height or any(b != 8 for b in tags.get(BITS, (1,))):
             raise ValueError("a page is not of 8-bit samples")
+        if not samples or kind not in MOST_FOLD:
+            raise ValueError("samples or compression are not known")
         tiled = TILE_OFFSETS in tags
         wide = one(TILE_WIDTH, 0) if tiled else width
         tall = one(TILE_HEIGHT, 0) if tiled else min(height, one(ROWS_PER_STRIP, height))
@@ -252,6 +257,9 @@ def read_pages(raw: bytes):
         across = -(-width // wide) if wide else 0
         if not across or not tall or len(places) < across * -(-height // tall) or len(sizes) < len(places):
             raise ValueError("strips or tiles are missing")
+        # Before anything of that size is made.
+        if max(height * width, wide * tall) * samples > MOST_FOLD[kind] * len(raw):
+            raise ValueError("the page is larger than its file can hold")
         pixels = np.empty((height, width * samples), np.uint8)
         for k in range(across * -(-height // tall)):
             y, x = k // across * tall, k % across * wide
@@ -280,9 +288,12 @@ def _store(batches):
             grid[: len(raw)] = np.frombuffer(raw, np.uint8)
             grid = grid.reshape(lines, LINE)
             pages = [grid[i : i + PAGE_LINES] for i in range(0, lines, PAGE_LINES)]
-            # One line: PackBits; two: LZW; up to a page: deflated strips; more pages: deflated tiles.
-            kind = PACKBITS if lines == 1 else LZW if lines == 2 else DEFLATE
-            files.append(write_tiff(pages, kind, 2 if lines > 1 else 1, tiled=len(pages) > 1))
+            # The check sum of the text picks the form, so equal texts have equal files and each codec
+            # and predictor meets short and long texts, one page and several. Tiles are for texts that
+            # fill one: padding would be most of a shorter text's file.
+            form = zlib.crc32(raw)
+            kind, predictor = (PACKBITS, LZW, DEFLATE)[form % 3], 1 + form // 3 % 2
+            files.append(write_tiff(pages, kind, predictor, tiled=lines >= TILE and form // 6 % 2 == 1))
             sizes.append(len(raw))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -320,7 +331,7 @@ def _read(pixels_too: bool):
                         rows.append([page, width, height, samples, kind, predictor, False, size, sha.hexdigest(), zlib.crc32(tail), None, feature, None, *([data] if pixels_too else [])])
                         where.append(i)
                     rows[-1][6], rows[-1][10] = True, hashlib.sha256(raw).hexdigest()
-                except (ValueError, struct.error, zlib.error) as error:
+                except (ValueError, struct.error, zlib.error, OverflowError, MemoryError) as error:
                     del rows[first:], where[first:]
                     rows.append([-1, *[None] * 5, True, *[None] * 5, str(error), *([None] if pixels_too else [])])
                     where.append(i)
