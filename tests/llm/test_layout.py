@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -70,6 +71,54 @@ def test_codecs_of_strips_and_tiles():
                     assert [g[0] for g in got] == [0, 1] and all((g[6] == p).all() for g, p in zip(got, pages))
 
 
+def test_files_that_claim_too_much(spark):
+    good = tiff.write_tiff([np.arange(16, dtype=np.uint8).reshape(4, 4)], tiff.DEFLATE)
+
+    def changed(tag, value):
+        at = good.index(struct.pack("<H", tag), struct.unpack_from("<I", good, 4)[0])
+        out = bytearray(good)
+        struct.pack_into("<I", out, at + 8, value)
+        return bytes(out)
+
+    files = [
+        (1, changed(tiff.SAMPLES, 0)), (2, changed(tiff.WIDTH, 2_000_000)), (3, changed(tiff.HEIGHT, 2**31)),
+        (4, changed(tiff.COMPRESSION, 7)), (5, changed(tiff.ROWS_PER_STRIP, 0)), (6, changed(tiff.STRIP_OFFSETS, 2**31)), (7, good),
+    ]
+    both = bytearray(changed(tiff.WIDTH, 2_000_000))
+    at = bytes(both).index(struct.pack("<H", tiff.HEIGHT), struct.unpack_from("<I", good, 4)[0])
+    struct.pack_into("<I", both, at + 8, 2_000_000)
+    files.append((8, bytes(both)))
+    got = {r.doc_id: r for r in tiff.tiff_pages(spark.createDataFrame(files, "doc_id long, media binary")).collect()}
+    assert got[7].page == 0 and not got[7].error
+    assert all(got[i].page == -1 and got[i].error for i in (1, 2, 3, 4, 5, 6, 8))
+
+
+def test_op8_against_brute_force(spark, tmp_path):
+    rows = [(i, t) for i, t in AWKWARD] + [(100 + k, f"line {k} " * (k * k * 40)) for k in range(30)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = tiff.op8_tiff(spark, str(tmp_path)).collect()
+    forms = set()
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        data = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
+        lines = [data[k : k + 576] for k in range(0, len(data), 576)]
+        counts = [data.count(b) for b in range(256)]
+        steps = sum(a != b for line in lines for a, b in zip(line, line[1:]))
+        mean = sum(b * n for b, n in enumerate(counts)) / len(data)
+        feature = f"pages={-(-len(lines) // 64)};width=576;mean={mean:.4f};values={sum(n > 0 for n in counts)};steps={steps}"
+        grid = np.frombuffer(data, np.uint8).reshape(-1, 576)
+        form = zlib.crc32(raw)
+        tiled = len(lines) >= 64 and form // 6 % 2 == 1
+        forms.add((form % 3, form // 3 % 2, tiled, len(lines) > 64))
+        media = tiff.write_tiff(
+            [grid[k : k + 64] for k in range(0, len(lines), 64)], (tiff.PACKBITS, tiff.LZW, tiff.DEFLATE)[form % 3], 1 + form // 3 % 2, tiled
+        )
+        want.append((i, len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert len(forms) > 8
+
+
 def test_pages_of_stored_texts_and_broken_files(spark):
     rows = AWKWARD + [(50, "é" * 40000)]
     pages = tiff.tiff_pages(tiff.tiff_stored(clashing(docs(spark, rows)))).collect()
@@ -146,4 +195,4 @@ def test_pipeline_on_awkward_rows(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
