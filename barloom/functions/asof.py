@@ -127,10 +127,12 @@ def step_function(intervals: DataFrame, values: list[str]) -> DataFrame:
     has no more of them than the calendar has days; then one ordered pass, linear in intervals, sweeps
     over their starts and ends.
     """
+    # Stored intervals may have their dates as text.
+    dated = intervals.withColumns({c: F.col(c).cast("date") for c in ("effective_from", "effective_to")})
     far = F.coalesce(F.col("effective_to"), F.lit("9999-12-31").cast("date"))
     row = F.struct("effective_to", *values)
     spans = (
-        intervals.where(F.col("effective_from").isNotNull() & (far >= F.col("effective_from")))
+        dated.where(F.col("effective_from").isNotNull() & (far >= F.col("effective_from")))
         .groupBy("code", "effective_from").agg(F.max_by(row, F.struct(far, row)).alias("_row"))
         .select("code", "effective_from", "_row.*")
         .repartition("code").sortWithinPartitions("code", "effective_from")
