@@ -1,7 +1,9 @@
 """Market tables derived from the star-schema test tables.
 
 One supplier is one security, one order line one trade, one customer (or nation) one portfolio.
-Every view covers the whole of its source tables. `daily` is the bar table.
+Views read whole tables but for four, which leave rows out to make gaps: `adjusted_feed` (days of large
+volume), `status_feed` (insolvent suppliers and closed days), `raw_dividends` and `raw_rights` (one kind
+of order line each). `daily` is the bar table.
 """
 
 from __future__ import annotations
