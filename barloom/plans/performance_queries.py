@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
-from barloom.operators import evaluate, performance, pit
+from barloom.operators import evaluate, performance, pit, portfolio, scenarios
 from barloom.plans import order_queries
 from barloom.plans.data_queries import membership
 from barloom.plans.market import SCORES, Market
 from barloom.plans.report_queries import REGIME_INDEX, TOP_K
 from barloom.registry import query
+from barloom.session import durable
 
 INITIAL = 1_000_000.0
 KEYS = ["africa", "america", "asia", "europe", "middle_east"]
-REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
 def aligned(m: Market):
@@ -146,36 +148,128 @@ def backtest_summary(m: Market):
     return summary(m)
 
 
-@query(
-    "scenario_comparison", "scenario filled_orders rejected_orders",
-    "end_nav total_return annualized_return annualized_volatility sharpe_ratio max_drawdown "
-    "average_turnover total_fees average_entries average_exits asia_total_return "
-    "asia_excess_total_return europe_total_return europe_excess_total_return", 5,
-)
-def scenario_comparison(m: Market):
-    return summary(m).withColumnRenamed("portfolio_id", "scenario")
+# Every ranker with several book sizes, under several cost schedules.
+RANKERS = {"baseline": "baseline_score", "momentum": "momentum_score"}
+SIZES, COST_MULTIPLES, INVESTED = [3, 5, 8], [0.0, 1.0, 2.0], 0.98
+
+
+def scenario_prices(m: Market):
+    # The test prices jump by orders of magnitude; roots keep years of compounding finite.
+    return m.bars.select("code", "date", (1000.0 + F.sqrt("close")).alias("close"))
+
+
+def ranked_targets(m: Market):
+    """Equal weights of the best names of each ranker, book size and cost multiple."""
+    rankers = F.array(*[
+        F.struct(F.lit(n).alias("model"), F.col(c).alias("score")) for n, c in RANKERS.items()
+    ])
+    stacked = m.predictions.select("date", "code", "industry", "tradable", F.inline(rankers))
+    # A date's best names of each ranker; smaller books take the first of them.
+    best = portfolio.top_k_quota(
+        stacked.withColumn("date", F.struct("model", "date")), max(SIZES), 2
+    ).select("date.model", "date.date", "code", "place")
+    sized = best.withColumn("size", F.explode(F.array(*[F.lit(k) for k in SIZES]))).where(
+        F.col("place") <= F.col("size")
+    )
+    chosen = sized.groupBy("model", "size", "date").agg(F.count(F.lit(1)).alias("chosen"))
+    targets = sized.join(chosen, ["model", "size", "date"]).select(
+        F.format_string("%s_top%d", "model", "size").alias("scenario"), "date", "code",
+        (INVESTED / F.col("chosen")).alias("target_weight"),
+    )
+    return scenarios.with_rates(targets, order_queries.COSTS, COST_MULTIPLES)
+
+
+def scenario_tables(m: Market):
+    return m.fitted("scenario_runs", lambda: {
+        name: durable(df) for name, df in
+        scenarios.run(ranked_targets(m), scenario_prices(m), INITIAL, durable).items()
+    })
+
+
+def compared(m: Market, runs):
+    """Headline figures of scenario runs, one row a scenario."""
+    nav = runs["nav"]
+    against = performance.benchmark_metrics(
+        performance.benchmark_nav(nav.drop("cash"), m.view("benchmarks"), INITIAL), INITIAL
+    )
+    return performance.backtest_summary(
+        performance.performance_metrics(nav, INITIAL), against,
+        performance.execution_diagnostics(nav, runs["orders"], runs["rebalances"], INITIAL), KEYS,
+    ).withColumnRenamed("portfolio_id", "scenario")
 
 
 def results(m: Market):
-    """Every nation is a scenario of its region's profile."""
-    profile = m.view("navs").select("portfolio_id", "profile").distinct()
-    return summary(m).join(profile, "portfolio_id")
+    """Scenario runs by ranker; `setting` is what differs inside a ranker."""
+    parts = F.split("scenario", "_", 2)
+    return m.keep("scenario_results", lambda: compared(m, scenario_tables(m)).withColumns(
+        {"profile": parts[0], "setting": parts[1]}
+    ))
+
+
+@query("scenario_nav", "portfolio_id date", "nav cash", 2)
+def scenario_nav(m: Market):
+    return scenario_tables(m)["nav"]
+
+
+@query("scenario_turnover", "portfolio_id execution_date entered_count exited_count", "turnover", 6)
+def scenario_turnover(m: Market):
+    return scenario_tables(m)["rebalances"]
 
 
 @query(
-    "robustness_summary", "profile scenarios",
+    "scenario_comparison", "scenario trading_days filled_orders rejected_orders",
+    "end_nav:2 total_return annualized_return annualized_volatility sharpe_ratio max_drawdown "
+    "average_turnover median_turnover total_fees:2 fees_as_initial_cash average_cash_weight "
+    "average_entries average_exits asia_total_return "
+    "asia_excess_total_return europe_total_return europe_excess_total_return", 5,
+)
+def scenario_comparison(m: Market):
+    return results(m)
+
+
+ROBUST = (
     " ".join(f"{c}_{s}" for c in performance.ROBUST_METRICS for s in ("min", "median", "max"))
-    + " positive_return_rate " + " ".join(f"beat_{k}_rate" for k in KEYS), 5,
+    + " positive_return_rate " + " ".join(f"beat_{k}_rate" for k in KEYS)
 )
+
+
+@query("robustness_summary", "profile scenarios", ROBUST, 5)
 def robustness_summary(m: Market):
     return performance.robustness_summary(results(m), KEYS)
 
 
-@query("scenario_pivot", "trading_days_bucket", "africa america asia europe middle_east", 5)
+@query("scenario_pivot", "setting", "baseline momentum", 5)
 def scenario_pivot(m: Market):
-    rows = results(m).withColumn("trading_days_bucket", F.floor(F.col("trading_days") / 200))
-    out = performance.scenario_pivot(rows, "trading_days_bucket", REGIONS, "total_return")
-    return out.withColumnsRenamed(dict(zip(REGIONS, KEYS)))
+    return performance.scenario_pivot(results(m), "setting", list(RANKERS), "total_return")
+
+
+@query("sweep_robustness", "profile scenarios", ROBUST, 5)
+def sweep_robustness(m: Market):
+    """Every desk's outcomes over the parameter sweep: its monthly selections held and traded."""
+    pairs = itertools.product(order_queries.GRID["exit_ranks"], order_queries.GRID["replacements"])
+    grid = F.array(*[
+        F.struct(F.lit(e).alias("exit_rank"), F.lit(r).alias("max_replacements")) for e, r in pairs
+    ])
+    held = m.view("desk_holdings")
+    chosen = portfolio.select_portfolios(
+        order_queries.candidates(m),
+        order_queries.books(m).select("portfolio_id", "date", F.inline(grid)),
+        held, order_queries.POLICY, strict=False,
+    ).where(F.col("status") == portfolio.SELECTED)
+    named = chosen.withColumn(
+        "scenario", F.format_string("exit%d_replace%d", "exit_rank", "max_replacements")
+    ).select("scenario", "portfolio_id", "date", "code", "target_weight")
+    targets = scenarios.banded(
+        durable(named), held.select("portfolio_id", "date", "code", "weight"),
+        order_queries.GRID["bands"], INVESTED,
+    )
+    rated = scenarios.with_rates(targets.drop("portfolio_id"), order_queries.COSTS, [1.0])
+    runs = scenarios.run(rated, scenario_prices(m), INITIAL, durable)
+    runs = {name: durable(df) for name, df in runs.items()}
+    desk = F.substring_index("scenario", "/", 1)
+    return performance.robustness_summary(
+        durable(compared(m, runs).withColumn("profile", desk)), KEYS
+    )
 
 
 @query(

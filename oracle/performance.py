@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 KEYS = ["africa", "america", "asia", "europe", "middle_east"]
-REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 ROBUST = [
     "total_return", "annualized_return", "sharpe_ratio", "max_drawdown", "average_turnover",
     "fees_as_initial_cash",
@@ -82,8 +83,6 @@ VIEWS = {
     " portfolio_id, " + ", ".join(
         f"max({c}) FILTER (benchmark = '{k}') AS {k}_{c}" for k in KEYS for c in WIDE
     ) + " FROM v_relative GROUP BY portfolio_id) w USING (portfolio_id)",
-    "v_results": "SELECT * FROM v_summary JOIN (SELECT DISTINCT portfolio_id, profile FROM v_nav)"
-    " p USING (portfolio_id)",
     "v_regime_rows": """SELECT *, c / max(c) OVER (PARTITION BY portfolio_id, regime ORDER BY date)
           - 1 AS dd
       FROM (SELECT n.portfolio_id, n.date, n.r, d.regime, d.trailing_return,
@@ -140,7 +139,9 @@ QUERIES = {
     "rejection_report": """SELECT portfolio_id, reason, count(*) AS rejected_orders
         FROM v_executed WHERE filled_quantity = 0 GROUP BY ALL""",
     "backtest_summary": "SELECT * FROM v_summary",
-    "scenario_comparison": "SELECT *, portfolio_id AS scenario FROM v_summary",
+    "scenario_comparison": "SELECT * FROM v_sc_results",
+    "scenario_nav": "SELECT * FROM v_sc_nav",
+    "scenario_turnover": "SELECT * FROM v_sc_turns",
     "robustness_summary": "SELECT profile, count(*) AS scenarios, " + ", ".join(
         f"min({c}) AS {c}_min, quantile_cont({c}, 0.5) AS {c}_median, max({c}) AS {c}_max"
         for c in ROBUST
@@ -148,10 +149,10 @@ QUERIES = {
     + ", ".join(
         f"avg(CASE WHEN {k}_excess_total_return > 0 THEN 1.0 ELSE 0.0 END) AS beat_{k}_rate"
         for k in KEYS
-    ) + " FROM v_results GROUP BY profile",
-    "scenario_pivot": "SELECT trading_days // 200 AS trading_days_bucket, " + ", ".join(
-        f"avg(total_return) FILTER (profile = '{r}') AS {k}" for r, k in zip(REGIONS, KEYS)
-    ) + " FROM v_results GROUP BY ALL",
+    ) + " FROM v_sc_results GROUP BY profile",
+    "scenario_pivot": """SELECT setting, avg(total_return) FILTER (profile = 'baseline') AS baseline,
+          avg(total_return) FILTER (profile = 'momentum') AS momentum
+        FROM v_sc_results GROUP BY setting""",
     "size_exposure": """SELECT p.portfolio_id, size_bucket, count(*) AS observations,
           avg(mv / nav) AS average_weight, min(mv / nav) AS minimum_weight,
           max(mv / nav) AS maximum_weight, avg(mv) AS average_market_value
@@ -170,3 +171,67 @@ QUERIES = {
 VIEWS["v_monthly"] = """SELECT portfolio_id, last_day(date) AS date,
     arg_max(nav, date) / 1000000 * 100 AS normalized FROM v_nav
   GROUP BY portfolio_id, last_day(date)"""
+
+# Scenario portfolios: two rankers, three book sizes, three cost multiples. Every holding is valued on
+# every market date at its last price.
+VIEWS.update({
+    "v_sc_px": "SELECT code, date, 1000 + sqrt(close) AS px FROM v_bars",
+    "v_sc_days": "SELECT DISTINCT date FROM v_bars",
+    "v_sc_pick": """SELECT model, k, date, code, 0.98 / count(*) OVER (PARTITION BY model, k, date) AS w
+      FROM (SELECT *, row_number() OVER (PARTITION BY model, date ORDER BY score DESC, code) AS place
+            FROM (SELECT *, row_number() OVER (PARTITION BY model, date, industry
+                    ORDER BY score DESC, code) AS ir
+                  FROM (SELECT 'baseline' AS model, date, code, industry, baseline_score AS score
+                        FROM v_pred UNION ALL
+                        SELECT 'momentum', date, code, industry, momentum_score FROM v_pred) AS a) AS b
+            WHERE ir <= 2) AS c, (SELECT unnest([3, 5, 8]) AS k) AS s
+      WHERE place <= k""",
+    "v_sc_held": """SELECT h.*, p.px AS base FROM (
+        SELECT model || '_top' || k || '_cost' || times || 'x' AS scenario, code, w, start, stop, times
+        FROM v_sc_pick JOIN (SELECT date, start, lead(start) OVER (ORDER BY date) AS stop
+            FROM (SELECT s.date, min(d.date) AS start FROM (SELECT DISTINCT date FROM v_sc_pick) s
+                  JOIN v_sc_days d ON d.date > s.date GROUP BY s.date) AS x) AS t USING (date),
+          (SELECT unnest([0, 1, 2]) AS times) AS n) h
+      ASOF JOIN v_sc_px p ON h.code = p.code AND h.start >= p.date""",
+    "v_sc_growth": """SELECT scenario, start, stop, day, any_value(times) AS times, sum(w) AS invested,
+        1 + sum(w * (px / base - 1)) AS growth
+      FROM (SELECT h.*, d.date AS day FROM v_sc_held h JOIN v_sc_days d
+            ON d.date >= start AND (stop IS NULL OR d.date <= stop)) v
+      ASOF JOIN v_sc_px p ON v.code = p.code AND v.day >= p.date GROUP BY scenario, start, stop, day""",
+    "v_sc_moves": """SELECT scenario, coalesce(n.start, o.start) AS start, o.w AS old, n.w AS new,
+        coalesce(n.w, 0) - coalesce(o.w, 0) AS moved
+      FROM (SELECT scenario, start, code, w FROM v_sc_held) n
+      FULL JOIN (SELECT h.scenario, h.stop AS start, h.code, h.w * px / base / growth AS w
+                 FROM v_sc_held h JOIN v_sc_growth g ON h.scenario = g.scenario AND h.start = g.start
+                   AND h.stop = g.day
+                 ASOF JOIN v_sc_px p ON h.code = p.code AND h.stop >= p.date) o
+        USING (scenario, start, code)""",
+    "v_sc_cost": """SELECT scenario, start, sum(abs(moved)) AS turnover,
+        count(*) FILTER (old IS NULL) AS entered_count, count(*) FILTER (new IS NULL) AS exited_count,
+        count(*) FILTER (moved <> 0) AS orders,
+        sum(greatest(moved, 0)) * 0.00081 + sum(greatest(-moved, 0)) * 0.00131 AS cost
+      FROM v_sc_moves GROUP BY scenario, start""",
+    "v_sc_chain": """SELECT *, 1000000 * coalesce(product(grown * (1 - cost * times)) OVER (
+          PARTITION BY scenario ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)
+          AS before
+      FROM (SELECT scenario, start, arg_max(growth, day) AS grown, any_value(times) AS times
+            FROM v_sc_growth GROUP BY scenario, start) AS x JOIN v_sc_cost USING (scenario, start)""",
+    "v_sc_nav": """SELECT scenario AS portfolio_id, day AS date, before * (1 - cost * c.times) * growth
+          AS nav, before * (1 - cost * c.times) * (1 - invested) AS cash
+      FROM v_sc_growth g JOIN v_sc_chain c USING (scenario, start)
+      WHERE stop IS NULL OR day < stop""",
+    "v_sc_turns": """SELECT scenario AS portfolio_id, start AS execution_date, turnover, entered_count,
+        exited_count FROM v_sc_cost""",
+    "v_sc_orders": """SELECT scenario AS portfolio_id, abs(moved) * before AS filled_quantity,
+        abs(moved) * before * times * CASE WHEN moved > 0 THEN 0.00081 ELSE 0.00131 END AS fees
+      FROM v_sc_moves JOIN v_sc_chain USING (scenario, start) WHERE moved <> 0""",
+    "v_sc_results": """SELECT *, portfolio_id AS scenario, split_part(portfolio_id, '_', 1) AS profile,
+        substr(portfolio_id, 10) AS setting FROM v_sc_summary""",
+})
+# The NAV statistics above, over the scenarios' tables.
+_OWN = {"v_nav": "v_sc_nav", "v_executed": "v_sc_orders", "v_rebalance": "v_sc_turns"} | {
+    n: n.replace("v_", "v_sc_", 1)
+    for n in ("v_navr", "v_base", "v_aligned", "v_metrics", "v_benr", "v_relative", "v_exec", "v_summary")
+}
+for _name in ("v_navr", "v_base", "v_aligned", "v_metrics", "v_benr", "v_relative", "v_exec", "v_summary"):
+    VIEWS[_OWN[_name]] = re.sub(r"\bv_\w+", lambda m: _OWN.get(m.group(), m.group()), VIEWS[_name])
