@@ -1,16 +1,18 @@
 """Byte-pair encoding and decoding, with tree concatenation for long text.
 
-A text of at most LONG bytes is encoded where it lies. A longer one becomes leaves that are encoded in
-parallel and put together again by text:
-
-* It is cut before a blank between two characters that are not white space. The vocabulary's pattern
-  always splits there, so such a cut changes nothing.
-* Between two such cuts may lie unsplit text, one match of the pattern without end. It is cut into
-  leaves at any character. Neighbouring leaves are joined as in a binary tree: the last tokens of the
-  left and the first of the right half are decoded and encoded anew in a window that grows until its
-  first token is the left half's and its last the right half's. A token sequence is the encoding of
+A text above LEAF characters is halved, at any character, until its parts are leaves; leaves are encoded
+by themselves and put together again by text, as in a binary tree. The leaves of a text above LONG bytes
+are rows of their own, so other tasks encode them. A join is exact:
+
+* The vocabulary's pattern splits text from left to right and never looks back, so from a border of the
+  left half that later text cannot move, and until a border that is also one of the right half, the two
+  halves' text is split anew. The window around the join grows until it shows both borders; tokens
+  before the first and after the second stay.
+* A match that lies over the join (unsplit text, without end perhaps) is joined by its tokens: the last
+  of the left and the first of the right half are decoded and encoded anew in a window that grows until
+  its first token is the left half's and its last the right half's. A token sequence is the encoding of
   its bytes if each adjacent pair of tokens is the encoding of the pair's bytes; every pair of the
-  joined sequence is a pair of one of the three encodings, so the result is exact.
+  joined sequence is a pair of one of the three encodings.
 
 The strings of added tokens become their ids first, as the tokenizers library does by default.
 
@@ -27,6 +29,7 @@ import re
 import sys
 from array import array
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,8 +38,12 @@ from pyspark.sql import functions as F
 from barloom.llm.common import column, documents, filled, mapped, small_batches
 
 LONG = 64 << 10
-LEAF = 16 << 10
+LEAF = 4 << 10
 WINDOW = 8
+# Characters on each side of a join that are looked at first.
+AROUND = 48
+# Characters behind a match that can still change it: two, of a contraction; one more to be sure.
+BEHIND = 3
 VOCABULARY = "byte_bpe_50k.json"
 
 # The characters with the property White_Space.
@@ -107,6 +114,7 @@ class Codec:
         simple = public_tokenizers.PATTERN.replace(r"|\s+(?!\S)", "")
         self.ranked = tiktoken.Encoding("simple", pat_str=simple, mergeable_ranks=ids, special_tokens={})
         reference = Tokenizer.from_file(path)
+        self._splitter = reference.pre_tokenizer
         probe = "Don't stop  the naïve 12345 \n\n über-ﬁne   tests, 'll we?\t ñandú…  \u3000\u3000x\x1c\x1c y \n"
         self.reference = None
         if self._plain(probe) != reference.encode(probe, add_special_tokens=False).ids:
@@ -130,6 +138,12 @@ class Codec:
             return out
         return self._plain(text)
 
+    def borders(self, text: str, start: int = 0, whole: bool = True) -> list[int]:
+        """Where the pattern's matches end from `start` on; only those that no text behind moves, if the
+        text goes on."""
+        ends = [start + e for _, (_, e) in self._splitter.pre_tokenize_str(text[start:])]
+        return ends if whole else [e for e in ends if e <= len(text) - BEHIND]
+
     def merge(self, raw: bytes) -> list[int]:
         """The tokens of bytes that the pattern does not split."""
         return self.ranked._encode_single_piece(raw) if raw else []
@@ -171,61 +185,121 @@ def concat_tree(parts: list[list[int]], c: Codec, window: int = WINDOW) -> list[
     return parts[0] if parts else []
 
 
-def safe_cut(text: str, at: int, stop: int) -> int:
-    """First place from `at` before `stop` where the pattern splits whatever stands around it, or -1."""
-    while True:
-        at = text.find(" ", at, stop)
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
+def _first(ids: list[int], size: int, c: Codec) -> int:
+    """How many of the first tokens hold `size` bytes."""
+    n = 0
+    while size > 0:
+        size -= len(c.bytes[ids[n]])
+        n += 1
+    return n
+
+
+def _last(ids: list[int], size: int, c: Codec) -> int:
+    """How many of the last tokens hold `size` bytes."""
+    n = 0
+    while size > 0:
+        n += 1
+        size -= len(c.bytes[ids[-n]])
+    return n
+
+
+def _fixed_border(text: str, least: int) -> int:
+    """A border of the last `least` characters that text around them cannot move, or 0: one before a
+    blank between two characters that are not white."""
+    at = len(text) - 1
+    while at > max(1, len(text) - least):
+        at = text.rfind(" ", max(1, len(text) - least), at)
         if at < 0:
-            return -1
-        if at > 0 and at + 1 < len(text) and not text[at - 1].isspace() and not text[at + 1].isspace():
+            return 0
+        if not text[at - 1].isspace() and not text[at + 1].isspace():
             return at
-        at += 1
+    return 0
+
+
+def join_texts(left: tuple[str, list[int]], right: tuple[str, list[int]], c: Codec,
+               around: int = AROUND) -> tuple[str, list[int]]:
+    """Two adjoining texts with their tokens as one text with its tokens."""
+    (a, left_ids), (b, right_ids) = left, right
+    if not a or not b:
+        return a + b, left_ids + right_ids
+    reach, keep = around, 0
+    while True:
+        keep = keep or _fixed_border(a, reach)
+        if keep or reach >= len(a):
+            whole = reach >= len(b)
+            tail, ahead = a[keep:], b[:reach]
+            own = {0, *c.borders(ahead, 0, whole)}
+            new = c.borders(tail + ahead, 0, whole)
+            stop = next((i for i, e in enumerate(new) if e - len(tail) in own), None)
+            if stop is not None:
+                break
+        reach *= 2
+    new = new[: stop + 1]
+    taken = new[-1] - len(tail)
+    head = left_ids[: len(left_ids) - _last(left_ids, _size(tail), c)]
+    middle_left = left_ids[len(head) :]
+    used = _first(right_ids, _size(b[:taken]), c)
+    window, middle, start = tail + ahead, [], 0
+    for end in new:
+        over = end - len(tail)
+        if start < len(tail) < end and end - start > around and over in own and (
+            c.borders(tail[start:])[0] == len(tail) - start and c.borders(ahead[:over])[0] == over
+        ):
+            x = middle_left[len(middle_left) - _last(middle_left, _size(tail[start:]), c) :]
+            y = right_ids[: _first(right_ids, _size(b[:over]), c)]
+            middle += join_tokens(x, y, c)
+        else:
+            middle += c.merge(window[start:end].encode())
+        start = end
+    return a + b, head + middle + right_ids[used:]
+
+
+def halved(text: str, leaf: int = LEAF) -> list[str]:
+    """The text cut in halves until no part is above `leaf` characters, in order; neighbours are halves
+    of one part, as join_tree joins them."""
+    parts = 1
+    while -(-len(text) // parts) > leaf:
+        parts *= 2
+    cuts = [len(text) * i // parts for i in range(parts + 1)]
+    return [text[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def join_tree(nodes: list[tuple[str, list[int]]], c: Codec, around: int = AROUND) -> list[int]:
+    while len(nodes) > 1:
+        nodes = [
+            join_texts(nodes[i], nodes[i + 1], c, around) if i + 1 < len(nodes) else nodes[i]
+            for i in range(0, len(nodes), 2)
+        ]
+    return nodes[0][1] if nodes else []
 
 
 def leaves(text: str, c: Codec, leaf: int = LEAF):
-    """Yields (run, kind, leaf): stretches to encode as text, or unsplit stretches of one run to join."""
-    import regex
+    """Yields (run, kind, leaf): strings of added tokens, and the leaves of the runs between them."""
+    for run, part in enumerate(c.split_added.split(text) if c.split_added else [text]):
+        if part in c.added:
+            yield run, "added", part
+        elif part:
+            for piece in halved(part, leaf):
+                yield run, "text", piece
 
-    import public_tokenizers
 
-    run, at = 0, 0
-    while at < len(text):
-        stop = at + leaf
-        cut = safe_cut(text, stop, len(text)) if stop < len(text) else len(text)
-        cut = len(text) if cut < 0 else cut
-        piece = text[at:cut]
-        at = cut
-        if len(piece) <= 2 * leaf:
-            yield run, "text", piece
-            run += 1
-            continue
-        for part in c.split_added.split(piece) if c.split_added else [piece]:
-            if part in c.added:
-                yield run, "text", part
-                run += 1
-                continue
-            held: list[str] = []
-            size = 0
-            for match in regex.finditer(public_tokenizers.PATTERN, part):
-                word = match.group()
-                if len(word) <= leaf:
-                    held.append(word)
-                    size += len(word)
-                    if size < leaf:
-                        continue
-                    word = ""
-                # Complete matches go out one by one: each is merged on its own.
-                if held:
-                    yield run, "words", "\x00".join(held) if not any("\x00" in w for w in held) else held
-                    run += 1
-                    held, size = [], 0
-                if word:
-                    for i in range(0, len(word), leaf):
-                        yield run, "run", word[i : i + leaf]
-                    run += 1
-            if held:
-                yield run, "words", "\x00".join(held) if not any("\x00" in w for w in held) else held
-                run += 1
+def tree_encode(text: str, c: Codec, leaf: int = LEAF, around: int = AROUND) -> list[int]:
+    """The tokens of a whole text through its leaves, in one task."""
+    if len(text) <= leaf:
+        return c.encode(text)
+    return _joined([(r, k, p, c.encode(p)) for r, k, p in leaves(text, c, leaf)], c, around)
+
+
+def _joined(encoded, c: Codec, around: int = AROUND) -> list[int]:
+    """Joins the runs of one text from rows (run, kind, leaf, ids) in order."""
+    out: list[int] = []
+    for _, rows in groupby(encoded, key=lambda row: row[0]):
+        out += join_tree([(piece, ids) for _, _, piece, ids in rows], c, around)
+    return out
 
 
 def _leaf_rows(path: str, leaf: int):
@@ -233,11 +307,11 @@ def _leaf_rows(path: str, leaf: int):
         import pyarrow as pa
 
         c = codec(path)
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()), ("leaf", pa.list_(pa.string()))])
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()), ("leaf", pa.string())])
         for batch in small_batches(batches, "text"):
             for row, doc, text in zip(*(batch.column(n).to_pylist() for n in ("row", "doc_id", "text"))):
                 out = [
-                    {"row": row, "doc_id": doc, "run": r, "seq": seq, "kind": kind, "leaf": piece.split("\x00") if kind == "words" and isinstance(piece, str) else piece if isinstance(piece, list) else [piece]}
+                    {"row": row, "doc_id": doc, "run": r, "seq": seq, "kind": kind, "leaf": piece}
                     for seq, (r, kind, piece) in enumerate(leaves(text, c, leaf))
                 ]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -251,15 +325,7 @@ def _encode_leaves(path: str):
 
         c = codec(path)
         for batch in batches:
-            out = []
-            for kind, leaf in zip(batch.column("kind").to_pylist(), batch.column("leaf").to_pylist()):
-                if kind == "text":
-                    ids = c.encode(leaf[0])
-                elif kind == "run":
-                    ids = c.merge(leaf[0].encode())
-                else:
-                    ids = [i for word in leaf for i in c.merge(word.encode())]
-                out.append(little_endian(ids))
+            out = [little_endian(c.encode(leaf)) for leaf in batch.column("leaf").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in ("row", "doc_id", "run", "seq", "kind")), pa.array(out, pa.binary())],
                 ["row", "doc_id", "run", "seq", "kind", "ids"],
@@ -276,16 +342,15 @@ def _join_leaves(path: str, finish):
 
         c = codec(path)
         pdf = pdf.sort_values("seq")
-        parts = []
-        for (_, kind), group in pdf.groupby(["run", "kind"], sort=False):
-            pieces = [np.frombuffer(b, dtype="<u4").tolist() for b in group["ids"]]
-            parts += concat_tree(pieces, c) if kind == "run" else [i for p in pieces for i in p]
-        return pd.DataFrame([r for r in finish(c, pdf["row"].iloc[0], pdf["doc_id"].iloc[0], parts)])
+        stored = [np.frombuffer(b, dtype="<u4").tolist() for b in pdf["ids"]]
+        # The tokens of a leaf hold its text.
+        rows = [(r, k, c.decode(ids), ids) for r, k, ids in zip(pdf["run"], pdf["kind"], stored)]
+        return pd.DataFrame(finish(c, pdf["row"].iloc[0], pdf["doc_id"].iloc[0], _joined(rows, c)))
 
     return run
 
 
-def _encode_rows(path: str, finish, schema):
+def _encode_rows(path: str, finish, schema, leaf: int):
     def run(batches):
         import pyarrow as pa
 
@@ -293,7 +358,7 @@ def _encode_rows(path: str, finish, schema):
         for batch in small_batches(batches, "text"):
             out = []
             for row, doc, text in zip(*(batch.column(n).to_pylist() for n in ("row", "doc_id", "text"))):
-                out += finish(c, row, doc, c.encode(text))
+                out += finish(c, row, doc, tree_encode(text, c, leaf))
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
@@ -316,10 +381,10 @@ def tokenized(docs: DataFrame, finish, fields: dict[str, str], id_col: str = "do
         column(docs, id_col).cast("long").alias("doc_id"),
         filled(column(docs, text_col)).alias("text"),
     )
-    short = mapped(rows.where(F.octet_length("text") <= long), _encode_rows(path, finish, arrow), ddl)
+    short = mapped(rows.where(F.octet_length("text") <= long), _encode_rows(path, finish, arrow, leaf), ddl)
     cut = mapped(
         rows.where(F.octet_length("text") > long), _leaf_rows(path, leaf),
-        "row long, doc_id long, run long, seq long, kind string, leaf array<string>",
+        "row long, doc_id long, run long, seq long, kind string, leaf string",
     )
     encoded = mapped(
         cut.repartition("row", "seq"), _encode_leaves(path),

@@ -101,6 +101,36 @@ def test_encoding_equals_the_library(spark, reference):
         assert order(got) == order(want)
 
 
+def test_joined_texts_equal_the_library(reference):
+    c, r = bpe.codec(bpe.vocabulary_path()), random.Random(5)
+    # Words, digits, contractions, runs of blanks, letters newer than some Unicode tables, added tokens.
+    bits = ["the", " in", "ation", "'ll", "'", "l", "'re", "12", " 7", "  ", "\n", " ", "\t", "...", "!'", "é", "日本", "\u088f",
+            "\ua7ce", "\u0301", "\x1c", "\u3000", "<|endoftext|>", "<|end", "x" * 40, "ab" * 30]
+    for _ in range(1500):
+        few = r.sample(bits, r.randrange(1, 7))
+        text = "".join(r.choice(few) for _ in range(r.randrange(0, 120)))
+        want = reference.encode(text, add_special_tokens=False).ids
+        assert bpe.tree_encode(text, c, r.randrange(1, 40), r.choice([1, 4, 48])) == want, repr(text)
+
+
+def test_long_texts_go_through_joins_in_a_window(reference, monkeypatch):
+    c, r = bpe.codec(bpe.vocabulary_path()), random.Random(6)
+    text = " ".join("".join(r.choices("etaoinshr", k=r.randrange(1, 9))) for _ in range(9000))
+    seen = []
+    split = c._splitter
+
+    class Counted:
+        def pre_tokenize_str(self, part):
+            seen.append(len(part))
+            return split.pre_tokenize_str(part)
+
+    monkeypatch.setattr(c, "_splitter", Counted())
+    assert bpe.tree_encode(text, c) == reference.encode(text, add_special_tokens=False).ids
+    joins = len(bpe.halved(text)) - 1
+    # Two looks a join, each at a window that does not grow with the text.
+    assert joins >= 8 and len(seen) <= 4 * joins and max(seen) <= 4 * bpe.AROUND
+
+
 def test_joined_halves_equal_the_whole():
     c, r = bpe.codec(bpe.vocabulary_path()), random.Random(2)
     for _ in range(200):
