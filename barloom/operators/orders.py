@@ -9,7 +9,6 @@ from barloom.config import Costs, Portfolio
 from barloom.functions import cross
 from barloom.functions.asof import span_join
 from barloom.functions.scalars import pad_code, ratio
-from barloom.operators.performance import filled_calendar
 
 
 def fee(notional: Column, side: Column, costs: Costs) -> Column:
@@ -171,25 +170,49 @@ def positions(
 ) -> DataFrame:
     """Holdings and market value on each (portfolio_id, date) of `valuation`.
 
-    Closes come from a filled calendar; a security never priced is worth 0.
+    A day takes the last close not after it; a security never priced is worth 0. A span travels as one row
+    with its days, then with their closes, and becomes a row a day after the last shuffle. The lists are of
+    calendar length at most: a portfolio's days, a span's days, a code's closes by day.
     """
-    held = span_join(
-        spans.where(F.col("quantity") != 0).select("portfolio_id", "code", "quantity", "held_from", "changed_on"),
-        valuation.select("portfolio_id", "date").distinct(), ["portfolio_id"],
-        start="held_from", stop="changed_on", date="date",
-    ).select("portfolio_id", "code", "quantity", "date")
-    last = valuation.agg(F.max("date")).scalar()
-    price = either(bars, "raw_close", "close").alias("price")
-    closes = filled_calendar(bars.select("code", "date", price), ["code"], "price", last)
-    out = held.join(closes, ["code", "date"], "left").withColumn(
-        "market_value", F.col("quantity") * F.coalesce("price", F.lit(0.0))
-    ).select(
-        "portfolio_id", "date", "code", "quantity", F.col("price").alias("close"), "market_value"
+    days = valuation.where(F.col("date").isNotNull()).groupBy("portfolio_id").agg(
+        F.array_sort(F.collect_set("date")).alias("_days")
+    )
+    start, stop = F.col("held_from"), F.col("changed_on")
+    inside = F.filter("_days", lambda d: (d >= start) & (stop.isNull() | (d < stop)))
+    held = spans.where((F.col("quantity") != 0) & start.isNotNull()).join(days, "portfolio_id").select(
+        "portfolio_id", "code", "quantity", inside.alias("_on")
+    ).where(F.size("_on") > 0)
+    by_code = held.join(_daily_closes(bars), "code", "left")
+    if buckets is not None:
+        by_code = by_code.join(buckets, "code", "left").withColumn(
+            "size_bucket", F.coalesce("size_bucket", F.lit("UNKNOWN"))
+        )
+    own = [] if buckets is None else ["size_bucket"]
+    step = lambda d: F.least(F.datediff(d, F.col("_first")), F.size("_closes") - 1)
+    priced = by_code.select(
+        "portfolio_id", "code", "quantity", *own, "_on",
+        F.transform("_on", lambda d: F.get(F.col("_closes"), step(d))).alias("_prices"),
+    ).repartition("portfolio_id")
+    daily = priced.withColumn("_day", F.explode(F.arrays_zip("_on", "_prices")))
+    close = F.col("_day._prices")
+    return daily.select(
+        "portfolio_id", F.col("_day._on").alias("date"), "code", "quantity", close.alias("close"),
+        (F.col("quantity") * F.coalesce(close, F.lit(0.0))).alias("market_value"), *own,
     )
-    if buckets is None:
-        return out
-    return out.join(buckets, "code", "left").withColumn(
-        "size_bucket", F.coalesce("size_bucket", F.lit("UNKNOWN"))
+
+
+def _daily_closes(bars: DataFrame) -> DataFrame:
+    """A row per code: its first priced day and the closes of all days from there to the last priced one."""
+    price = either(bars, "raw_close", "close").alias("price")
+    known = bars.select("code", "date", price).where(F.col("price").isNotNull() & F.col("date").isNotNull())
+    listed = known.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("date", "price"))).alias("_list"))
+
+    def filled(x: Column, i: Column) -> Column:
+        following = F.get(F.col("_list"), i + 1)["date"]
+        return F.array_repeat(x["price"], F.coalesce(F.datediff(following, x["date"]), F.lit(1)))
+
+    return listed.select(
+        "code", F.col("_list")[0]["date"].alias("_first"), F.flatten(F.transform("_list", filled)).alias("_closes")
     )
 
 

@@ -72,14 +72,17 @@ def customer_flows(m: Market):
 
 
 def customer_positions(m: Market):
-    """The position ledger as landed in storage."""
+    """The position ledger, a row per portfolio, trading date and security held; never written whole."""
+    flows = customer_flows(m)
+    valuation = flows.select("portfolio_id", "date")
+    return orders.positions(orders.position_spans(flows), valuation, m.bars, buckets(m))
 
-    def build():
-        flows = customer_flows(m)
-        valuation = flows.select("portfolio_id", "date").distinct()
-        return orders.positions(orders.position_spans(flows), valuation, m.bars, buckets(m))
 
-    return m.keep("positions", build)
+def customer_buckets(m: Market):
+    """The ledger's value per portfolio, date and size bucket, as landed in storage."""
+    return m.keep("bucket_values", lambda: customer_positions(m).groupBy("portfolio_id", "date", "size_bucket").agg(
+        F.sum("market_value").alias("market_value")
+    ))
 
 
 def customer_nav(m: Market, holdings):

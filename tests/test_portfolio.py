@@ -1,5 +1,7 @@
 """Selection, weights, orders and ledgers."""
 
+from datetime import date, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -302,6 +304,40 @@ def test_ledger_carries_positions_and_prices_forward(spark):
         (day("2024-01-05"), 1000.0, 20.0, 1020.0, 1)]
 
 
+def test_positions_equal_a_scan_of_spans_days_and_closes(spark):
+    rng = np.random.default_rng(3)
+    at = lambda n: date(2024, 1, 1) + timedelta(days=int(n))
+    spans = [(p, c, q, at(a), None if rng.random() < 0.3 else at(a + 1 + rng.integers(0, 70)))
+             for p in "pq" for c in ("a", "b", "c") for q, a in zip((0, 3, -2), rng.integers(0, 90, 3))]
+    days = [(p, at(n)) for p in "pqr" for n in rng.integers(0, 120, 25)] + [("p", None)]
+    closes = {(c, at(n)): None if rng.random() < 0.2 else float(rng.integers(1, 99))
+              for c in ("a", "b") for n in rng.choice(120, 12, replace=False)}
+    frames = (
+        spark.createDataFrame(spans, "portfolio_id string, code string, quantity long, held_from date, changed_on date"),
+        spark.createDataFrame(days, "portfolio_id string, date date"),
+        spark.createDataFrame([(c, d, x) for (c, d), x in closes.items()], "code string, date date, close double"),
+        spark.createDataFrame([("a", "LARGE"), ("b", None)], "code string, size_bucket string"),
+    )
+    got = orders.positions(*frames)
+    wanted = []
+    for p, c, q, start, stop in spans:
+        for d in {d for own, d in days if own == p and d and q and start <= d and (stop is None or d < stop)}:
+            known = [x for (k, n), x in sorted(closes.items()) if k == c and n <= d and x is not None]
+            price = known[-1] if known else None
+            wanted.append((p, d, c, q, price, q * (price or 0.0), "LARGE" if c == "a" else "UNKNOWN"))
+    key = lambda r: (r[0], r[1], r[2], r[3])
+    assert wanted and sorted((tuple(r) for r in got.collect()), key=key) == sorted(wanted, key=key)
+
+
+def test_positions_shuffle_a_row_a_span(spark):
+    """A span was a row a month in one shuffle and a row a day in the next."""
+    flows = orders.daily_flows(fills(spark, [("p", day("2024-01-02"), "a", "BUY", 10, 10.0)]), FREE)
+    bars = spark.createDataFrame([(day("2024-01-02"), "a", 10.0)], "date date, code string, close double")
+    held = orders.positions(orders.position_spans(flows), flows.select("portfolio_id", "date"), bars)
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") == 1 and plan.index("explode(") < plan.index("Join") and "sequence(" not in plan
+
+
 def test_infeasible_orders_tell_why(spark):
     bars = spark.createDataFrame(
         [(day("2024-01-02"), "a", 10.0, 1000.0, True, 100, 11.0, 9.0),
