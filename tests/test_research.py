@@ -253,3 +253,23 @@ def test_latest_factors_equal_those_of_all_dates(spark):
     assert latest.columns == whole.columns and latest.count() == whole.count() > 0
     a, b = (df.select("code", "listing_days", *RAW_FEATURES).orderBy("code").toPandas() for df in (latest, whole))
     assert np.allclose(a.drop(columns="code").astype(float), b.drop(columns="code").astype(float), equal_nan=True, atol=1e-12)
+
+
+def test_factors_on_some_dates_equal_those_of_all_dates(spark):
+    pdf = random_bars(symbols=8, days=260)
+    pdf.loc[pdf.index % 9 == 0, "amount"] = None  # fewer known values than rows
+    bars = bars_frame(spark, pdf).persist()
+    days = labels.month_ends(bars).persist()
+    whole = factors.time_series_factors(bars).join(days, "date", "left_semi")
+    some = factors.factors_on(bars, days)
+    assert set(some.columns) == set(whole.columns) and some.count() == whole.count() > 50
+    order = ["code", "date"]
+    a, b = (df.select(*order, "listing_days", *RAW_FEATURES).orderBy(*order).toPandas() for df in (some, whole))
+    assert np.allclose(a.drop(columns=order).astype(float), b.drop(columns=order).astype(float), equal_nan=True, atol=1e-12)
+
+
+def test_month_ends_compute_no_long_window(spark):
+    """Frames of 60 rows and more were evaluated on every bar; a median was one of 20 rows on each."""
+    bars = bars_frame(spark, random_bars(symbols=2, days=150))
+    plan = factors.factors_on(bars, labels.month_ends(bars))._jdf.queryExecution().optimizedPlan().toString()
+    assert "-59" not in plan and "-119" not in plan and "percentile(" not in plan
