@@ -1,11 +1,14 @@
 """Factors, labels, splits, reports and NAV analytics."""
 
+from datetime import date, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.config import MODEL_FEATURES, RAW_FEATURES, Boosting
+from barloom.functions import rolling
 from barloom.operators import (
     evaluate, factors, labels, models, performance, preprocess, scoring, splits,
 )
@@ -268,6 +271,39 @@ def test_factors_on_some_dates_equal_those_of_all_dates(spark):
     assert np.allclose(a.drop(columns=order).astype(float), b.drop(columns=order).astype(float), equal_nan=True, atol=1e-12)
 
 
+def test_frames_at_wanted_rows_equal_windows_and_copy_no_row(spark):
+    """Every bar was copied to each row that asks for it, and both sides of a join ran all windows."""
+    rng = np.random.default_rng(3)
+    rows = [
+        (f"c{c}", date(2020, 1, 1) + timedelta(days=d), None if rng.random() < 0.2 else float(rng.integers(4)),
+         float("nan") if rng.random() < 0.01 else float(rng.normal()), bool(rng.random() < 0.3))
+        for c in range(4) for d in range(int(rng.integers(1, 90)))
+    ]
+    df = rolling.in_order(spark.createDataFrame(rows, "code string, date date, x double, y double, asks boolean"))
+    df = df.withColumn("_n", F.row_number().over(rolling.by_code()))
+    one = {f"{a.__name__}_{m}": rolling.gated(a, "x", 9, m) for a in (F.avg, F.sum, F.max, F.stddev_samp) for m in (0, 7)}
+    frames = {
+        **one, "top": rolling.Frame(F.max, ("y",), 30), "n": rolling.Frame(F.count, ("x",), 30),
+        "v": rolling.Frame(F.var_pop, ("x",), 2), "c": rolling.Frame(F.covar_pop, ("x", "y"), 12),
+        "l": rolling.Frame(rolling.last_values, ("x",), 3),
+    }
+    default = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        some = rolling.frames_at(df, frames, "asks").orderBy("code", "date").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
+    whole = df.withColumns({n: f.over() for n, f in frames.items()}).where("asks").orderBy("code", "date").collect()
+    assert len(some) == len(whole) > 10
+    for a, b in zip(some, whole):
+        assert (a.code, a.date, a.x, a.l, a.n) == (b.code, b.date, b.x, b.l, b.n)
+        for name in frames.keys() - {"l", "n"}:
+            assert (a[name] is None) == (b[name] is None), name
+            assert a[name] is None or np.isclose(a[name], b[name], atol=1e-12, equal_nan=True), name
+    plan = rolling.frames_at(df, frames, "asks")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_month_ends_compute_no_long_window(spark):
     """Frames of 60 rows and more were evaluated on every bar; a median was one of 20 rows on each."""
     bars = bars_frame(spark, random_bars(symbols=2, days=150))
