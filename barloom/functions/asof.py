@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,26 @@ def asof_backward(
     return placed.select(*left.columns, *[F.col("_val")[v].alias(v) for v in values])
 
 
+def feeds_by_day(feeds: dict[str, DataFrame]) -> DataFrame:
+    """(code, date) of any feed and, named after each feed, the list of its rows there.
+
+    The full join of several feeds in one shuffle, by code alone, so windows by code that follow need
+    none. For feeds of which a code has no more rows than a few times the calendar; rows without a code
+    meet nothing and are left out.
+    """
+    keys = ["code", "date"]
+    packed = {n: F.struct(*[c for c in f.columns if c not in keys]) for n, f in feeds.items()}
+    kinds = {n: f.select(packed[n].alias(n)).schema[n].dataType for n, f in feeds.items()}
+    rows = [
+        f.where(F.col("code").isNotNull()).select(
+            *keys, *[(packed[n] if n == own else F.lit(None).cast(kinds[n])).alias(n) for n in feeds]
+        ) for own, f in feeds.items()
+    ]
+    return reduce(DataFrame.unionByName, rows).repartition("code").groupBy(*keys).agg(
+        *[F.collect_list(n).alias(n) for n in feeds]
+    )
+
+
 def span_join(
     spans: DataFrame, points: DataFrame, keys: list[str], *, start: str, stop: str, date: str,
     unit: str = "month", last: Column | None = None,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import rolling
+from barloom.functions.asof import feeds_by_day
 from barloom.functions.scalars import cents, normalize_symbol, st_name, with_venue
 from barloom.operators.clean import keep_last, number
 from barloom.schemas import ACTION, require_columns
@@ -139,11 +140,13 @@ def enrich_status(bars: DataFrame, status: DataFrame, master: DataFrame) -> Data
 
 
 def match_calendars(
-    raw: DataFrame, adjusted: DataFrame, start: str, end: str, tolerance: int = 1
+    raw: DataFrame, adjusted: DataFrame, start: str, end: str, tolerance: int = 1,
+    beside: DataFrame | None = None,
 ) -> DataFrame:
     """Join raw and adjusted prices by day inside the request window.
 
-    A security with more than `tolerance` unmatched days is rejected as a whole.
+    A security with more than `tolerance` unmatched days is rejected as a whole. Matched days get the
+    columns of `beside`, null where it has no row.
     """
     window = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     renamed = raw.where(window).withColumnsRenamed(
@@ -152,13 +155,29 @@ def match_calendars(
     prices = adjusted.where(window).select("code", "date", "open", "high", "low", "close")
     code = Window.partitionBy("code")
     both = F.col("close").isNotNull() & F.col("raw_close").isNotNull()
-    return (
-        renamed.join(prices, ["code", "date"], "full_outer")
+    feeds = {"_raw": renamed, "_adjusted": prices}
+    if beside is not None:
+        feeds["_beside"] = beside.where(window)
+    keys = ["code", "date"]
+
+    def fields(*names: str) -> list[Column]:
+        return [F.col(n)[c].alias(c) for n in names for c in feeds[n].columns if c not in keys]
+
+    # A day without rows of a feed keeps one empty row of it, as in a full join.
+    rest = ["_beside"] if beside is not None else []
+    days = feeds_by_day(feeds).where((F.size("_raw") > 0) | (F.size("_adjusted") > 0))
+    days = days.withColumn("_raw", F.explode_outer("_raw")).withColumn("_adjusted", F.explode_outer("_adjusted"))
+    matched = (
+        days.select(*keys, *fields("_raw", "_adjusted"), *rest)
         .withColumn("_both", both)
         .withColumn("unmatched", F.count_if(~F.col("_both")).over(code))
         .where(F.col("_both") & (F.col("unmatched") <= tolerance))
         .drop("_both")
     )
+    if beside is None:
+        return matched
+    own = [c for c in matched.columns if c != "_beside"]
+    return matched.withColumn("_beside", F.explode_outer("_beside")).select(*own, *fields("_beside"))
 
 
 def assemble_bars(
@@ -166,8 +185,7 @@ def assemble_bars(
     start: str, end: str, lot_size: int = 100,
 ) -> DataFrame:
     """Canonical bars of all securities at once from three feeds and the listing."""
-    df = match_calendars(raw, adjusted, start, end)
-    df = df.join(_status_columns(status), ["code", "date"], "left")
+    df = match_calendars(raw, adjusted, start, end, beside=_status_columns(status))
     listed = master.select(
         "code", "security_name", "exchange", "board", "instrument_type", "is_st_current"
     )

@@ -15,8 +15,9 @@ from barloom.sources import fixtures
 # The second ranker of the reports.
 MOMENTUM_WEIGHTS = {"momentum_20_5_z": 0.5, "momentum_60_5_z": 0.5}
 SCORES = ["baseline_score", "momentum_score"]
-# Fixture views built on the bar table.
+# Fixture views built on the bar table, and those that read more of a day.
 FROM_BARS = {"panel", "dirty_bars", "membership_snapshots", "adjusted_feed", "desk_holdings"}
+FROM_DAYS = {"raw_feed", "status_feed"}
 
 
 class Market:
@@ -33,13 +34,22 @@ class Market:
     def view(self, name: str) -> DataFrame:
         if name in FROM_BARS:
             return getattr(fixtures, name)(self.spark, self.sf_dir, self.bars)
+        if name in FROM_DAYS:
+            return getattr(fixtures, name)(self.spark, self.sf_dir, self.days)
         return getattr(fixtures, name)(self.spark, self.sf_dir)
 
     @property
     def bars(self) -> DataFrame:
         """Daily bars as landed in storage."""
+        if "days" in self._kept:
+            return self.days.select(*fixtures.BAR)
         return self.keep("bars", lambda: fixtures.bars(self.spark, self.sf_dir))
 
+    @property
+    def days(self) -> DataFrame:
+        """Daily bars with what the other feeds of a day read."""
+        return self.keep("days", lambda: fixtures.days(self.spark, self.sf_dir))
+
     @property
     def panel(self) -> DataFrame:
         """Landed bars with the attributes of their securities and their membership on the day."""

@@ -19,6 +19,7 @@ LARGE_FROM, MID_FROM = 6300.0, 2600.0
 # Monthly volume levels of the membership snapshots.
 MEMBER_VOLUME, MID_VOLUME, LARGE_VOLUME = 62.0, 140.0, 230.0
 INITIAL_CASH = 1_000_000.0
+BAR = ["code", "date", "open", "high", "low", "close", "volume", "amount"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,22 +39,41 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def to_bars(trades: DataFrame, *keys: str) -> DataFrame:
-    """Daily bars; open and close are the first and last trade in sequence order."""
-    return trades.groupBy("code", "date", *keys).agg(
-        F.min_by("price", "seq").alias("open"),
+def to_bars(trades: DataFrame, **also: Column) -> DataFrame:
+    """Daily bars, with further aggregates; open and close are the first and last trade in sequence order.
+
+    A security has few trades a day, so combining them before the shuffle hardly makes them fewer, but
+    sorts them once more. A group holds the trades of one security on one day only.
+    """
+    by_day = trades.repartition("code", "date").groupBy("code", "date").agg(
+        F.min("seq").alias("_first"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "seq").alias("close"),
+        F.max("seq").alias("_last"),
         F.sum("l_quantity").alias("volume"),
         F.round(F.sum("l_extendedprice"), 2).alias("amount"),
+        *[agg.alias(name) for name, agg in also.items()],
     )
 
+    def price(seq: str) -> Column:
+        return F.col(seq)["l_extendedprice"] / F.col(seq)["l_quantity"]
+
+    return by_day.withColumns({"open": price("_first"), "close": price("_last")}).select(*BAR, *also)
+
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_bars(trades(spark, sf_dir))
 
 
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with what the raw and the status feed read besides, in one pass over the trades."""
+    return to_bars(
+        trades(spark, sf_dir),
+        turnover=F.round(F.avg("l_discount"), 8), state=F.max("l_linestatus"),
+        tax=F.max("l_tax"), flag=F.min("l_returnflag"),
+    )
+
+
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as securities; the region is the industry."""
     place = table(spark, sf_dir, "nation").join(
@@ -260,13 +280,9 @@ def vendor_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unadjusted bars with turnover as a fraction."""
-    lines = trades(spark, sf_dir)
-    turnover = lines.groupBy("code", "date").agg(
-        F.round(F.avg("l_discount"), 8).alias("turnover")
-    )
-    return to_bars(lines).join(turnover, ["code", "date"])
+def raw_feed(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
+    """Unadjusted bars of known securities and days with turnover as a fraction."""
+    return daily.dropna(subset=["code", "date"]).select(*BAR, "turnover")
 
 
 def adjusted_feed(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
@@ -277,15 +293,11 @@ def adjusted_feed(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFra
     )
 
 
-def status_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def status_feed(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
     """Daily status of solvent suppliers, on days with an open line."""
     solvent = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") >= 1000).select(
         pad_code("s_suppkey").alias("code")
     )
-    daily = trades(spark, sf_dir).groupBy("code", "date").agg(
-        F.min_by("price", "seq").alias("open"), F.max("l_linestatus").alias("state"),
-        F.max("l_tax").alias("tax"), F.min("l_returnflag").alias("flag"),
-    )
     return daily.where(F.col("state") == "O").join(solvent, "code", "left_semi").select(
         "code", F.date_format("date", "yyyy-MM-dd").alias("date"),
         F.when(F.col("tax") >= 0.02, F.col("open") * 0.98).cast("string").alias("preclose"),

@@ -1,12 +1,15 @@
 """Cleaning, point-in-time joins, enrichment, readers and writers on literal tables."""
 
+from datetime import datetime
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.operators import assemble, clean, pit, quality
-from barloom.sources import feeds, readers, writers
+from barloom.plans import market
+from barloom.sources import feeds, fixtures, readers, writers
 from tests.helpers import day, rows
 
 BAR = "date string, code string, open double, high double, low double, close double, " \
@@ -196,6 +199,58 @@ def test_calendar_mismatch_rejects_the_security(spark):
     assert rows(out, "code", "date") == [("a", day("2024-01-02")), ("a", day("2024-01-03"))]
 
 
+def test_feeds_of_a_day_meet_in_one_shuffle(spark):
+    prices = "code string, date date, open double, high double, low double, close double"
+    d = [day(f"2024-01-0{i}") for i in range(1, 6)]
+
+    def feed(found):
+        return spark.createDataFrame([(c, x, 1.0, 1.0, 1.0, v) for c, x, v in found], prices)
+
+    # Days of one feed alone, a day without a close, rows that come twice, no code, outside the window.
+    raw = feed([("a", d[0], 1.0), ("a", d[1], 2.0), ("a", d[1], 3.0), ("b", d[0], None), ("b", d[1], 4.0),
+                ("c", d[0], 5.0), ("c", d[1], 5.0), (None, d[0], 6.0), ("a", None, 7.0), ("a", d[4], 8.0)])
+    adjusted = feed([("a", d[0], 10.0), ("a", d[1], 20.0), ("a", d[1], 30.0), ("a", d[2], 40.0),
+                     ("b", d[0], 50.0), ("b", d[1], 60.0), ("b", d[2], 60.0), ("c", d[1], 70.0),
+                     (None, d[0], 80.0), ("a", None, 90.0)])
+    beside = spark.createDataFrame(
+        [("a", d[0], "x"), ("a", d[3], "y"), ("c", d[1], "z"), ("c", d[1], "w"), (None, d[0], "v")],
+        "code string, date date, st string",
+    )
+    out = assemble.match_calendars(raw, adjusted, "2024-01-01", "2024-01-04", beside=beside)
+    assert rows(out.na.fill("-", ["st"]), "code", "date", "raw_close", "close", "unmatched", "st") == [
+        ("a", d[0], 1.0, 10.0, 1, "x"), *[("a", d[1], r, c, 1, "-") for r in (2.0, 3.0) for c in (20.0, 30.0)],
+        ("c", d[1], 5.0, 70.0, 1, "w"), ("c", d[1], 5.0, 70.0, 1, "z"),
+    ]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_feeds_come_from_one_pass_over_the_trades(spark, tmp_path):
+    line = (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp"
+    )
+    at = datetime(1997, 5, 6)
+    lines = [
+        (2, 1, 1, 1, 2.0, 10.0, 0.02, 0.02, "N", "O", at), (1, 1, 1, 2, 1.0, 7.0, 0.04, 0.01, "R", "F", at),
+        (1, 1, 1, 1, 4.0, 8.0, 0.06, 0.00, "A", "F", at), (2, 1, 1, 1, 2.0, 10.0, 0.02, 0.02, "N", "O", at),
+        (3, 1, None, 1, 1.0, 3.0, 0.0, 0.0, "N", "O", at), (4, 1, 1, 1, 1.0, 4.0, 0.0, 0.0, "N", "O", None),
+    ]
+    spark.createDataFrame(lines, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 5000.0)], "s_suppkey long, s_acctbal double").write.parquet(
+        f"{tmp_path}/supplier.parquet"
+    )
+    daily = fixtures.days(spark, str(tmp_path))
+    assert rows(fixtures.raw_feed(spark, str(tmp_path), daily)) == [
+        ("000001", day("1997-05-06"), 2.0, 7.0, 2.0, 5.0, 9.0, 35.0, 0.035)
+    ]
+    assert rows(fixtures.status_feed(spark, str(tmp_path), daily).where("date is not null")) == [
+        ("000001", "1997-05-06", "1.96", "1", "0")
+    ]
+    assert daily.select(*fixtures.BAR).count() == fixtures.bars(spark, str(tmp_path)).count() == 3
+    assert market.FROM_DAYS == {"raw_feed", "status_feed"}
+
+
 def test_upsert_and_source_priority(spark):
     old = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0)], "code string, d int, x double")
     new = spark.createDataFrame([("a", 2, 9.0), ("b", 1, 5.0)], "code string, d int, x double")
