@@ -175,9 +175,26 @@ def interval_join(left: DataFrame, intervals: DataFrame, values: list[str]) -> D
     code: one pass, without comparing every bar to every interval.
     """
     steps = step_function(intervals, values)
-    out = asof_backward(left, steps, ["code"], ["_in"])
-    return out.select(
-        *left.columns,
+    return _in_force(asof_backward(left, steps, ["code"], ["_in"]), left.columns, values)
+
+
+def interval_join_bars(bars: DataFrame, intervals: DataFrame, values: list[str]) -> DataFrame:
+    """`interval_join` of a bar table: steps and bars lie by code and date, so rows move once.
+
+    A code has no more bars than the calendar has days. The result lies by code.
+    """
+    steps = step_function(intervals, values)
+    order = Window.partitionBy("code").orderBy("date", "_bar").rowsBetween(Window.unboundedPreceding, 0)
+    both = bars.withColumn("_bar", F.lit(True)).unionByName(
+        steps.withColumn("_bar", F.lit(False)), allowMissingColumns=True
+    )
+    carried = both.withColumn("_in", F.last("_in", ignorenulls=True).over(order)).where("_bar")
+    return _in_force(carried, bars.columns, values)
+
+
+def _in_force(df: DataFrame, columns: list[str], values: list[str]) -> DataFrame:
+    return df.select(
+        *columns,
         F.coalesce(F.col("_in.on"), F.lit(False)).alias("_matched"),
         *[F.col("_in")[v].alias(v) for v in values],
     )

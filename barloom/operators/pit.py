@@ -81,7 +81,7 @@ def point_in_time_membership(bars: DataFrame, membership: DataFrame) -> DataFram
         members = members.withColumn(
             "size_bucket", F.upper(F.coalesce("size_bucket", F.lit("UNKNOWN")))
         )
-    out = asof.interval_join(rows, members, values)
+    out = asof.interval_join_bars(rows, members, values)
     if values:
         out = out.withColumn("size_bucket", F.coalesce("size_bucket", F.lit("UNKNOWN")))
     return out.withColumnRenamed("_matched", "is_universe_member")

@@ -16,7 +16,7 @@ from barloom.sources import fixtures
 MOMENTUM_WEIGHTS = {"momentum_20_5_z": 0.5, "momentum_60_5_z": 0.5}
 SCORES = ["baseline_score", "momentum_score"]
 # Fixture views built on the bar table, and those that read more of a day.
-FROM_BARS = {"panel", "dirty_bars", "membership_snapshots", "adjusted_feed", "desk_holdings"}
+FROM_BARS = {"dirty_bars", "membership_snapshots", "adjusted_feed", "desk_holdings"}
 FROM_DAYS = {"raw_feed", "status_feed"}
 
 
@@ -53,9 +53,12 @@ class Market:
     @property
     def panel(self) -> DataFrame:
         """Landed bars with the attributes of their securities and their membership on the day."""
-        return self.keep(
-            "panel", lambda: pit.point_in_time_membership(self.view("panel"), self.membership)
-        )
+        def build() -> DataFrame:
+            # Membership first: its shuffle moves bars only, and leaves them by code for the attributes.
+            members = pit.point_in_time_membership(self.bars, self.membership)
+            return fixtures.panel(self.spark, self.sf_dir, members)
+
+        return self.keep("panel", build)
 
     @property
     def membership(self) -> DataFrame:

@@ -97,9 +97,10 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
-    """Bars with the attributes the research operators read."""
+    """Bars with the attributes the research operators read; a bucket that bars have stays."""
+    own = ["size_bucket"] if "size_bucket" in daily.columns else []
     return (
-        daily.join(master(spark, sf_dir).drop("nation"), "code", "left")
+        daily.join(master(spark, sf_dir).drop("nation", *own), "code", "left")
         .withColumns(
             {
                 "is_trading": (F.col("volume") > 0) & (F.col("amount") > 0),

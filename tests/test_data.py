@@ -251,6 +251,28 @@ def test_feeds_come_from_one_pass_over_the_trades(spark, tmp_path):
     assert market.FROM_DAYS == {"raw_feed", "status_feed"}
 
 
+def test_membership_of_bars_in_one_shuffle(spark):
+    d = [day(f"2024-0{m}-1{i}") for m in (1, 2) for i in range(4)]
+    bars = spark.createDataFrame(
+        [("a", x, float(i)) for i, x in enumerate(d)]
+        + [("a", None, 9.0), ("b", d[0], 1.0), ("c", d[0], 1.0), (None, d[0], 1.0)],
+        "code string, date date, close double",
+    )
+    members = spark.createDataFrame(
+        [("a", d[1], d[2], "MID"), ("a", d[5], None, "large"), ("b", d[1], None, None)],
+        "code string, effective_from date, effective_to date, size_bucket string",
+    )
+    out = pit.point_in_time_membership(bars, members)
+    bucket = {d[1]: "MID", d[2]: "MID", d[5]: "LARGE", d[6]: "LARGE", d[7]: "LARGE"}
+    want = [("00000a", x, i, x in bucket, bucket.get(x, "UNKNOWN")) for i, x in enumerate(d)]
+    want += [("00000a", None, 9.0, False, "UNKNOWN"), ("00000b", d[0], 1.0, False, "UNKNOWN")]
+    got = rows(out, "code", "date", "close", "is_universe_member", "size_bucket", order=["code", "close"])
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Of the bars: the wide shuffle by code alone, no join on code and month.
+    assert "_month" not in plan
+
+
 def test_upsert_and_source_priority(spark):
     old = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0)], "code string, d int, x double")
     new = spark.createDataFrame([("a", 2, 9.0), ("b", 1, 5.0)], "code string, d int, x double")
