@@ -15,6 +15,10 @@ def rows(df, *columns, order=None):
     return [tuple(r) for r in out.orderBy(*(order or out.columns)).collect()]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def random_bars(symbols=20, days=280, seed=7):
     """Plausible daily bars: a random walk per code, some days missing."""
     rng = np.random.default_rng(seed)

@@ -4,13 +4,14 @@ from datetime import datetime
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.operators import assemble, clean, pit, quality
 from barloom.plans import market
 from barloom.sources import feeds, fixtures, readers, writers
-from tests.helpers import day, rows
+from tests.helpers import day, plan, rows
 
 BAR = "date string, code string, open double, high double, low double, close double, " \
     "volume double, amount double"
@@ -404,3 +405,80 @@ def test_signals_are_typed_strictly(spark):
             schemas.signals(spark.createDataFrame([bad], df.schema), "s").collect()
     with pytest.raises(ValueError):
         schemas.signals(df, "t")
+
+
+@pytest.fixture
+def desk_tables(spark, tmp_path):
+    line = (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp"
+    )
+    at, later = datetime(1997, 5, 6), datetime(1997, 5, 20)
+
+    def traded(order, supplier, quantity, flag="N", when=at):
+        return (order, 1, supplier, 1, quantity, quantity and 10.0 * quantity, 0.0, 0.0, flag, "O", when)
+
+    tables = {
+        "lineitem": ([
+            traded(1, 1, 30.0), traded(1, 1, 20.0), traded(2, 1, 50.0, "R"), traded(2, 2, 8.0),
+            traded(3, 2, 4.0, when=later), traded(9, 1, 1.0), traded(None, 1, 1.0), traded(3, 1, None),
+        ], line),
+        "orders": ([(1, 11), (2, 12), (3, 13), (3, 13), (9, 99)], "o_orderkey long, o_custkey long"),
+        "customer": ([(11, 1), (12, 1), (13, 2), (None, 1)], "c_custkey long, c_nationkey long"),
+        "nation": ([(1, "N1"), (2, "N2"), (3, "N3")], "n_nationkey long, n_name string"),
+    }
+    for name, (own, schema) in tables.items():
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_desk_requests_move_lines_once_to_meet_their_desk(spark, desk_tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fixtures.desk_requests(spark, desk_tables)
+        moved = plan(got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    d, e = day("1997-05-06"), day("1997-05-20")
+    assert rows(got, "portfolio_id", "date", "code", "side", "quantity", "score", "is_full_exit") == [
+        ("N1", d, "000001", "BUY", 50, 10.0, False), ("N1", d, "000001", "SELL", 50, 10.0, True),
+        ("N1", d, "000002", "BUY", 8, 10.0, False), ("N2", d, "000001", "BUY", None, None, False),
+        ("N2", e, "000002", "BUY", 8, 10.0, False),
+    ]
+    # Once by order and once by code; orders get their desk before.
+    upper = moved.split("FileScan")[0]
+    assert upper.count("Exchange ") == 2 and "hashpartitioning(code" in upper and "l_orderkey" in upper
+
+
+def test_desk_holdings_are_written_once(spark, desk_tables):
+    m = market.Market(spark, desk_tables)
+    d = day("1997-05-20")
+    assert rows(m.desk_holdings, "portfolio_id", "date", "code", "quantity", "weight") == [
+        ("N1", d, "000002", 8, 1.0), ("N2", d, "000002", 8, 1.0),
+    ]
+    assert m.desk_holdings is m.desk_holdings and "FileScan" in plan(m.desk_holdings)
+    assert "lineitem" not in plan(m.desk_holdings)
+
+
+def test_bars_derive_prices_after_their_only_shuffle(spark, desk_tables):
+    bars = market.Market(spark, desk_tables).bars
+    built = plan(fixtures.bars(spark, desk_tables))
+    assert built.count("Exchange ") == 1
+    assert " AS seq" not in built.split("Exchange ")[1] and " AS price" not in built.split("Exchange ")[1]
+    assert rows(bars, "code", "volume", "amount", "open", "close") == rows(
+        fixtures.bars(spark, desk_tables), "code", "volume", "amount", "open", "close"
+    )
+    by_code = bars.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("code")))
+    assert "Exchange" not in plan(by_code)
+
+
+def test_members_meet_bars_that_lie_by_code_without_moving_them(spark, desk_tables):
+    bars = market.Market(spark, desk_tables).bars
+    members = spark.createDataFrame(
+        [("1", day("1997-05-01"), None, "MID")],
+        "code string, effective_from date, effective_to date, size_bucket string",
+    )
+    plain, padded = (pit.point_in_time_membership(bars, members, padded=p) for p in (False, True))
+    assert rows(plain) == rows(padded)
+    assert plan(padded).count("Bucketed: true") == 1

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from barloom.config import Costs, Portfolio
 from barloom.operators import orders, portfolio
-from tests.helpers import day, rows
+from barloom.session import durable_by
+from tests.helpers import day, plan, rows
 
 FREE = Costs(commission_bps=0, minimum_commission=0, sell_tax_bps=0, transfer_bps=0, slippage_bps=0)
 
@@ -375,3 +376,21 @@ def test_policy_resizing_keeps_an_explicit_exit_rank():
     assert (small.exit_rank, small.max_stock_weight) == (7, 0.2)
     with pytest.raises(ValueError):
         Costs().scaled(-1)
+
+
+def test_orders_meet_bars_by_code_without_moving_them(spark):
+    a, b = day("2024-01-02"), day("2024-01-03")
+    bars = durable_by(spark.createDataFrame(
+        [("x", a, 1.0, 5.0), ("x", a, 2.0, 5.0), ("x", b, 3.0, 5.0), ("y", b, 4.0, 5.0), (None, a, 9.0, 5.0)],
+        "code string, date date, open double, volume double",
+    ), "code")
+    asked = spark.createDataFrame(
+        [("p", a, "x", 1), ("q", a, "x", 2), ("p", a, "y", 3), ("p", a, None, 4), ("p", None, "x", 5)],
+        "portfolio_id string, date date, code string, volume int",
+    ).withColumn("quantity", F.col("volume"))
+    got = orders.attach_market(asked, bars)
+    assert got.columns == ["date", "code", "portfolio_id", "quantity", "open", "volume"]
+    assert rows(got, "portfolio_id", "quantity", "code", "open", "volume") == [
+        (p, n, "x", price, 5.0) for p, n in (("p", 1), ("q", 2)) for price in (1.0, 2.0)
+    ]
+    assert plan(got).count("Exchange ") == 1
