@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.config import MODEL_FEATURES, RAW_FEATURES, Boosting
-from barloom.functions import rolling
+from barloom.functions import cross, rolling
 from barloom.operators import (
     evaluate, factors, labels, models, performance, preprocess, scoring, splits,
 )
@@ -309,3 +309,15 @@ def test_month_ends_compute_no_long_window(spark):
     bars = bars_frame(spark, random_bars(symbols=2, days=150))
     plan = factors.factors_on(bars, labels.month_ends(bars))._jdf.queryExecution().optimizedPlan().toString()
     assert "-59" not in plan and "-119" not in plan and "percentile(" not in plan
+
+
+def test_raw_factors_send_no_factor_through_the_ranks(spark, panel, monkeypatch):
+    bars = panel.unionByName(panel.where("code = '000003'").withColumn("code", F.lit(None).cast("string")))
+    written = []
+    monkeypatch.setattr(cross, "durable", lambda df, real=cross.durable: written.append(df.columns) or real(df))
+    got = factors.raw_factors(bars)
+    assert written and not any(f in columns for columns in written for f in RAW_FEATURES)
+    want = factors.add_tradable(factors.time_series_factors(bars))
+    assert got.columns == want.columns
+    columns = ["code", "date", "listing_days", "median_amount_20", "liquidity_percentile", "tradable"]
+    assert rows(got, *columns) == rows(want, *columns)
