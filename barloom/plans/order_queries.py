@@ -255,13 +255,14 @@ def holdings_retained(m: Market):
 )
 def target_quantities(m: Market):
     """Move each desk's monthly holdings to equal weights of the date's best names."""
-    held = m.view("desk_holdings").select("portfolio_id", "date", "code", "quantity")
+    held = m.desk_holdings.select("portfolio_id", "date", "code", "quantity")
     picked = portfolio.top_k_quota(candidates(m), TOP_K, 2)
     share = (1 - POLICY.cash_buffer) / TOP_K
     wanted = held.select("portfolio_id", "date").distinct().join(
         picked.select("date", "code", F.lit(share).alias("target_weight")), "date"
     )
-    prices = m.bars.select(
+    # Prices of the books' dates are all that is asked for; one row per date.
+    prices = m.bars.join(F.broadcast(held.select("date").distinct()), "date", "left_semi").select(
         "date", "code", F.col("close").alias("price"), F.lit(1).alias("lot_size")
     )
     worth = held.join(prices, ["date", "code"]).groupBy("portfolio_id", "date").agg(
