@@ -290,9 +290,9 @@ def plan_inputs(m: Market):
     )
     signal = last.agg(F.max("date")).scalar()
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    held = m.view("desk_requests").where(F.col("date") <= signal).groupBy(
+    held = m.keep("plan_holdings", lambda: m.view("desk_requests").where(F.col("date") <= signal).groupBy(
         "portfolio_id", "code"
-    ).agg(F.sum(signed).alias("quantity")).where(F.col("quantity") > 0)
+    ).agg(F.sum(signed).alias("quantity")).where(F.col("quantity") > 0))
     cash = held.select("portfolio_id").distinct().withColumn("cash", F.lit(INITIAL))
     return last, m.panel.withColumn("lot_size", F.lit(10)), held, cash
 
