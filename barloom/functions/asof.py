@@ -21,7 +21,8 @@ def asof_backward(
 
     Two levels: the last value of each key and month is carried over the months, at most the calendar;
     inside its month a left row looks at the month's values, 31 at most. Left rows are only joined,
-    on key and month, so one key may hold them all. `right` must be unique on (keys, date).
+    on key and month, so one key may hold them all. `right` must be unique on (keys, date). Rows of `right`
+    that lie by the keys already are not moved, and only months that are asked for meet the left rows.
     """
     packed = F.struct(*[F.col(v) for v in values])
     month = F.trunc(F.col(date), "month").alias("_month")
@@ -29,9 +30,14 @@ def asof_backward(
         F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), packed.alias("v")))).alias("_marks")
     )
     over_months = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    months = left.select(*keys, month).distinct().join(marks, [*keys, "_month"], "full").withColumn(
+    tasks = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = left.select(*keys, month).distinct().withColumn("_asked", F.lit(True)).repartition(tasks, *keys)
+    line = marks.repartition(tasks, *keys).unionByName(asked, allowMissingColumns=True)
+    months = line.groupBy(*keys, "_month").agg(
+        F.first("_marks", ignorenulls=True).alias("_marks"), F.bool_or("_asked").alias("_asked")
+    ).withColumn(
         "_before", F.last(F.get("_marks", F.size("_marks") - 1)["v"], ignorenulls=True).over(over_months)
-    )
+    ).where("_asked").drop("_asked")
     seen = F.filter("_marks", lambda m: m["d"] <= F.col(date))
     inside = F.when(F.size(seen) > 0, F.get(seen, F.size(seen) - 1)["v"]).otherwise(F.col("_before"))
     placed = left.withColumn("_month", month).join(months, [*keys, "_month"], "left").withColumn("_val", inside)
@@ -58,12 +64,6 @@ def feeds_by_day(feeds: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def span_join(
-    spans: DataFrame, points: DataFrame, keys: list[str], *, start: str, stop: str, date: str,
-    unit: str = "month", last: Column | None = None,
-) -> DataFrame:
-    """Pairs of a span and a point of its keys with start <= date < stop; a null stop is open.
-
 def lists_beside(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Left rows with the list `name` of what `right` has at their keys, of which the first deals out the rows.
 
@@ -79,6 +79,12 @@ def lists_beside(left: DataFrame, right: DataFrame, keys: list[str], name: str)
     return both.withColumn(name, listed).where("_left").drop("_left")
 
 
+def span_join(
+    spans: DataFrame, points: DataFrame, keys: list[str], *, start: str, stop: str, date: str,
+    unit: str = "month", last: Column | None = None,
+) -> DataFrame:
+    """Pairs of a span and a point of its keys with start <= date < stop; a null stop is open.
+
     Spans are cut at the borders of months (or years) and met by the points of each, an equality join:
     a span gives a row a unit, none carries a list. `last` ends open spans; by default the last point.
     """

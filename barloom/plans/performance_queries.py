@@ -250,7 +250,7 @@ def sweep_robustness(m: Market):
     grid = F.array(*[
         F.struct(F.lit(e).alias("exit_rank"), F.lit(r).alias("max_replacements")) for e, r in pairs
     ])
-    held = m.view("desk_holdings")
+    held = m.desk_holdings
     chosen = portfolio.select_portfolios(
         order_queries.candidates(m),
         order_queries.books(m).select("portfolio_id", "date", F.inline(grid)),
