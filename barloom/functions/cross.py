@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from barloom.session import durable
 
+# Equal rows are cut into as many parts at most; a short salt adds little to a shuffle.
+_SALT_BITS = 12
 # `monotonically_increasing_id` has the partition above these bits and the row below.
 _ROW_BITS = 33
 
@@ -27,7 +29,8 @@ def _in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
     Sampling the splitters reads `df` once more than the shuffle, so callers write it first.
     """
     plain = [c for c, kind in df.dtypes if "map<" not in kind]
-    spread = df.withColumn("_salt", F.xxhash64(*plain)).repartitionByRange(*order, "_salt")
+    salt = F.shiftright(F.xxhash64(*plain), 64 - _SALT_BITS).cast("short")
+    spread = df.withColumn("_salt", salt).repartitionByRange(*order, "_salt")
     return spread.sortWithinPartitions(*order).drop("_salt")
 
 
@@ -169,11 +172,15 @@ def _tie_runs(group: str, value: str):
 
 
 def average_rank(
-    df: DataFrame, keys: list[str], value: str, out: str
+    df: DataFrame, keys: list[str], value: str, out: str, written: bool = False
 ) -> DataFrame:
-    """Add `<out>_rank` (ties share their mean rank) and `<out>_n` (non-null values in the group)."""
-    rows = durable(df.withColumn(value, F.col(value).cast("double")).withColumn("_group", F.xxhash64(*keys)))
-    ordered = _in_ranges(rows, [*keys, value])
+    """Add `<out>_rank` (ties share their mean rank) and `<out>_n` (non-null values in the group).
+
+    `written` rows come from a written table without a shuffle, so reading them twice is cheap.
+    """
+    rows = df.withColumn(value, F.col(value).cast("double"))
+    rows = rows if written else durable(rows)
+    ordered = _in_ranges(rows, [*keys, value]).withColumn("_group", F.xxhash64(*keys))
     schema = T.StructType([*ordered.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_low", "_ties"))])
     # The range's number is that of the task that wrote it.
     ran = durable(
@@ -211,10 +218,10 @@ def average_rank(
 
 
 def percent_rank_average(
-    df: DataFrame, keys: list[str], value: str, out: str
+    df: DataFrame, keys: list[str], value: str, out: str, written: bool = False
 ) -> DataFrame:
     """Add `out`, the average rank divided by the number of non-null values."""
-    ranked = average_rank(df, keys, value, "_r")
+    ranked = average_rank(df, keys, value, "_r", written)
     return ranked.withColumn(
         out, F.col("_r_rank") / F.nullif(F.col("_r_n"), F.lit(0))
     ).drop("_r_rank", "_r_n")

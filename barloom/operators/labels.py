@@ -34,14 +34,17 @@ def forward_prices(df: DataFrame, horizon_days: int) -> DataFrame:
     ).withColumn("forward_return", ratio("exit_close", "entry_open") - 1.0)
 
 
-def rank_targets(df: DataFrame) -> DataFrame:
-    """Excess over the median forward return of the date, its percentile and a 0..4 grade."""
+def rank_targets(df: DataFrame, written: bool = False) -> DataFrame:
+    """Excess over the median forward return of the date, its percentile and a 0..4 grade.
+
+    `written` as in `cross.average_rank`.
+    """
     df = cross.with_quantiles(df, ["date"], ["forward_return"], [0.5])
     df = df.withColumnRenamed("forward_return__q0", "benchmark_forward_return").withColumn(
         "target_excess_return", F.col("forward_return") - F.col("benchmark_forward_return")
     )
     df = cross.percent_rank_average(
-        df, ["date"], "target_excess_return", "target_rank"
+        df, ["date"], "target_excess_return", "target_rank", written
     )
     grade = F.least(F.floor(F.col("target_rank") * 5), F.lit(4)).cast("int")
     return df.withColumn("relevance", F.when(F.col("target_rank").isNotNull(), grade))

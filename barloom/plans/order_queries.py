@@ -213,7 +213,7 @@ def portfolio_preflight(m: Market):
 
 def books(m: Market):
     """Every desk on every rebalance date; those that cannot be filled come back with a status."""
-    return m.view("desk_holdings").select("portfolio_id", "date").distinct()
+    return m.desk_holdings.select("portfolio_id", "date").distinct()
 
 
 @query(
@@ -222,7 +222,7 @@ def books(m: Market):
 )
 def select_portfolio(m: Market):
     return portfolio.select_portfolios(
-        candidates(m), books(m), m.view("desk_holdings"), POLICY, strict=False
+        candidates(m), books(m), m.desk_holdings, POLICY, strict=False
     )
 
 
@@ -232,7 +232,7 @@ def select_portfolio(m: Market):
 )
 def parameter_sweep(m: Market):
     return portfolio.parameter_sweep(
-        candidates(m), books(m), m.view("desk_holdings"), POLICY, **GRID
+        candidates(m), books(m), m.desk_holdings, POLICY, **GRID
     )
 
 
@@ -246,7 +246,7 @@ def scenario_grid(m: Market):
 
 @query("holdings_retained", "portfolio_id date holdings retained all_retained")
 def holdings_retained(m: Market):
-    return portfolio.holdings_retained(m.view("desk_holdings"), candidates(m))
+    return portfolio.holdings_retained(m.desk_holdings, candidates(m))
 
 
 @query(

@@ -25,7 +25,8 @@ def month_end_frame(
         min_history_days=config.min_history_days,
         min_liquidity_percentile=config.min_liquidity_percentile,
     )
-    return labels.rank_targets(flagged)
+    # The ranks of liquidity were written, and nothing has moved rows since.
+    return labels.rank_targets(flagged, written=True)
 
 
 def research_dataset(

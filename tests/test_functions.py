@@ -3,11 +3,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import asof, cross
 from barloom.functions.scalars import cents, normalize_symbol, st_name, with_venue
-from tests.helpers import day, rows
+from barloom.session import durable_by
+from tests.helpers import day, plan, rows
 
 
 def sample(seed, n=400):
@@ -286,3 +288,52 @@ def test_sweep_is_linear_in_intervals_of_one_code(spark):
     assert (told.n, told["min(date)"], told["max(date)"], told.off) == (2 * n, day("1800-01-01"), day("2400-01-02"), 1)
     last = steps.where(F.col("date") == day("2399-12-31")).first()
     assert last["_in"]["v"] == 1
+
+
+def test_tables_kept_by_a_key_are_not_moved_for_it(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 4)], "code string, x int")
+    kept = durable_by(df, "code")
+    assert rows(kept) == rows(df)
+    summed = kept.withColumn("s", F.sum("x").over(Window.partitionBy("code")))
+    assert "Exchange" not in plan(summed)
+    assert rows(summed, "s") == [(3,), (3,), (3,), (8,), (8,)]
+
+
+def test_lists_beside_move_only_the_side_that_does_not_lie_by_code(spark):
+    left = durable_by(spark.createDataFrame(
+        [("a", 1, "p"), ("a", 1, "q"), ("a", 2, "r"), ("b", 1, "s"), (None, 1, "t"), ("a", None, "u")],
+        "code string, n int, x string",
+    ), "code")
+    right = spark.createDataFrame(
+        [("a", 1, 7), ("a", 1, 8), ("b", 2, 9), (None, 1, 10), ("a", None, 11)], "code string, n int, v int"
+    )
+    got = asof.lists_beside(left, right, ["code", "n"], "found")
+    assert got.columns == ["code", "n", "x", "found"]
+    assert plan(got).count("Exchange ") == 1
+    found = {r["x"]: sorted(v["v"] for v in r["found"]) for r in got.collect()}
+    assert found == {"p": [7, 8], "q": [7, 8], "r": [], "s": [], "t": [10], "u": [11]}
+
+
+def test_asof_does_not_move_a_right_side_that_lies_by_its_key(spark):
+    d = [day(f"2024-0{m}-1{i}") for m in (1, 2, 4) for i in range(3)]
+    right = durable_by(spark.createDataFrame(
+        [("a", x, float(i)) for i, x in enumerate(d)] + [("b", d[4], 9.0)], "k string, date date, v double"
+    ), "k")
+    left = spark.createDataFrame(
+        [("a", day("2024-03-01")), ("a", d[7]), ("b", d[8]), ("b", d[0]), ("c", d[0])], "k string, date date"
+    )
+    got = asof.asof_backward(left, right, ["k"], ["v"])
+    assert rows(got, "k", "date", "v") == [
+        ("a", day("2024-03-01"), 5.0), ("a", d[7], 7.0), ("b", d[0], None), ("b", d[8], 9.0), ("c", d[0], None),
+    ]
+    # From the scan of the right side to the months asked for, nothing is moved.
+    lines = plan(got).split("\n")
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x)
+    kept = next(i for i in range(scan, 0, -1) if "Union" in lines[i])
+    assert "Exchange" not in "".join(lines[kept:scan])
+
+
+def test_ranks_of_written_rows_are_the_same(spark):
+    df = spark.createDataFrame(sample(5))
+    one, two = (cross.average_rank(df, ["date"], "v", "x", written) for written in (False, True))
+    assert rows(one, "date", "code", "x_rank", "x_n") == rows(two, "date", "code", "x_rank", "x_n")
